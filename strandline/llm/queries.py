@@ -5,17 +5,88 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import crc32_mod, table
+from strandline.llm.language import identify_languages, learn_profiles
+from strandline.llm.media import media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
+from strandline.llm.pieces import encode_pieces
+from strandline.llm.quality import learn_quality, score_quality
+from strandline.llm.topk import top_k
+from strandline.llm.warc import warc_round_trip
+
+#: The tokenizer file is a parameter of the operator; the queries use the installed public one.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)))
+    profiles = learn_profiles(docs.where(~F.col("held_out")).select("lang", "text"))
+    return identify_languages(docs.select("doc_id", "held_out", "text"), profiles, keep=("doc_id", "held_out"))
+
+
+def op3_quality_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0).select("doc_id", "quality")
+    scored = score_quality(docs, learn_quality(docs, labels))
+    return scored.select("doc_id", F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op5_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_sha256")
+    return encode_pieces(table(spark, sf_dir, "documents"), MODEL, columns)
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), Banding(width=2))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_profiles": op1_language_profiles,
+    "op3_quality_tables": op3_quality_tables,
+    "op4_chunked_media": op4_chunked_media,
+    "op5_piece_spans": op5_piece_spans,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB counterparts, where SQL can say what the operator computes.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_round_trip": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+    "op10_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
