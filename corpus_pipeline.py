@@ -1,15 +1,65 @@
-"""A corpus pipeline: quality filter, near-dedup, substring dedup, source mixing, token encoding."""
+"""A corpus pipeline: quality filter, near-dedup, substring dedup, source mixing, token round trip."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm.common import Scratch
+from strandline.llm.minhash import Banding, minhash_dedup
+from strandline.llm.mixing import Mix, mix_sources
+from strandline.llm.passages import remove_passages
+from strandline.llm.pieces import encode_pieces
+from strandline.llm.quality import learn_quality, score_quality
+from strandline.llm.queries import MODEL
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No SQL counterpart: learnt tables, hashed permutations and a tokenizer are not expressible in it.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels of the documents at hand."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return score_quality(docs.select(*COLUMNS), learn_quality(docs, labels)).where("predicted = 1").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by five-word shingles."""
+    docs = docs.select(*COLUMNS)
+    gone = minhash_dedup(docs, Banding(width=5)).where("not kept").select("doc_id").distinct()
+    gone = Scratch(spark, "pipeline").write(gone, "gone")
+    few = gone.count() * 16 <= 16 << 20
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out; documents of which nothing is left go."""
+    cut = remove_passages(docs.select(*COLUMNS))
+    left = (F.col("cut_bytes") == 0) | (F.length(F.trim("text")) > 0)
+    return cut.where(left).withColumn("n_chars", F.when(F.col("cut_bytes") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; no source is repeated more than a quarter over."""
+    return mix_sources(docs, Mix(budget=1.0, repeats=1.25), payload=("text", "lang", "n_chars")).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids, of the decoded text and of the pieces' spans."""
+    return encode_pieces(docs, MODEL, ("n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_sha256"), keep=("doc_id", "source"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("encoding", encoding)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """All stages over the documents, each written as Parquet in the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import crc32_mod, table
 from strandline.llm.language import identify_languages, learn_profiles
+from strandline.llm.licenses import scan_licenses
 from strandline.llm.media import media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
+from strandline.llm.mixing import Mix, mix_sources
+from strandline.llm.passages import remove_passages
 from strandline.llm.pieces import encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
 from strandline.llm.topk import top_k
@@ -26,6 +29,10 @@ def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "held_out", "text"), profiles, keep=("doc_id", "held_out"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0).select("doc_id", "quality")
@@ -46,6 +53,15 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), Mix(budget=1.0, repeats=1.25))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", "cut_paragraphs", "cut_bytes", "cut_spans")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), Banding(width=2))
 
@@ -56,10 +72,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_profiles": op1_language_profiles,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_tables": op3_quality_tables,
     "op4_chunked_media": op4_chunked_media,
     "op5_piece_spans": op5_piece_spans,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
