@@ -5,8 +5,9 @@
    (optimal densification), so two sets agree in a bin with a probability that is their similarity.
 2. Items with equal sets are one class from here on; bins are cut into bands.
 3. In each bucket of a band every class is paired with one centre only. Pairs are confirmed on full sets.
-4. Buckets whose classes fall into several components are visited again with other centres, then
-   all that is left between components of a bucket is compared: no link can hide behind a centre.
+4. Buckets whose classes fall into several components are visited again with another centre; then classes
+   of such buckets are joined on their rarest shingles, which any two sets that reach the threshold share:
+   no link can hide behind a centre, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ class Banding:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    star_rounds: int = 2
+    star_rounds: int = 1
+    common_words: int = 1 << 16
     broadcast_bytes: int = 8 << 20
 
     @property
@@ -109,15 +111,18 @@ def _sets(width: int):
     return run
 
 
-def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold. Sets are made for the texts in pairs only."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    ids = scratch.write(ids, "ids")
+def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
+    """(id, words) of the items in ids; the texts of others are not shuffled while ids are few."""
+    ids = scratch.write(ids.select("id").distinct(), "ids")
     kind = items.schema["id"].dataType.simpleString()
     if ids.count() * 32 <= b.broadcast_bytes:
         ids = F.broadcast(ids)
-    sets = items.join(ids, "id", "left_semi").mapInArrow(_sets(b.width), f"id {kind}, words array<bigint>")
-    sets = scratch.write(sets, "sets")
+    return scratch.write(items.join(ids, "id", "left_semi").mapInArrow(_sets(b.width), f"id {kind}, words array<bigint>"), "sets")
+
+
+def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold. Sets are made for the texts in pairs only."""
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")), items, b, scratch)
     left, right = sets.select(F.col("id").alias("u"), F.col("words").alias("a")), sets.select(F.col("id").alias("v"), F.col("words").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     near = pairs.join(left, "u").join(right, "v").where(100 * both >= b.percent * (F.size("a") + F.size("b") - both))
@@ -126,6 +131,48 @@ def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -
     return near
 
 
+def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of classes (id, component) in different components that can reach the threshold: none is left out.
+
+    Shingles are put in one order for all, frequent ones last. Two sets that reach the threshold share one
+    of the first n - ceil(threshold * n) + 1, and what stands before and behind it must suffice. Any order
+    gives whole results; the counts of the most frequent shingles (a bounded list) only make the shared ones rare.
+    """
+    kind = items.schema["id"].dataType.simpleString()
+    sets = _sets_of(classes, items, b, scratch)
+    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c >= 4")
+    common = counts.orderBy(F.desc("c"), "w").limit(b.common_words).toPandas().sort_values("w")
+    known, often = common["w"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for id_, words in zip(batch.column("id"), batch.column("words"), strict=True):
+                w = words.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
+                c = np.where(known[at] == w, often[at], 0) if len(known) else np.zeros(len(w), np.int64)
+                n = len(w)
+                head = w[np.lexsort((w, c))[: n + (-b.percent * n // 100) + 1]]
+                rows.append((id_.as_py(), n, head))
+            if rows:
+                ids = pa.array([r[0] for r in rows for _ in r[2]], batch.column("id").type)
+                n = np.concatenate([np.full(len(r[2]), r[1]) for r in rows])
+                at = np.concatenate([np.arange(len(r[2])) for r in rows])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows]))], names=["id", "n", "at", "w"])
+
+    heads = sets.mapInArrow(firsts, f"id {kind}, n bigint, at bigint, w bigint").join(classes, "id")
+    heads = scratch.write(heads, "heads")
+    x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"))
+    y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"))
+    most = F.least("iu", "iv") + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
+    enough = (100 + b.percent) * most >= b.percent * (F.col("nu") + F.col("nv"))
+    size = 100 * F.least("nu", "nv") >= b.percent * F.greatest("nu", "nv")
+    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & size & enough
+    pairs = scratch.write(x.join(y, "w").where(near).select("u", "v").distinct(), "rare")
+    scratch.drop(sets, heads)
+    return pairs
+
+
 def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
     """(id, n, same, component) for each row of items (id, text); component: smallest id reachable.
 
@@ -159,10 +206,9 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
         if turn < b.star_rounds:
             order = F.xxhash64("v", F.lit(turn))
             c = c.groupBy("key").agg(F.min_by(F.struct("v", "m", "cv"), order).alias("c")).select("key", "c.*")
-            apart = F.col("u") != F.col("v")
+            more = a.join(c, "key").where((F.col("u") != F.col("v")) & (F.col("cu") != F.col("cv")) & fits)
         else:
-            apart = F.col("u") > F.col("v")
-        more = a.join(c, "key").where(apart & (F.col("cu") != F.col("cv")) & fits)
+            more = _rare_words_pairs(rest.select(F.col("rep").alias("id"), "component").distinct(), items, b, scratch)
         more = more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         more = scratch.write(more, "more")
         if more.isEmpty():
