@@ -12,6 +12,7 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance: int, by: str =
     Time is cut into buckets as wide as the tolerance; a right row goes to its own and both neighbouring
     buckets, so that a plain equi-join on (by, bucket) sees each possible pair once. Ties take the earlier
     row; of right rows at one time the first by seq, or the last where that time is before the left row's.
+    Rows of left are told apart by all their columns.
     """
     width = max(1, tolerance)
     bucket = F.floor(F.col(time) / width)
@@ -25,26 +26,37 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance: int, by: str =
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(prefix + v) for v in values])
 
 
-def nearest_gap(left: DataFrame, right: DataFrame, width: int, by: str = "recording_id", time: str = "t_us") -> DataFrame:
-    """left with gap = distance to the nearest right time, however far; null where by has no right row.
+def nearest(left: DataFrame, right: DataFrame, width: int, by: str = "recording_id", time: str = "t_us", key: str = "seq", prefix: str = "r_") -> DataFrame:
+    """left with key and time of the nearest right row, however far; nulls where by has no right row.
 
     Running windows cover one bucket of time each; what lies beyond a bucket is its neighbours' last and
-    first right time, known from one small row per bucket.
+    first right row, known from one small row per bucket. Ties as in nearest_within.
     """
     bucket = F.floor(F.col(time) / width)
-    l, r = left.withColumn("_b", bucket), right.select(by, F.col(time).alias("_r")).withColumn("_b", F.floor(F.col("_r") / width))
-    edges = r.groupBy(by, "_b").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"))
-    spots = edges.select(by, "_b", "lo", "hi").unionByName(l.select(by, "_b").distinct().withColumns({"lo": F.lit(None).cast("long"), "hi": F.lit(None).cast("long")}))
-    spots = spots.groupBy(by, "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mark = F.struct(F.col(time).alias("t"), F.col(key).alias("k"))
+    l, r = left.withColumn("_b", bucket), right.select(F.col(by), bucket.alias("_b"), mark.alias("_r"))
+    edges = r.groupBy(by, "_b").agg(F.min("_r").alias("lo"), F.min(F.struct(-F.col("_r.t"), -F.col("_r.k"))).alias("hi"))
+    edges = edges.select(by, "_b", "lo", F.struct((-F.col("hi.col1")).alias("t"), (-F.col("hi.col2")).alias("k")).alias("hi"))
+    spots = edges.unionByName(l.select(by, "_b").distinct(), allowMissingColumns=True)
+    spots = spots.groupBy(by, "_b").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    spots = spots.select(by, "_b", F.max("hi").over(before).alias("_prev"), F.min("lo").over(after).alias("_next"))
-    rows = l.withColumn("_r", F.lit(None).cast("long")).withColumn("_t", F.col(time)).withColumn("_left", F.lit(True))
-    marks = r.select(by, "_b", F.col("_r"), F.col("_r").alias("_t"), F.lit(False).alias("_left"))
+    spots = spots.select(by, "_b", F.last("hi", True).over(before).alias("_prev"), F.last("lo", True).over(after).alias("_next"))
+    rows = l.withColumns({"_t": F.col(time), "_left": F.lit(True), "_k": F.lit(None).cast("long")})
+    marks = r.select(by, "_b", "_r", F.col("_r.t").alias("_t"), F.lit(False).alias("_left"), F.col("_r.k").alias("_k"))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    up = Window.partitionBy(by, "_b").orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(by, "_b").orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(by, "_b").orderBy("_t", "_left", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(by, "_b").orderBy(F.desc("_t"), "_left", F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("_p", F.last("_r", True).over(up)).withColumn("_n", F.last("_r", True).over(down)).where("_left")
     near = near.join(spots, [by, "_b"], "left")
-    gap = F.least(F.col(time) - F.coalesce("_p", "_prev"), F.coalesce("_n", "_next") - F.col(time))
-    return near.withColumn("gap", gap).select(*left.columns, "gap")
+    p, n = F.coalesce("_p", "_prev"), F.coalesce("_n", "_next")
+    near = near.withColumn("_p", p).withColumn("_n", n)
+    earlier = F.col("_n").isNull() | ((F.col(time) - F.col("_p.t") <= F.col("_n.t") - F.col(time)) & (F.col("_p.t") < F.col(time)))
+    best = F.when(F.col("_p").isNotNull() & earlier, F.col("_p")).otherwise(F.col("_n"))
+    return near.withColumn("_v", best).select(*left.columns, F.col("_v.k").alias(prefix + key), F.col("_v.t").alias(prefix + time))
+
+
+def nearest_gap(left: DataFrame, right: DataFrame, width: int, by: str = "recording_id", time: str = "t_us") -> DataFrame:
+    """left with gap = distance to the nearest right time, however far."""
+    near = nearest(left, right, width, by, time, prefix="_near_")
+    return near.withColumn("gap", F.abs(F.col(time) - F.col(f"_near_{time}"))).select(*left.columns, "gap")
