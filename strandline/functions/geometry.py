@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Camera optical axes to link axes, used where a recording's transforms state none.
@@ -156,22 +156,23 @@ def plane_basis(eq: Column) -> tuple[Column, Column, Column, Column]:
     return origin, u, cross(n, u), n
 
 
-def elbow(shoulder: Column, wrist: Column, forward: Column, upper: float = 0.33, fore: float = 0.27) -> Column:
-    """Elbow of a two-bone arm: straight where the wrist is out of reach, else by the law of cosines.
+def with_elbow(df: DataFrame, upper: float = 0.33, fore: float = 0.27) -> DataFrame:
+    """df (shoulder, wrist) with elbow of a two-bone arm: straight where the wrist is out of reach, else by the law of cosines.
 
-    The arm bends in the plane of its direction and down; where those agree, forward stands in.
+    The arm bends in the plane of its direction and down; where those agree, in that of its direction and x.
+    Steps are columns of their own, so that no expression holds another many times.
     """
-    arm = sub(wrist, shoulder)
-    reach = norm(arm)
     down = vec(0, -1, 0)
-    along = times(arm, 1 / F.when(reach > 1e-6, reach))
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (upper**2 + reach * reach - fore**2) / (2 * upper * reach)))
-    side = cross(along, down)
-    axis = F.when(norm(side) > 1e-6, times(side, 1 / norm(side))).otherwise(vec(1, 0, 0))
-    bend = cross(axis, along)
-    bent = add(times(along, upper * cos), times(bend, upper * F.sqrt(F.greatest(F.lit(0.0), 1 - cos * cos))))
-    offset = F.when(reach < 1e-6, times(down, upper)).when(reach >= 0.99 * (upper + fore), times(along, upper)).otherwise(bent)
-    return add(shoulder, offset)
+    d = df.withColumn("_arm", sub(F.col("wrist"), F.col("shoulder"))).withColumn("_reach", norm(F.col("_arm")))
+    d = d.withColumn("_along", times(F.col("_arm"), 1 / F.when(F.col("_reach") > 1e-6, F.col("_reach")))).withColumn("_side", cross(F.col("_along"), down))
+    d = d.withColumn("_side", F.when(norm(F.col("_side")) > 1e-6, F.col("_side")).otherwise(cross(F.col("_along"), vec(1, 0, 0))))
+    d = d.withColumn("_width", norm(F.col("_side"))).withColumn("_axis", times(F.col("_side"), 1 / F.when(F.col("_width") > 0, F.col("_width"))))
+    reach = F.col("_reach")
+    cos = (upper**2 + reach * reach - fore**2) / (2 * upper * F.when(reach > 1e-6, reach))
+    d = d.withColumn("_cos", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).withColumn("_bend", cross(F.col("_axis"), F.col("_along")))
+    bent = add(times(F.col("_along"), upper * F.col("_cos")), times(F.col("_bend"), upper * F.sqrt(1 - F.col("_cos") * F.col("_cos"))))
+    offset = F.when(reach < 1e-6, times(down, upper)).when(reach >= 0.99 * (upper + fore), times(F.col("_along"), upper)).otherwise(bent)
+    return d.withColumn("_offset", offset).withColumn("elbow", add(F.col("shoulder"), F.col("_offset"))).select(*df.columns, "elbow")
 
 
 def brighten(c: Column) -> Column:

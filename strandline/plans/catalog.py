@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from strandline.plans import hands, motion, shapes, sync  # noqa: F401  (each registers its queries)
+from strandline.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "j3_sync_frames"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

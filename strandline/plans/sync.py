@@ -41,7 +41,7 @@ def sync_frames(t: Tables) -> DataFrame:
     return out
 
 
-SYNC_CTES = ", ".join([topics_sql("view", "click", "purchase", "signup"), *[near_sql(name, "view", topic, tol) for topic, name, tol in SIDES]])
+SYNC_CTES = ", ".join([topics_sql("view", "click", "purchase", "signup"), *[near_sql(f"{name}_m", "view", topic, tol) for topic, name, tol in SIDES]])
 
 
 @query("j1_nearest_row", f"WITH {topics_sql('error', 'click')}, {near_sql('near', 'error', 'click')} SELECT e.recording_id, e.seq, r_seq, r_t_us FROM error e JOIN near USING (seq)")
@@ -57,7 +57,7 @@ def j2(t: Tables) -> DataFrame:
 @query(
     "j3_sync_frames",
     f"""WITH {SYNC_CTES} SELECT v.recording_id, v.seq, v.t_us, d.r_seq AS depth_seq, d.r_t_us AS depth_t_us, p.r_seq AS pose_seq, p.r_t_us AS pose_t_us, i.r_seq AS imu_seq, i.r_t_us AS imu_t_us
-        FROM view v JOIN depth d USING (seq) JOIN pose p USING (seq) JOIN imu i USING (seq)""".replace("JOIN pose p", "JOIN pose_m p").replace("JOIN imu i", "JOIN imu_m i"),
+        FROM view v JOIN depth_m d USING (seq) JOIN pose_m p USING (seq) JOIN imu_m i USING (seq)""",
 )
 def j3(t: Tables) -> DataFrame:
     return sync_frames(t)
