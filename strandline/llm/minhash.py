@@ -24,6 +24,8 @@ from strandline.llm.common import Scratch, slices
 from strandline.llm.components import components
 from strandline.llm.shingles import Powers, mix, shingle_sets
 
+SKETCH_WORDS = 16
+
 
 @dataclass(frozen=True)
 class Banding:
@@ -131,6 +133,13 @@ def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -
     return near
 
 
+def parity_sketch(words: np.ndarray) -> np.ndarray:
+    """Bits, as 64-bit words, that tell for each slot whether an odd number of shingles fell into it."""
+    slot = mix(words.view(np.uint64) ^ np.uint64(0x13198A2E03707344)) % np.uint64(64 * SKETCH_WORDS)
+    odd = np.bincount(slot.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of classes (id, component) in different components that can reach the threshold: none is left out.
 
@@ -153,21 +162,26 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
                 c = np.where(known[at] == w, often[at], 0) if len(known) else np.zeros(len(w), np.int64)
                 n = len(w)
                 head = w[np.lexsort((w, c))[: n + (-b.percent * n // 100) + 1]]
-                rows.append((id_.as_py(), n, head))
+                rows.append((id_.as_py(), n, head, parity_sketch(w)))
             if rows:
                 ids = pa.array([r[0] for r in rows for _ in r[2]], batch.column("id").type)
                 n = np.concatenate([np.full(len(r[2]), r[1]) for r in rows])
                 at = np.concatenate([np.arange(len(r[2])) for r in rows])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows]))], names=["id", "n", "at", "w"])
+                sketches = np.concatenate([np.tile(r[3], len(r[2])) for r in rows])
+                cols = [ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows])), pa.FixedSizeListArray.from_arrays(pa.array(sketches), SKETCH_WORDS).cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "at", "w", "sketch"])
 
-    heads = sets.mapInArrow(firsts, f"id {kind}, n bigint, at bigint, w bigint").join(classes, "id")
+    heads = sets.mapInArrow(firsts, f"id {kind}, n bigint, at bigint, w bigint, sketch array<bigint>").join(classes, "id")
     heads = scratch.write(heads, "heads")
-    x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"))
-    y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"))
+    x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
+    y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"), F.col("sketch").alias("sv"))
     most = F.least("iu", "iv") + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
     enough = (100 + b.percent) * most >= b.percent * (F.col("nu") + F.col("nv"))
     size = 100 * F.least("nu", "nv") >= b.percent * F.greatest("nu", "nv")
-    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & size & enough
+    # Each differing shingle flips one parity bit, so the bits that differ can't outnumber the shingles that do.
+    bits = sum((F.bit_count(F.col("su")[i].bitwiseXOR(F.col("sv")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("su")[0].bitwiseXOR(F.col("sv")[0])))
+    alike = (100 + b.percent) * bits <= (100 - b.percent) * (F.col("nu") + F.col("nv"))
+    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & size & enough & alike
     pairs = scratch.write(x.join(y, "w").where(near).select("u", "v").distinct(), "rare")
     scratch.drop(sets, heads)
     return pairs
