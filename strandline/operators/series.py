@@ -39,6 +39,7 @@ def interpolate(keys: DataFrame, by: list[str], order: str = "frame_idx", values
     w = Window.partitionBy(*by).orderBy(order)
     seg = keys.withColumn("_n", F.lead(F.struct(order, "confidence", *values)).over(w)).where(F.col(f"_n.{order}") > F.col(order) + 1)
     seg = seg.withColumn("_f", F.explode(F.sequence(F.col(order) + 1, F.col(f"_n.{order}") - 1)))
-    alpha = (F.col("_f") - F.col(order)) / (F.col(f"_n.{order}") - F.col(order))
-    mixed = [F.zip_with(F.col(v), F.col(f"_n.{v}"), lambda a, b: a + (b - a) * alpha).alias(v) for v in values]
+    # A column of its own: within the lambda, the name of order would mean the new one.
+    seg = seg.withColumn("_alpha", (F.col("_f") - F.col(order)) / (F.col(f"_n.{order}") - F.col(order)))
+    mixed = [F.zip_with(F.col(v), F.col(f"_n.{v}"), lambda a, b: a + (b - a) * F.col("_alpha")).alias(v) for v in values]
     return seg.select(*by, F.col("_f").alias(order), F.least("confidence", "_n.confidence").alias("confidence"), *mixed)

@@ -91,7 +91,7 @@ def test_elbow(spark):
 
 
 def test_speed_settings(spark):
-    df = spark.createDataFrame([(q,) for q in (0, 0.1, 0.15, 0.25, 0.5, 0.75, 1.0)], "q double")
+    df = spark.createDataFrame([(q,) for q in (0.0, 0.1, 0.15, 0.25, 0.5, 0.75, 1.0)], "q double")
     every, cap, occlusion = G.speed_settings(F.col("q"))
     assert [tuple(x) for x in df.select(every, cap, occlusion).collect()] == [(30, 400, False), (21, 400, False), (18, None, False), (13, None, False), (5, None, True), (2, None, True), (1, None, True)]
     with pytest.raises(Exception, match="quality must be"):
