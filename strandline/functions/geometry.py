@@ -216,3 +216,41 @@ def safe_div(a: Column, b: Column) -> Column:
 
 def pct(a: Column, b: Column) -> Column:
     return F.when(b > 0, 100.0 * a / b).otherwise(0.0)
+
+
+def weak_perspective(scale: Column, tx: Column, ty: Column, box_x: Column, box_y: Column, width: int, height: int, focal: float = 5000.0, crop: int = 256) -> Column:
+    """Camera translation in the whole image, of a scaled-orthographic camera that was fitted to a square crop."""
+    longest = max(width, height)
+    z = 2.0 * (focal / crop * longest) / (crop * scale + 1e-9)
+    shift = lambda t, centre, size: t + 2.0 * (centre - size / 2.0) / longest * z
+    return vec(shift(tx, box_x, width), shift(ty, box_y, height), z)
+
+
+def crop_to_image(u: Column, v: Column, left: Column, box_x: Column, box_y: Column, size: Column) -> tuple[Column, Column]:
+    """Pixel of a crop's point in -0.5..0.5; crops of left hands were mirrored."""
+    u = F.when(left, -u).otherwise(u)
+    return box_x + u * size, box_y + v * size
+
+
+def turned_against(width: Column, height: Column, depth_width: Column, depth_height: Column) -> Column:
+    """Whether one of both images is upright and the other is not; false without a depth image."""
+    return F.coalesce((width > height) != (depth_width > depth_height), F.lit(False))
+
+
+def frustum(width, height, fx, fy, cx, cy, depth: float) -> list[Column]:
+    """Corners of the image at a depth, in optical axes, around the border."""
+    x = [(F.lit(float(u)) - cx) / fx * depth for u in (0, width)]
+    y = [(F.lit(float(v)) - cy) / fy * depth for v in (0, height)]
+    return [vec(x[i], y[j], depth) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+
+
+def hand_at(joints: Column, anchor: Column, left: Column, turned: Column) -> Column:
+    """Joints (array of points) moved so that the first lies on anchor; left hands mirrored, turned ones set upright."""
+    wrist = at(joints, 0)
+
+    def one(j: Column) -> Column:
+        x, y, z = (at(j, i) - at(wrist, i) for i in range(3))
+        x = F.when(left, -x).otherwise(x)
+        return vec(F.when(turned, -y).otherwise(x) + at(anchor, 0), F.when(turned, x).otherwise(y) + at(anchor, 1), z + at(anchor, 2))
+
+    return F.transform(joints, one)
