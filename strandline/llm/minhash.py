@@ -44,17 +44,16 @@ class Banding:
         return self.bands * self.rows
 
 
-def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    """One row of bins for each non-empty set."""
-    out = np.zeros((len(sets), bins), np.uint64)
-    full = np.zeros((len(sets), bins), bool)
-    for i, h in enumerate(sets):
-        h = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-        h.sort()
-        b = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        out[i, b[first]] = h[first]
-        full[i, b[first]] = True
+def signatures(flat: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
+    """One row of bins for each set; sizes, none of them 0, cut flat into sets."""
+    h = mix(flat ^ np.uint64(0x5851F42D4C957F2D))
+    cell = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(sizes)) * bins, sizes)
+    out = np.full(len(sizes) * bins, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, cell, h)
+    full = np.zeros(len(out), bool)
+    full[cell] = True
+    out[~full] = 0
+    out, full = out.reshape(-1, bins), full.reshape(-1, bins)
     alone = full.sum(1) == 1
     if alone.any():
         out[alone] = out[alone].max(1, keepdims=True)
@@ -69,36 +68,33 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(sets: list[np.ndarray], b: Banding) -> np.ndarray:
-    bins = signatures(sets, b.bins).reshape(len(sets), b.bands, b.rows)
+def band_keys(flat: np.ndarray, sizes: np.ndarray, b: Banding) -> np.ndarray:
+    bins = signatures(flat, sizes, b.bins).reshape(len(sizes), b.bands, b.rows)
     key = np.broadcast_to(mix(np.arange(b.bands, dtype=np.uint64) + np.uint64(1)), bins.shape[:2])
     for r in range(b.rows):
         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + bins[:, :, r])
     return key.view(np.int64)
 
 
-def _hash_pair(h: np.ndarray) -> bytes:
-    """128 bits that stand for a whole set."""
-    if not len(h):
-        return b""
-    one, two = mix(h), mix(h ^ np.uint64(0x243F6A8885A308D3))
-    return int(one.sum(dtype=np.uint64)).to_bytes(8, "little") + int(np.bitwise_xor.reduce(two) + np.uint64(len(h))).to_bytes(8, "little")
+def _whole_hashes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits, as two columns, that stand for each whole set; none of them is empty."""
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    one, two = np.add.reduceat(mix(flat), starts), np.bitwise_xor.reduceat(mix(flat ^ np.uint64(0x243F6A8885A308D3)), starts)
+    return np.column_stack((one, two + sizes.astype(np.uint64)))
 
 
 def _sketch(b: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 256, 2_000_000):
-            sets = shingle_sets(batch.column("text"), b.width, powers)
-            some = [i for i, h in enumerate(sets) if len(h)]
-            keys: list = [None] * len(sets)
-            if some:
-                for i, k in zip(some, band_keys([sets[i] for i in some], b), strict=True):
-                    keys[i] = k
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(map(_hash_pair, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "same", "keys"],
-            )
+            flat, ends = shingle_sets(batch.column("text"), b.width, powers)
+            n = np.diff(ends)
+            some = n > 0
+            same = _whole_hashes(flat, ends[:-1][some], n[some])
+            same = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(16 * some)).astype(np.int32)), pa.py_buffer(same.tobytes())])
+            keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(b.bands * some)), pa.int32()), pa.array(band_keys(flat, n[some], b).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), same, keys], names=["id", "n", "same", "keys"])
 
     return run
 
@@ -107,32 +103,12 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 256, 2_000_000):
-            sets = [h.view(np.int64) for h in shingle_sets(batch.column("text"), width, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
+            flat, ends = shingle_sets(batch.column("text"), width, powers)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "words"])
 
     return run
 
 
-def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
-    """(id, words) of the items in ids; the texts of others are not shuffled while ids are few."""
-    ids = scratch.write(ids.select("id").distinct(), "ids")
-    kind = items.schema["id"].dataType.simpleString()
-    if ids.count() * 32 <= b.broadcast_bytes:
-        ids = F.broadcast(ids)
-    return scratch.write(items.join(ids, "id", "left_semi").mapInArrow(_sets(b.width), f"id {kind}, words array<bigint>"), "sets")
-
-
-def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold. Sets are made for the texts in pairs only."""
-    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")), items, b, scratch)
-    left, right = sets.select(F.col("id").alias("u"), F.col("words").alias("a")), sets.select(F.col("id").alias("v"), F.col("words").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    near = pairs.join(left, "u").join(right, "v").where(100 * both >= b.percent * (F.size("a") + F.size("b") - both))
-    near = scratch.write(near.select("u", "v").distinct(), "near")
-    scratch.drop(sets)
-    return near
-
-
 def parity_sketch(words: np.ndarray) -> np.ndarray:
     """Bits, as 64-bit words, that tell for each slot whether an odd number of shingles fell into it."""
     slot = mix(words.view(np.uint64) ^ np.uint64(0x13198A2E03707344)) % np.uint64(64 * SKETCH_WORDS)

@@ -58,38 +58,44 @@ def word_hashes(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarra
     return starts, ends, mix(raw + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> list[np.ndarray]:
-    """For each text its sorted distinct shingle hashes.
+def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts in one array, and the offsets of each text's own.
 
     A text with fewer than width words, but one at least, has one shingle, the whole word sequence;
     a text without words, or null, has none.
     """
     buffer, offsets = text_bytes(texts)
-    data = np.frombuffer(buffer, np.uint8)
-    out = []
-    # A text border must also be a word border, so each text is hashed by itself when large, else in one run.
-    joined = np.full(offsets[-1] - offsets[0] + len(offsets), 32, np.uint8)
-    at = np.array(offsets, np.int64) - offsets[0] + np.arange(len(offsets))
-    for i in range(len(offsets) - 1):
-        joined[at[i] : at[i + 1] - 1] = data[offsets[i] : offsets[i + 1]]
+    data, offsets = np.frombuffer(buffer, np.uint8), np.array(offsets, np.int64)
+    n = len(offsets) - 1
+    # A text border is also a word border: one space stands between texts.
+    at = offsets - offsets[0] + np.arange(n + 1)
+    joined = np.full(at[-1] + 1, 32, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    joined[:-1][inside] = data[offsets[0] : offsets[-1]]
     starts, _, words = word_hashes(joined, powers)
     bounds = np.searchsorted(starts, at)
-    for i in range(len(offsets) - 1):
-        out.append(_set_of(words[bounds[i] : bounds[i + 1]], width))
-    return out
-
-
-def _set_of(words: np.ndarray, width: int) -> np.ndarray:
-    n = len(words)
-    if not n:
-        return words
-    short = n < width
-    if short:
-        width = n
-    acc = words[: n - width + 1]
+    counts = np.diff(bounds)
+    acc = _chain(words, width)
+    owner = np.repeat(np.arange(n), counts)
+    whole = np.arange(len(acc)) + width <= bounds[1:][owner[: len(acc)]]
+    acc, owner = acc[whole], owner[: len(acc)][whole]
+    for i in np.flatnonzero((counts > 0) & (counts < width)):
+        one = mix(_chain(words[bounds[i] : bounds[i + 1]], counts[i]) + np.uint64(0xA5A5A5A5))
+        place = np.searchsorted(owner, i)
+        acc, owner = np.insert(acc, place, one), np.insert(owner, place, i)
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    for i in range(n):
+        acc[ends[i] : ends[i + 1]].sort()
+    new = np.ones(len(acc), bool)
+    new[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
+    return acc[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def _chain(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of width words; none where there are fewer."""
+    n = max(0, len(words) - width + 1)
+    acc = words[:n].copy()
     for k in range(1, width):
-        acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + words[k : n - width + 1 + k])
-    if short:
-        acc = mix(acc + np.uint64(0xA5A5A5A5))
-    acc = np.sort(acc)
-    return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
+        acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + words[k : n + k])
+    return acc
