@@ -8,6 +8,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from strandline.llm.mixing import Mix, mix_sources
 from strandline.llm.passages import remove_passages
 from strandline.llm.pieces import decode_pieces, encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
+from strandline.llm.shingles import Powers, shingle_sets
 from strandline.llm.topk import Search, top_k
 from strandline.llm.warc import Archiving, read_warc, warc_round_trip, write_warc
 
@@ -205,3 +207,16 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text + " more", "en", "s", 1), (3, " ".join(prose(200, 2)), "fr", None, 1)], DOCS).withColumn("component", F.lit(1))
     got = p.near_dedup(spark, docs, SF)
     assert got.columns == p.COLUMNS and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_shingle_sets_of_a_batch(width):
+    """Each text's set is the one it has alone, and as large as that of its word tuples."""
+    texts = [None, "", " \n", "One", "one two", "a b a b a b a b", "A b\tc d e f", "x " * 500, "a b c d e", "é ü ß", None]
+    flat, ends = shingle_sets(pa.array(texts), width, Powers())
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        want = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+        alone, _ = shingle_sets(pa.array([text], pa.string()), width, Powers())
+        assert ends[i + 1] - ends[i] == len(want) == len(alone)
+        assert (flat[ends[i] : ends[i + 1]] == alone).all()
