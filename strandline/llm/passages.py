@@ -1,16 +1,17 @@
 """Removal of repeated passages: paragraph MinHash banding, exact confirmation, components.
 
-1. Sentences that also stand in other documents are found by their hash. Where they make a run of
-   run_words words, the run's borders are paragraph borders, so that a passage set into a line of other
-   words is a paragraph of its own; all other borders are line ends.
+1. Stretches of words that also stand in other documents are found by overlapping word shingles, wherever they
+   begin or end. The least shingle of every window of shingles is an anchor, so two documents that share
+   stretch_words words share an anchor; then all shingles near the ends of shared anchors are compared, which gives
+   the borders to the word. Where stretches make a run of run_words words, with at most bridge_words changed
+   words between them, the run's borders are paragraph borders; all other borders are line ends.
 2. Paragraphs of least_words words are banded by MinHash; colliding ones are joined and confirmed by the
-   exact Jaccard similarity of their five-word shingles.
+   exact Jaccard similarity of their five-word shingles. A line that a run's border divides is tried whole, too.
 3. Confirmed pairs are clustered; of each component the first paragraph stays, the others are cut out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch, slices
 from strandline.llm.minhash import Banding, near_duplicates
-from strandline.llm.shingles import Powers, mix, word_hashes
+from strandline.llm.shingles import Powers, _chain, word_hashes
 
 
 @dataclass(frozen=True)
@@ -30,31 +31,47 @@ class Passages:
 
     least_words: int = 30
     run_words: int = 40
-    sentence_words: int = 4
+    shingle_words: int = 8
+    stretch_words: int = 20
+    bridge_words: int = 5
     banding: Banding = Banding(width=5, percent=80, bands=12, rows=3)
     broadcast_bytes: int = 16 << 20
 
 
-def sentence_marks(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, words) of the sentences of a text in bytes.
+def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best of each window of width values."""
+    size = 1
+    while 2 * size <= width:
+        x, size = best(x[:-size], x[size:]), 2 * size
+    return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
-    A sentence ends with a word that ends in . ! or ?, or at a line's end; its hash is that of its words.
-    """
-    starts, ends, words = word_hashes(data, powers)
-    if not len(starts):
-        return starts, ends, words, starts
-    stop = np.isin(data[ends - 1], (33, 46, 63))
-    breaks = np.flatnonzero(data == 10)
-    after = np.searchsorted(breaks, ends)
-    next_start = np.append(starts[1:], len(data) + 1)
-    line_end = np.zeros(len(ends), bool)
-    inside = after < len(breaks)
-    line_end[inside] = breaks[after[inside]] < next_start[inside]
-    last = np.flatnonzero(stop | line_end | (np.arange(len(ends)) == len(ends) - 1))
-    first = np.append(0, last[:-1] + 1)
-    place = np.arange(len(words), dtype=np.uint64) - np.repeat(first, last - first + 1).astype(np.uint64)
-    sums = np.add.reduceat(mix(words + mix(place + np.uint64(7))), first)
-    return starts[first], ends[last], mix(sums), last - first + 1
+
+def anchors(h: np.ndarray, width: int) -> np.ndarray:
+    """Places of the values that are the least of some window of width values."""
+    if len(h) < width:
+        return np.zeros(0, np.int64)
+    least = np.concatenate((np.zeros(width - 1, np.uint64), _slide(h, width, np.minimum), np.zeros(width - 1, np.uint64)))
+    return np.flatnonzero(_slide(least, width, np.maximum) == h)
+
+
+def near_ends(at: np.ndarray, kind: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The sorted places at, and all places in reach of one where the next is far or of another kind, of n."""
+    chained = (np.diff(at) <= width) & (kind[1:] == kind[:-1])
+    left, right = at[np.append(True, ~chained)], at[np.append(~chained, True)]
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.maximum(left - width, 0), 1)
+    np.add.at(steps, left, -1)
+    np.add.at(steps, right, 1)
+    np.add.at(steps, np.minimum(right + width + 1, n), -1)
+    wanted = np.cumsum(steps[:n]) > 0
+    wanted[at] = True
+    return np.flatnonzero(wanted)
+
+
+def stretches(pos: np.ndarray, width: int, bridge: int) -> list[tuple[int, int]]:
+    """(first, last) index of each stretch of sorted shingle places whose words are apart by bridge words at most."""
+    breaks = np.flatnonzero(np.diff(pos) > width + bridge) + 1
+    return list(zip(np.append(0, breaks), np.append(breaks, len(pos)) - 1))
 
 
 def pieces(data: bytes, runs: list[int], least_words: int) -> list[tuple[int, int]]:
@@ -85,34 +102,114 @@ def pieces(data: bytes, runs: list[int], least_words: int) -> list[tuple[int, in
     return out
 
 
+def paragraphs(data: bytes, runs: list[int], least_words: int) -> tuple[list[tuple[int, int]], int]:
+    """Bounds of all paragraphs that are tried, and how many of them, the first ones, are the text together.
+
+    The others overlap these: lines that a run's border divides.
+    """
+    whole = pieces(data, runs, least_words)
+    seen, more = {(a, a + len(data[a:b].rstrip())) for a, b in whole}, []
+
+    def add(a: int, b: int) -> None:
+        if (key := (a, a + len(data[a:b].rstrip()))) not in seen:
+            seen.add(key)
+            more.append((a, b))
+
+    for c in runs:
+        a, b = data.rfind(b"\n", 0, c) + 1, data.find(b"\n", c)
+        add(a, len(data) if b < 0 else b + 1)
+    return whole + more, len(whole)
+
+
+def cut_bounds(parts: list[tuple[int, int]], gone: list[int], held: list[int]) -> list[tuple[int, int]]:
+    """What is cut of a text. gone: paragraph << 32 | (1 + the paragraph that stays in its place, or 0); held: those
+    that stay. What stays for a component is never cut, and no paragraph yields to one that overlaps it."""
+    taken, out = sorted(parts[i] for i in held), []
+    for code in sorted(gone):
+        a, b = parts[code >> 32]
+        if own := code & 0xFFFFFFFF:
+            x, y = parts[own - 1]
+            if x < b and a < y:
+                continue
+        for x, y in taken:
+            if a < b and x < b and a < y:
+                if a < x:
+                    out.append((a, x))
+                a = max(a, y)
+        if a < b:
+            out.append((a, b))
+        taken = sorted([*taken, parts[code >> 32]])
+    return sorted(out)
+
+
 def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
-    """(id, cuts): borders of runs of sentences that other documents hold too."""
+    """(id, cuts): borders of runs of words that other documents hold too."""
+    width, window = p.shingle_words, p.stretch_words - p.shingle_words + 1
+    kind = docs.schema["id"].dataType.simpleString()
+    small = lambda df, width: F.broadcast(df) if df.count() * width <= p.broadcast_bytes else df
+
+    def batch_of(batch: pa.RecordBatch, owner: list, cols: dict[str, list]) -> pa.RecordBatch:
+        ids = batch.column("id").take(pa.array(np.concatenate(owner).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in cols.values()]], names=["id", *cols])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 1000, 4_000_000):
-            cols: list[list] = [[], [], [], [], []]
-            owner = []
+            owner, cols = [], {"pos": [], "h": []}
             for i, text in enumerate(batch.column("text").to_pylist()):
-                start, end, h, n = sentence_marks(np.frombuffer(text.encode(), np.uint8), powers)
-                keep = np.flatnonzero(n >= p.sentence_words)
-                for c, x in zip(cols, (keep, start[keep], end[keep], h[keep].view(np.int64), n[keep]), strict=True):
+                h = _chain(word_hashes(np.frombuffer(text.encode(), np.uint8), powers)[2], width)
+                at = anchors(h, window)
+                owner.append(np.full(len(at), i))
+                cols["pos"].append(at)
+                cols["h"].append(h[at].view(np.int64))
+            yield batch_of(batch, owner, cols)
+
+    def shared(marks: DataFrame) -> DataFrame:
+        """(h, kind): the shingles of two or more documents; kind stands for the documents that hold them."""
+        held = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+        return held.where("lo < hi").select("h", F.xxhash64("lo", "hi", "n", "x").alias("kind"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in slices(batches, "text", 1000, 4_000_000):
+            owner, cols = [], {"pos": [], "h": [], "start": [], "end": []}
+            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("at"), strict=True)):
+                start, end, words = word_hashes(np.frombuffer(text.encode(), np.uint8), powers)
+                h = _chain(words, width)
+                pos, was, kinds = (at.values.field(k).to_numpy() for k in ("pos", "h", "kind"))
+                # Rows may share an id: only anchors of this text count.
+                own = (pos < len(h)) & (h[np.minimum(pos, len(h) - 1)].view(np.int64) == was) if len(h) else np.zeros(len(pos), bool)
+                pos, first = np.unique(pos[own], return_index=True)
+                if not len(pos):
+                    continue
+                pos = near_ends(pos, kinds[own][first], len(h), window)
+                owner.append(np.full(len(pos), i))
+                for c, x in zip(cols.values(), (pos, h[pos].view(np.int64), start[pos], end[pos + width - 1]), strict=True):
                     c.append(x)
-                owner.append(np.full(len(keep), i))
-            made = [pa.array(np.concatenate(c).astype(np.int64)) for c in cols]
-            ids = batch.column("id").take(pa.array(np.concatenate(owner).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, *made], names=["id", "pos", "start", "end", "h", "n"])
+            if owner:
+                yield batch_of(batch, owner, cols)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    marks = docs.mapInArrow(mark, f"id {kind}, pos bigint, start bigint, end bigint, h bigint, n bigint")
-    marks = scratch.write(marks, "sentences")
-    often = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    again = marks.join(often, "h").select("id", "pos", "start", "end", "n").distinct()
-    by_doc = Window.partitionBy("id").orderBy("pos")
-    run = F.sum(F.when(F.col("pos") - F.lag("pos").over(by_doc) <= 1, 0).otherwise(1)).over(by_doc)
-    runs = again.withColumn("run", run).groupBy("id", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.sum("n").alias("n")).where(F.col("n") >= p.run_words)
-    cuts = scratch.write(runs.groupBy("id").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("cuts")), "cuts")
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = []
+            for at in batch.column("at"):
+                pos, start, end = (at.values.field(k).to_numpy() for k in ("pos", "start", "end"))
+                order = np.argsort(pos, kind="stable")
+                pos, start, end = pos[order], start[order], end[order]
+                long = [(i, j) for i, j in stretches(pos, width, p.bridge_words) if pos[j] + width - pos[i] >= p.run_words]
+                cuts.append([int(x) for i, j in long for x in (start[i], end[j])])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cuts, pa.list_(pa.int64()))], names=["id", "cuts"])
+
+    marks = scratch.write(docs.mapInArrow(mark, f"id {kind}, pos bigint, h bigint"), "anchors")
+    again = marks.join(shared(marks), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
+    again = scratch.write(again, "again")
     scratch.drop(marks)
+    tested = docs.join(small(again, 1024), "id").mapInArrow(test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
+    tested = scratch.write(tested, "tested")
+    scratch.drop(again)
+    found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end")).alias("at"))
+    cuts = scratch.write(found.mapInArrow(join_up, f"id {kind}, cuts array<bigint>").where(F.size("cuts") > 0), "cuts")
+    scratch.drop(tested)
     return cuts
 
 
@@ -136,7 +233,7 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
             rows = []
             for id_, text, at in zip(batch.column("id"), batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 data = text.encode()
-                for no, (a, b) in enumerate(pieces(data, at or [], p.least_words)):
+                for no, (a, b) in enumerate(paragraphs(data, at or [], p.least_words)[0]):
                     if len(part := data[a:b]) >= 2 * p.least_words - 1 and len(part.split(None, p.least_words)) >= p.least_words:
                         rows.append(({"doc": id_.as_py(), "no": no}, part.decode()))
             ids, parts = zip(*rows, strict=True) if rows else ((), ())
@@ -144,8 +241,12 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
 
     items = scratch.write(marked.mapInArrow(cut, f"id struct<doc:{kind},no:int>, text string"), "paragraphs")
     found = near_duplicates(items, p.banding, scratch)
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id.doc").alias("id"), F.col("id.no").alias("no"))
-    gone = scratch.write(gone.groupBy("id").agg(F.collect_set("no").alias("gone")), "gone")
+    yields = found.where(F.col("id") != F.col("component"))
+    own = F.when(F.col("id.doc") == F.col("component.doc"), F.col("component.no") + 1).otherwise(0)
+    lost = yields.select(F.col("id.doc").alias("id"), F.expr("shiftleft(cast(id.no as bigint), 32)").bitwiseOR(own.cast("bigint")).alias("code"), F.lit(None).cast("int").alias("no"))
+    stays = yields.select("component").distinct().select(F.col("component.doc").alias("id"), F.lit(None).cast("bigint").alias("code"), F.col("component.no").alias("no"))
+    gone = lost.unionByName(stays).groupBy("id").agg(F.collect_set("code").alias("gone"), F.collect_set("no").alias("held")).where(F.size("gone") > 0)
+    gone = scratch.write(gone, "gone")
     scratch.drop(items)
     names = [c for c in docs.columns if c not in ("cut_paragraphs", "cut_bytes", "cut_spans")]
     out = docs.select(*names)
@@ -153,21 +254,24 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     out = out.join(small(scratch.write(plan, "plan"), 256), out[id_col] == F.col("_id"), "left").drop("_id")
 
     @F.pandas_udf("text string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>")
-    def rebuild(text, cuts, gone):
+    def rebuild(text, cuts, gone, held):
         import pandas as pd
 
         rows = []
-        for t, at, drop in zip(text, cuts, gone, strict=True):
+        for t, at, drop, stay in zip(text, cuts, gone, held, strict=True):
             if t is None or drop is None:
                 rows.append((t, 0, 0, []))
                 continue
-            data, drop = t.encode(), set(drop)
-            parts = pieces(data, list(at) if at is not None else [], p.least_words)
-            spans = [ab for no, ab in enumerate(parts) if no in drop]
-            kept = b"".join(data[a:b] for no, (a, b) in enumerate(parts) if no not in drop)
+            data = t.encode()
+            parts, n = paragraphs(data, list(at) if at is not None else [], p.least_words)
+            # Rows may share an id: numbers beyond this text's own are another's.
+            drop, stay = [int(c) for c in drop if c >> 32 < len(parts) and (c & 0xFFFFFFFF) <= len(parts)], [int(i) for i in stay if i < len(parts)]
+            spans = cut_bounds(parts, drop, stay)
+            edges = [0, *[x for ab in spans for x in ab], len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((kept.decode(), len(spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(rows, columns=["text", "cut_paragraphs", "cut_bytes", "cut_spans"])
 
-    out = out.withColumn("_new", rebuild(F.col(text_col), F.col("cuts"), F.col("gone")))
+    out = out.withColumn("_new", rebuild(F.col(text_col), F.col("cuts"), F.col("gone"), F.col("held")))
     cols = [F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in names]
     return out.select(*cols, "_new.cut_paragraphs", "_new.cut_bytes", "_new.cut_spans")

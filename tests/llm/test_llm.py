@@ -149,6 +149,21 @@ def test_passages(spark):
     assert remove_passages(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_without_sentence_borders(spark):
+    """Words run on before and behind; short sentences stand between; one word is changed."""
+    words = prose(60, 400)
+    plain = " ".join(words)
+    short = " ".join(w + "." if i % 9 in (0, 2) else w for i, w in enumerate(prose(60, 401)))
+    changed = " ".join([*words[:30], "zzz", *words[31:]])
+    host = lambda part, seed: " ".join(prose(70, seed)) + " " + part + " " + " ".join(prose(70, seed + 1))
+    rows = [(1, host(plain, 410)), (2, host(plain, 420)), (3, host(short, 430)), (4, host(short, 440)), (5, host(changed, 450)), (6, host(" ".join(prose(60, 402)), 460))]
+    got = {r["doc_id"]: r for r in remove_passages(documents(spark, rows)).collect()}
+    assert all(got[i]["text"] == rows[i - 1][1] for i in (1, 3, 6))
+    for i, part in ((2, plain), (4, short), (5, changed)):
+        assert got[i]["text"] == rows[i - 1][1].replace(part, "")
+        assert [rows[i - 1][1][a:b] for a, b in got[i]["cut_spans"]] == [part]
+
+
 def sets(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
