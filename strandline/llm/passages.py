@@ -6,7 +6,9 @@
    the borders to the word. Where stretches make a run of run_words words, with at most bridge_words changed
    words between them, the run's borders are paragraph borders; all other borders are line ends.
 2. Paragraphs of least_words words are banded by MinHash; colliding ones are joined and confirmed by the
-   exact Jaccard similarity of their five-word shingles. A line that a run's border divides is tried whole, too.
+   exact Jaccard similarity of their five-word shingles. Tried as paragraphs, too: the lines that a run's border
+   divides, and within a run the stretches that the same documents hold, so neighbouring passages of different
+   holders are found both alone and together.
 3. Confirmed pairs are clustered; of each component the first paragraph stays, the others are cut out.
 """
 
@@ -102,10 +104,11 @@ def pieces(data: bytes, runs: list[int], least_words: int) -> list[tuple[int, in
     return out
 
 
-def paragraphs(data: bytes, runs: list[int], least_words: int) -> tuple[list[tuple[int, int]], int]:
-    """Bounds of all paragraphs that are tried, and how many of them, the first ones, are the text together.
+def paragraphs(data: bytes, runs: list[int], parts: list[int], least_words: int) -> list[tuple[int, int]]:
+    """Bounds of all paragraphs that are tried; the first ones are the text together.
 
-    The others overlap these: lines that a run's border divides.
+    The others overlap these: lines that a run's border divides, and parts (start, end, start, end ...) of runs,
+    which are cut at line ends as a run is.
     """
     whole = pieces(data, runs, least_words)
     seen, more = {(a, a + len(data[a:b].rstrip())) for a, b in whole}, []
@@ -118,7 +121,10 @@ def paragraphs(data: bytes, runs: list[int], least_words: int) -> tuple[list[tup
     for c in runs:
         a, b = data.rfind(b"\n", 0, c) + 1, data.find(b"\n", c)
         add(a, len(data) if b < 0 else b + 1)
-    return whole + more, len(whole)
+    for a, b in zip(parts[::2], parts[1::2]):
+        for x, y in pieces(data[a:b], [0, b - a], least_words):
+            add(a + x, a + y)
+    return whole + more
 
 
 def cut_bounds(parts: list[tuple[int, int]], gone: list[int], held: list[int]) -> list[tuple[int, int]]:
@@ -143,7 +149,8 @@ def cut_bounds(parts: list[tuple[int, int]], gone: list[int], held: list[int]) -
 
 
 def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
-    """(id, cuts): borders of runs of words that other documents hold too."""
+    """(id, cuts, parts): borders of runs of words that other documents hold too, and of the stretches within runs
+    that are held by the same documents throughout."""
     width, window = p.shingle_words, p.stretch_words - p.shingle_words + 1
     kind = docs.schema["id"].dataType.simpleString()
     small = lambda df, width: F.broadcast(df) if df.count() * width <= p.broadcast_bytes else df
@@ -191,14 +198,24 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = []
+            cuts, parts = [], []
             for at in batch.column("at"):
-                pos, start, end = (at.values.field(k).to_numpy() for k in ("pos", "start", "end"))
+                pos, start, end, kinds = (at.values.field(k).to_numpy() for k in ("pos", "start", "end", "kind"))
                 order = np.argsort(pos, kind="stable")
-                pos, start, end = pos[order], start[order], end[order]
+                pos, start, end, kinds = pos[order], start[order], end[order], kinds[order]
                 long = [(i, j) for i, j in stretches(pos, width, p.bridge_words) if pos[j] + width - pos[i] >= p.run_words]
                 cuts.append([int(x) for i, j in long for x in (start[i], end[j])])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cuts, pa.list_(pa.int64()))], names=["id", "cuts"])
+                runs = {(int(start[i]), int(end[j])) for i, j in long}
+                inside = np.concatenate([np.arange(i, j + 1) for i, j in long]) if long else np.zeros(0, np.int64)
+                # All holders' stretches at once: holders first, then places, and a border where the holders change.
+                inside = inside[np.lexsort((pos[inside], kinds[inside]))]
+                q = pos[inside]
+                breaks = np.flatnonzero((np.diff(q) > width + p.bridge_words) | (np.diff(kinds[inside]) != 0)) + 1
+                ends = zip(np.append(0, breaks), np.append(breaks, len(q)) - 1) if len(q) else ()
+                own = {(int(start[inside[i]]), int(end[inside[j]])) for i, j in ends if q[j] + width - q[i] >= p.least_words}
+                parts.append([x for ab in sorted(own - runs) for x in ab])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (cuts, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "cuts", "parts"])
 
     marks = scratch.write(docs.mapInArrow(mark, f"id {kind}, pos bigint, h bigint"), "anchors")
     again = marks.join(shared(marks), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
@@ -207,8 +224,8 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     tested = docs.join(small(again, 1024), "id").mapInArrow(test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
     tested = scratch.write(tested, "tested")
     scratch.drop(again)
-    found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end")).alias("at"))
-    cuts = scratch.write(found.mapInArrow(join_up, f"id {kind}, cuts array<bigint>").where(F.size("cuts") > 0), "cuts")
+    found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end", "kind")).alias("at"))
+    cuts = scratch.write(found.mapInArrow(join_up, f"id {kind}, cuts array<bigint>, parts array<bigint>").where(F.size("cuts") > 0), "cuts")
     scratch.drop(tested)
     return cuts
 
@@ -231,9 +248,9 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 8_000_000):
             rows = []
-            for id_, text, at in zip(batch.column("id"), batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+            for id_, text, at, own in zip(batch.column("id"), *(batch.column(c).to_pylist() for c in ("text", "cuts", "parts")), strict=True):
                 data = text.encode()
-                for no, (a, b) in enumerate(paragraphs(data, at or [], p.least_words)[0]):
+                for no, (a, b) in enumerate(paragraphs(data, at or [], own or [], p.least_words)):
                     if len(part := data[a:b]) >= 2 * p.least_words - 1 and len(part.split(None, p.least_words)) >= p.least_words:
                         rows.append(({"doc": id_.as_py(), "no": no}, part.decode()))
             ids, parts = zip(*rows, strict=True) if rows else ((), ())
@@ -254,24 +271,25 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     out = out.join(small(scratch.write(plan, "plan"), 256), out[id_col] == F.col("_id"), "left").drop("_id")
 
     @F.pandas_udf("text string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>")
-    def rebuild(text, cuts, gone, held):
+    def rebuild(text, cuts, parts, gone, held):
         import pandas as pd
 
         rows = []
-        for t, at, drop, stay in zip(text, cuts, gone, held, strict=True):
+        for t, at, own, drop, stay in zip(text, cuts, parts, gone, held, strict=True):
             if t is None or drop is None:
                 rows.append((t, 0, 0, []))
                 continue
             data = t.encode()
-            parts, n = paragraphs(data, list(at) if at is not None else [], p.least_words)
+            at, own = ([int(x) for x in c] if c is not None else [] for c in (at, own))
+            tried = paragraphs(data, at, own, p.least_words)
             # Rows may share an id: numbers beyond this text's own are another's.
-            drop, stay = [int(c) for c in drop if c >> 32 < len(parts) and (c & 0xFFFFFFFF) <= len(parts)], [int(i) for i in stay if i < len(parts)]
-            spans = cut_bounds(parts, drop, stay)
+            drop, stay = [int(c) for c in drop if c >> 32 < len(tried) and (c & 0xFFFFFFFF) <= len(tried)], [int(i) for i in stay if i < len(tried)]
+            spans = cut_bounds(tried, drop, stay)
             edges = [0, *[x for ab in spans for x in ab], len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((kept.decode(), len(spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(rows, columns=["text", "cut_paragraphs", "cut_bytes", "cut_spans"])
 
-    out = out.withColumn("_new", rebuild(F.col(text_col), F.col("cuts"), F.col("gone"), F.col("held")))
+    out = out.withColumn("_new", rebuild(F.col(text_col), F.col("cuts"), F.col("parts"), F.col("gone"), F.col("held")))
     cols = [F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in names]
     return out.select(*cols, "_new.cut_paragraphs", "_new.cut_bytes", "_new.cut_spans")

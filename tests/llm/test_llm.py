@@ -164,6 +164,18 @@ def test_passages_without_sentence_borders(spark):
         assert [rows[i - 1][1][a:b] for a, b in got[i]["cut_spans"]] == [part]
 
 
+def test_neighbouring_passages_of_different_holders(spark):
+    """Two passages, or a passage and a common sentence, side by side in one line."""
+    one, two, three = (" ".join(prose(n, 800 + n)) for n in (60, 61, 62))
+    common = " ".join(prose(12, 903)) + "."
+    host = lambda part, seed: " ".join(prose(70, seed)) + " " + part + " " + " ".join(prose(70, seed + 1))
+    rows = [(1, host(one, 510)), (2, host(two, 520)), (3, host(one + " " + two, 530)), (4, host(three + " " + common, 540)), (5, host(three, 550)), *[(10 + i, host(common, 560 + 10 * i)) for i in range(5)]]
+    got = {r["doc_id"]: r for r in remove_passages(documents(spark, rows)).collect()}
+    assert got[3]["text"] == rows[2][1].replace(one, "").replace(two, "")
+    assert got[5]["text"] == rows[4][1].replace(three, "")
+    assert all(r["text"] == dict(rows)[i] for i, r in got.items() if i not in (3, 5))
+
+
 def sets(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
