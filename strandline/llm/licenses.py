@@ -1,14 +1,16 @@
 """License scan by conditional compression, confirmed by exact wording.
 
-A block of text that could hold a licence statement is compressed alone and once with each template as a
-raw zstandard dictionary. What a template saves ranks the templates; the best one is confirmed by a word
-diff of the block and the template, whose differences must be few.
+Words around a telling word, over line ends and comment marks, are aligned with each template that shares enough
+words; the differences must be few. The aligned part is compressed alone and with the template as a raw zstandard
+dictionary, which must save enough. The best template takes its part; what is left on both sides is tried again.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,16 +51,25 @@ _JVM_CANDIDATE = r"(?i)licen[cs]|permission is hereby|redistribution and use"
 @dataclass(frozen=True)
 class Scan:
     """least_saved: share of a block's own compressed size that the best template must save; most_changed: share of
-    differing words that still confirms it; slack: words around a template within a block."""
+    differing words that still confirms it; reach: words on each side of a telling word, as a share of the longest template."""
 
     least_saved: float = 0.25
     most_changed: float = 0.2
     level: int = 3
-    window_words: int = 80
+    reach: float = 1.4
+
+
+_WORD = re.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]")
+#: Words that tell licences apart which are otherwise worded alike; so do numbers.
+_TELLING = {"lesser", "affero", "noncommercial", "sharealike", "noderivatives", "noderivs", "by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"}
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]", text.lower())
+    return _WORD.findall(text.lower())
+
+
+def telling(words: list[str]) -> set[str]:
+    return {re.sub(r"(\.0)+$", "", w) for w in words if w in _TELLING or re.fullmatch(r"v?[\d.]+", w)}
 
 
 class Matcher:
@@ -68,52 +79,85 @@ class Matcher:
         self.items = []
         for name, texts in templates.items():
             for text in texts:
-                raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.items.append((name, words_of(text), zstandard.ZstdCompressor(level=s.level, dict_data=raw)))
-
-    def blocks(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(start, end, block) of the candidate lines, long lines cut to windows around the candidate word."""
-        at = -1
-        for m in _CANDIDATE.finditer(text):
-            if m.start() < at:
+                want = words_of(text)
+                raw = zstandard.ZstdCompressionDict(" ".join(want).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.items.append((name, want, Counter(want), zstandard.ZstdCompressor(level=s.level, dict_data=raw)))
+        self.reach = int(s.reach * max((len(i[1]) for i in self.items), default=0)) + 2
+        self.seen: dict[str, list] = {}
+
+    def find(self, text: str) -> list[tuple[int, int, str, float, float]]:
+        """(start, end, licence, share saved, share of words changed) of all confirmed parts, in their order."""
+        hits = [m.start() for m in _CANDIDATE.finditer(text)]
+        if not hits:
+            return []
+        marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        starts, words = [a for a, _ in marks], [text[a:b].lower() for a, b in marks]
+        found: list[tuple[int, int, str, float, float]] = []
+        for at in hits:
+            c = max(0, bisect.bisect_right(starts, at) - 1)
+            lo = max([c - self.reach, 0, *[b for _, b, *_ in found if b <= c]])
+            hi = min([c + self.reach, len(words), *[a for a, *_ in found if a > c]])
+            if any(a <= c < b for a, b, *_ in found[-8:]):
+                continue
+            found = sorted(found + [(lo + a, lo + b, *rest) for a, b, *rest in self.match(words[lo:hi])])
+        return [(marks[a][0], marks[b - 1][1], *rest) for a, b, *rest in found]
+
+    def match(self, have: list[str]) -> list[tuple[int, int, str, float, float]]:
+        """Like find, over words, with places of words for characters."""
+        key = " ".join(have)
+        if key not in self.seen:
+            if len(self.seen) > 20_000:
+                self.seen.clear()
+            self.seen[key] = self._match(have)
+        return self.seen[key]
+
+    def _match(self, have: list[str]) -> list[tuple[int, int, str, float, float]]:
+        counts, best = Counter(have), None
+        for i, (name, want, needed, compressor) in enumerate(self.items):
+            if sum((counts & needed).values()) < (1 - self.s.most_changed) * len(want) - 1e-9:
+                continue
+            changed, a, b = alignment(have, want)
+            if changed > self.s.most_changed or telling(have[a:b]) != telling(want):
                 continue
-            a = text.rfind("\n", 0, m.start()) + 1
-            b = text.find("\n", m.end())
-            b = len(text) if b < 0 else b
-            reach = self.s.window_words * 8
-            a, b = max(a, m.start() - reach), min(b, m.end() + reach)
-            at = b
-            yield a, b, text[a:b]
-
-    def match(self, block: str) -> tuple[str, float, float] | None:
-        """(licence, share saved, share of words changed) of the best confirmed template."""
-        data = block.lower().encode()
-        own = len(self.alone.compress(block.encode()))
-        ranked = sorted(((own - len(c.compress(block.encode()))) / own, -i) for i, (_, _, c) in enumerate(self.items))[::-1]
-        have = words_of(data.decode())
-        best = None
-        for saved, i in ranked[:4]:
-            name, want, _ = self.items[-i]
-            if saved < self.s.least_saved and len(have) <= 2 * len(want):
-                break
-            changed = wording_difference(have, want)
-            if changed <= self.s.most_changed and (best is None or changed < best[2]):
-                best = name, saved, changed
-        return best
+            part = " ".join(have[a:b]).encode()
+            own = len(self.alone.compress(part))
+            saved = (own - len(compressor.compress(part))) / own
+            if saved >= self.s.least_saved and (best is None or (changed, -saved, i) < best[0]):
+                best = (changed, -saved, i), a, b, name
+        if best is None:
+            return []
+        (changed, lost, _), a, b, name = best
+        right = [(b + x, b + y, *rest) for x, y, *rest in self._match(have[b:])]
+        return [*self._match(have[:a]), (a, b, name, -lost, changed), *right]
+
+
+def alignment(have: list[str], want: list[str]) -> tuple[float, int, int]:
+    """(words changed, missing or put in between as a share of want, start, end) of the best place of want in have."""
+    near = difflib.SequenceMatcher(None, have, want, autojunk=False)
+    core = near.find_longest_match()
+    if not core.size:
+        return 1.0, 0, 0
+    slack = len(want) // 4 + 1
+    lo = max(0, core.a - core.b - slack)
+    hi = core.a + len(want) - core.b + slack
+    blocks = [m for m in difflib.SequenceMatcher(None, have[lo:hi], want, autojunk=False).get_matching_blocks() if m.size]
+    best = (1.0, 0, 0)
+    for i in range(len(blocks)):
+        same = 0
+        for j in range(i, len(blocks)):
+            same += blocks[j].size
+            inside = blocks[j].a + blocks[j].size - blocks[i].a
+            best = min(best, (((len(want) - same) + (inside - same)) / len(want), lo + blocks[i].a, lo + blocks[j].a + blocks[j].size))
+    return best
 
 
 def wording_difference(have: list[str], want: list[str]) -> float:
     """Words changed, missing or put in between, as a share of the template; words around it are free."""
-    blocks = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
-    if not blocks:
-        return 1.0
-    same = sum(m.size for m in blocks)
-    inside = blocks[-1].a + blocks[-1].size - blocks[0].a
-    return ((len(want) - same) + max(0, inside - same)) / len(want)
+    return alignment(have, want)[0]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, s: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, licenses (sorted distinct identifiers), spans of confirmed blocks.
+    """One row per document: id_col, licenses (sorted distinct identifiers), spans of confirmed parts.
 
     spans: array of (start, end, license, saved, changed), character bounds in the text. A document
     without confirmed statement, with an empty or a null text has empty arrays. Repeated rows give repeated
@@ -127,18 +171,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, s)
-        seen: dict[str, tuple | None] = {}
         for batch in slices(batches, "text", 2000, 8_000_000):
             names, spans = [], []
             for text in batch.column("text").to_pylist():
-                found = []
-                for a, b, block in matcher.blocks(text or ""):
-                    if block not in seen:
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        seen[block] = matcher.match(block)
-                    if got := seen[block]:
-                        found.append({"start": a, "end": b, "license": got[0], "saved": got[1], "changed": got[2]})
+                found = [{"start": a, "end": b, "license": name, "saved": saved, "changed": changed} for a, b, name, saved, changed in matcher.find(text or "")]
                 spans.append(found)
                 names.append(sorted({x["license"] for x in found}))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(span))], names=["id", "licenses", "spans"])

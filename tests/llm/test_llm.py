@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from strandline.llm import queries
 from strandline.llm.common import Scratch
 from strandline.llm.language import identify_languages, learn_profiles
-from strandline.llm.licenses import scan_licenses
+from strandline.llm.licenses import TEMPLATES, scan_licenses
 from strandline.llm.media import Chunking, media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
@@ -65,6 +66,17 @@ def test_licenses(spark):
     assert got == [(1, ("MIT",)), (2, ()), (3, ()), (4, ()), (5, ("Apache-2.0",)), (5, ("Apache-2.0",))]
 
 
+def test_licenses_over_line_ends_and_side_by_side(spark):
+    wrap = lambda text, mark: "\n".join(mark + line for line in textwrap.wrap(text, 72 - len(mark)))
+    long = {k: max(v, key=len) for k, v in TEMPLATES.items()}
+    rows = [(i, "int x;\n" + wrap(long[k], mark) + "\nint y;") for i, (k, mark) in enumerate(((k, m) for k in ("MIT", "GPL-3.0", "BSD-3-Clause", "Apache-2.0") for m in ("", " * ", "// ", "# ")))]
+    gpl2 = wrap(long["GPL-3.0"].replace("version 3", "version 2"), "# ")
+    rows += [(50, "Released under the MIT License. Licensed under the Apache License, Version 2.0."), (51, wrap(long["MIT"], "# ") + "\n#\n" + wrap(long["BSD-3-Clause"], "# ")), (52, gpl2)]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(16)] == [[k] for k in ("MIT", "GPL-3.0", "BSD-3-Clause", "Apache-2.0") for _ in range(4)]
+    assert got[50] == ["Apache-2.0", "MIT"] and got[51] == ["BSD-3-Clause", "MIT"] and got[52] == []
+
+
 def test_quality_held_out(spark):
     got = queries.op3_quality_tables(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
