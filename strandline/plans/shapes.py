@@ -158,10 +158,10 @@ _FRAMES = "fr AS (SELECT vec_id AS frame, embedding[1]::DOUBLE AS cx, embedding[
         SELECT v.v_id, coalesce(hits, 0) AS hits, round(coalesce(weighted, 128), 6) AS weighted, round(coalesce(plain, 128), 6) AS plain FROM vertices v LEFT JOIN m USING (v_id)""",
 )
 def p2(t: Tables) -> DataFrame:
-    """Every vertex in every chosen frame: the frames (one row each) are a stated, decimated set, held on every executor."""
+    """Every vertex in every frame of the decimated set of its SQL; Spark broadcasts the frames only where their size allows it."""
     e = lambda i: F.element_at("embedding", i).cast("double")
     frames = t["embeddings"].where("vec_id % 50 = 0").select(F.col("vec_id").alias("frame"), e(1).alias("cx"), e(2).alias("cy"), (e(3) - 1).alias("cz"))
-    d = t.vertices.join(F.broadcast(frames)).withColumn("p", G.world_to_optical(G.vec(F.col("x"), F.col("y"), F.col("z")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1), G.vec(F.col("cx"), F.col("cy"), F.col("cz")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1)))
+    d = t.vertices.crossJoin(frames).withColumn("p", G.world_to_optical(G.vec(F.col("x"), F.col("y"), F.col("z")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1), G.vec(F.col("cx"), F.col("cy"), F.col("cz")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1)))
     u, v = G.project(F.col("p"), 500.0, 500.0, 320.0, 240.0)
     z = G.at(F.col("p"), 2)
     seen = d.where((z > 0.2) & (z < 5) & (u >= 0) & (u < 639) & (v >= 0) & (v < 479)).select("v_id", (F.col("frame") % 251).alias("shade"), (1 / (z * z + 1e-3)).alias("w"))
