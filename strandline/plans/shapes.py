@@ -186,13 +186,29 @@ def g10(t: Tables) -> DataFrame:
         SELECT recording_id, arg_max(plane, inliers * 1000 - up) AS plane FROM o WHERE up > 1 AND (n <= 2 OR up < n) GROUP BY 1""",
 )
 def t6(t: Tables) -> DataFrame:
-    """Of a recording's level planes, without the lowest and, of more than two, the highest, the one with most inliers."""
-    from pyspark.sql import Window
+    return _table_plane(_level_planes(t).where("plane < 30"))
+
+
+@query(
+    "t6_table_plane_all",
+    """WITH h AS (SELECT vec_id % 3 AS recording_id, vec_id AS plane, embedding[5]::DOUBLE AS height, vec_id * 37 % 101 AS inliers FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY height, plane) AS up, count(*) OVER (PARTITION BY recording_id) AS n FROM h),
+        b AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY inliers DESC, up) AS best FROM o WHERE up > 1 AND (n <= 2 OR up < n)) SELECT recording_id, plane FROM b WHERE best = 1""",
+)
+def t6_all(t: Tables) -> DataFrame:
+    """The same over all planes; t6_table_plane keeps to the planes of its SQL."""
+    return _table_plane(_level_planes(t))
 
-    h = t["embeddings"].where("vec_id < 30").select((F.col("vec_id") % 3).alias("recording_id"), F.col("vec_id").alias("plane"), F.element_at("embedding", 5).cast("double").alias("height"), (F.col("vec_id") * 37 % 101).alias("inliers"))
-    w = Window.partitionBy("recording_id")
-    o = h.withColumn("up", F.row_number().over(w.orderBy("height", "plane"))).withColumn("n", F.count("*").over(w))
-    return o.where((F.col("up") > 1) & ((F.col("n") <= 2) | (F.col("up") < F.col("n")))).groupBy("recording_id").agg(F.max_by("plane", F.struct("inliers", -F.col("up"))).alias("plane"))
+
+def _level_planes(t: Tables) -> DataFrame:
+    return t["embeddings"].select((F.col("vec_id") % 3).alias("recording_id"), F.col("vec_id").alias("plane"), F.element_at("embedding", 5).cast("double").alias("height"), (F.col("vec_id") * 37 % 101).alias("inliers"))
+
+
+def _table_plane(h: DataFrame) -> DataFrame:
+    """Of a recording's level planes, without the lowest and, of more than two, the highest, the one with most inliers."""
+    at = F.struct("height", "plane")
+    ends = h.groupBy("recording_id").agg(F.min(at).alias("lowest"), F.max(at).alias("highest"), F.count("*").alias("n"))
+    o = h.join(ends, "recording_id").where((at != F.col("lowest")) & ((F.col("n") <= 2) | (at != F.col("highest"))))
+    return o.groupBy("recording_id").agg(F.max_by("plane", F.struct("inliers", -F.col("height"), -F.col("plane"))).alias("plane"))
 
 
 @query(
