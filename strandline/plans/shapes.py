@@ -227,5 +227,5 @@ def p5(t: Tables) -> DataFrame:
 
 @query("p6_planes")
 def p6(t: Tables) -> DataFrame:
-    found = M.planes(t.points, most=3, trials=200, least=10)
+    found = M.planes(t.points)
     return t.spark.createDataFrame([(i, *map(float, eq), n) for i, (eq, n) in enumerate(found)], "plane int, a double, b double, c double, d double, points bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import mesh as M
 from strandline.operators.detections import footprints, outline, suppress
+from strandline.plans import catalog
 
 VERTEX, FACE = "v_id bigint, x double, y double, z double", "f_id bigint, a bigint, b bigint, c bigint"
 
@@ -94,6 +95,14 @@ def test_planes(spark):
     assert M.planes(d.where("pt_id < 2")) == []
 
 
+def test_registered_planes_are_all_found(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    xyz = np.concatenate([np.insert(rng.uniform(-1, 1, (300, 2)), 2 - i % 2, 5.0 * i, axis=1) for i in range(5)])
+    rows = [(i, [0.0] * 7 + [float(c) for c in p] + [0.0] * 54) for i, p in enumerate(xyz)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.QUERIES["p6_planes"](spark, str(tmp_path)).count() == 5
+
+
 def test_outline_and_footprints(spark):
     rng = np.random.default_rng(5)
     for n in (3, 5, 40):
