@@ -231,7 +231,8 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
             links = links.unionByName(new)
             found = components(links, scratch)
     per_class = copied.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("by_class"))
-    out = sketch.select("id", "n", "same").join(per_class, "same", "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+    per_class = per_class.withColumnRenamed("same", "of")
+    out = sketch.select("id", "n", "same").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
     return out.select("id", "n", "same", F.coalesce("by_class", "own", "id").alias("component"))
 
 

@@ -224,6 +224,12 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_null_ids_are_linked_with_nothing(spark):
+    text = " ".join(prose(50, 700))
+    got = minhash_dedup(documents(spark, [(1, text), (2, text), (None, text), (None, text)])).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("1", "1", True), ("2", "1", False), ("None", "None", True), ("None", "None", True)]
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * rng.uniform(0.1, 3, (400, 1))
