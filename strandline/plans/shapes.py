@@ -105,6 +105,12 @@ def u4(t: Tables) -> DataFrame:
     return S.compact(t.vertices, t.faces.where("f_id % 2 = 0"))[0].select("v_id", "new_id")
 
 
+@query("u4_compacted_vertices_all", "WITH u AS (SELECT DISTINCT unnest([a, b, c]) AS v_id FROM faces) SELECT v_id, row_number() OVER (ORDER BY v_id) - 1 AS new_id FROM vertices WHERE v_id IN (SELECT v_id FROM u)")
+def u4_all(t: Tables) -> DataFrame:
+    """The same over all faces; the gaps are the data's own unused vertices."""
+    return S.compact(t.vertices, t.faces)[0].select("v_id", "new_id")
+
+
 @query("u1_u2_union_distinct", "SELECT DISTINCT CAST(floor(x * 20) AS BIGINT) AS ix, CAST(floor(y * 20) AS BIGINT) AS iy FROM (SELECT x, y FROM points UNION ALL SELECT x, y FROM vertices)")
 def u1(t: Tables) -> DataFrame:
     both = t.points.select("x", "y").unionByName(t.vertices.select("x", "y"))
