@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,22 +18,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where that is unset, a temporary one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Bytes of an Arrow batch between the JVM and Python: texts are long, and a task holds its batch on both sides.
+ARROW_BYTES = 8 << 20
+SPARKS_ARROW_BYTES = "67108864b"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes, unless the session has a bound of its own."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, SPARKS_ARROW_BYTES) == SPARKS_ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
-    """Written tables of one operator run, in the shared folder.
+    """Written tables of one operator run, in the shared folder; what is left of them goes when Spark ends.
 
     Spark shuffle files are freed when each write ends, so an operator's disk need is its largest step.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from strandline.llm.topk import top_k
 from strandline.llm.warc import warc_round_trip
 
 #: The tokenizer file is a parameter of the operator; the queries use the installed public one.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_passages(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "text", "cut_paragraphs", "cut_bytes", "cut_spans")
+    return cut.select("doc_id", "text", "cut_paragraphs", "cut_bytes", "cut_spans", "has_repeat")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
