@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices, text_bytes
+from strandline.llm.common import map_arrow, slices, text_bytes
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -172,15 +172,16 @@ def learn_profiles(labelled: DataFrame, depth: int = 400, sample: int = 20_000,
                 sums = np.bincount(at, n[mine], minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(sums)], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    slot = F.pmod(F.xxhash64("gram"), F.lit(16)).alias("slot")
-    # Each slot's most frequent n-grams hold the language's: a sorted, bounded list for each slot.
-    cut = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, depth)
-    rows = counts.groupBy("lang", slot).agg(cut.alias("top")).collect()
+    counts = map_arrow(chosen, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    slot = F.pmod(F.xxhash64("gram"), F.lit(16))
+    # Each slot's most frequent n-grams hold the language's. A ranked window keeps depth rows of each slot in every
+    # task before anything moves.
+    ranked = Window.partitionBy("lang", "slot").orderBy(F.desc("n"), "gram")
+    rows = counts.withColumn("slot", slot).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= depth).collect()
     languages = tuple(sorted(sizes))
     keys, ranks = [], []
     for name in languages:
-        best = sorted((n, g) for r in rows if r["lang"] == name for n, g in r["top"])[:depth]
+        best = sorted((-r["n"], r["gram"]) for r in rows if r["lang"] == name)[:depth]
         grams = np.array([g for _, g in best], np.int64)
         order = np.argsort(grams)
         keys.append(grams[order])
@@ -209,5 +210,5 @@ def identify_languages(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...
             cols = [batch.column(n) for n, _ in kept] + [pa.array([names[i] for i in best], pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*[n for n, _ in kept], "lang_pred", "score"])
 
-    out = docs.select(*made).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kept) + ", lang_pred string, score double")
+    out = map_arrow(docs.select(*made), run, ", ".join(f"{n} {t}" for n, t in kept) + ", lang_pred string, score double")
     return out.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

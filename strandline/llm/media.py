@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, slices, text_bytes
+from strandline.llm.common import Scratch, map_arrow, slices, text_bytes
 
 _GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -136,7 +136,7 @@ def store_media(docs: DataFrame, scratch: Scratch, c: Chunking = Chunking(), id_
             lists = [[hashlib.sha256(p[a:b]).digest() for a, b in bounds] for _, p, bounds in payloads(batch.column("text"), c)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mid"), pa.array(lists, pa.list_(pa.binary()))], names=["id", "mid", "chunks"])
 
-    refs = scratch.write(texts.mapInArrow(reference, f"id {id_type}, mid binary, chunks array<binary>"), "refs")
+    refs = scratch.write(map_arrow(texts, reference, f"id {id_type}, mid binary, chunks array<binary>"), "refs")
     writers = refs.groupBy("mid").agg(F.min("id").alias("writer"))
     first = refs.join(writers, "mid").where(F.col("id").eqNullSafe(F.col("writer")))
     chunks = first.select("mid", F.posexplode("chunks").alias("pos", "digest")).distinct()
@@ -167,7 +167,7 @@ def store_media(docs: DataFrame, scratch: Scratch, c: Chunking = Chunking(), id_
             cols = [batch.column("mid"), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(whole, pa.binary()), pa.array(held, own_type)]
             yield pa.RecordBatch.from_arrays(cols, names=["mid", "n_bytes", "n_chunks", "whole", "own"])
 
-    packs = mine.select("mid", "text", "skip", "lend").mapInArrow(pack, "mid binary, n_bytes bigint, n_chunks int, whole binary, own array<struct<pos:int,shared:boolean,data:binary>>")
+    packs = map_arrow(mine.select("mid", "text", "skip", "lend"), pack, "mid binary, n_bytes bigint, n_chunks int, whole binary, own array<struct<pos:int,shared:boolean,data:binary>>")
     store = scratch.write(packs, "store")
     scratch.drop(said, copies)
     return refs, plan, store
@@ -213,7 +213,7 @@ def read_media(plan: DataFrame, store: DataFrame, c: Chunking = Chunking()) -> D
     heads = lacking.select("mid", F.lit(-1).alias("pos"), "n_bytes", "whole", F.lit(None).cast("binary").alias("data"))
     held = lacking.select("mid", F.explode("own").alias("x"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("whole")).select("mid", "x.pos", "n_bytes", "whole", "x.data")
     rows = heads.unionByName(held).unionByName(fetched).repartition("mid").sortWithinPartitions("mid", "pos")
-    return store.where(complete).mapInArrow(whole, _FACTS).unionByName(rows.mapInArrow(ordered, _FACTS)).dropDuplicates(["mid"])
+    return map_arrow(store.where(complete), whole, _FACTS).unionByName(map_arrow(rows, ordered, _FACTS)).dropDuplicates(["mid"])
 
 
 def media_columns(docs: DataFrame, c: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, slices
+from strandline.llm.common import Scratch, map_arrow, slices
 from strandline.llm.components import components
 from strandline.llm.shingles import Powers, mix, shingle_sets
 
@@ -115,7 +115,7 @@ def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) ->
     kind = items.schema["id"].dataType.simpleString()
     if ids.count() * 32 <= b.broadcast_bytes:
         ids = F.broadcast(ids)
-    return scratch.write(items.join(ids, "id", "left_semi").mapInArrow(_sets(b.width), f"id {kind}, words array<bigint>"), "sets")
+    return scratch.write(map_arrow(items.join(ids, "id", "left_semi"), _sets(b.width), f"id {kind}, words array<bigint>"), "sets")
 
 
 def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
@@ -167,7 +167,7 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
                 cols = [ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows])), pa.FixedSizeListArray.from_arrays(pa.array(sketches), SKETCH_WORDS).cast(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "at", "w", "sketch"])
 
-    heads = sets.mapInArrow(firsts, f"id {kind}, n bigint, at bigint, w bigint, sketch array<bigint>").join(classes, "id")
+    heads = map_arrow(sets, firsts, f"id {kind}, n bigint, at bigint, w bigint, sketch array<bigint>").join(classes, "id")
     heads = scratch.write(heads, "heads")
     x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
     y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"), F.col("sketch").alias("sv"))
@@ -190,7 +190,7 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     texts are equal. Rows with a null id or without words are linked with nothing: their component is their id.
     """
     kind = items.schema["id"].dataType.simpleString()
-    sketch = items.mapInArrow(_sketch(b), f"id {kind}, n bigint, same binary, keys array<bigint>")
+    sketch = map_arrow(items, _sketch(b), f"id {kind}, n bigint, same binary, keys array<bigint>")
     sketch = scratch.write(sketch, "sketch")
     live = sketch.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = scratch.write(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -199,18 +199,26 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     spare = live.select("id", "same").join(copied, "same").where("id <> rep").select("id", "same")
     reps = live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", F.explode("keys").alias("key"))
     centres = reps.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
-    buckets = scratch.write(reps.join(centres, "key"), "buckets")
+    # A key stands once among the centres: a hash of them spares sorting all keys.
+    buckets = scratch.write(reps.join(centres.hint("shuffle_hash"), "key"), "buckets")
     tested = buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"), "n")
     sizes = buckets.where("rep = centre").select(F.col("rep").alias("v"), F.col("n").alias("m")).distinct()
     fits = (100 * F.least("n", "m") >= b.percent * F.greatest("n", "m"))
     tested = scratch.write(tested.distinct().join(sizes, "v").where(fits).select("u", "v").distinct(), "pairs")
     links = _confirm(tested, items, b, scratch)
     found = components(links, scratch)
+    rest = None
     for turn in range(b.star_rounds + 1):
-        joined = buckets.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        joined = joined.withColumn("component", F.coalesce("component", "rep"))
-        split = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = scratch.write(joined.join(split, "key"), "rest")
+        if rest is None:
+            # Only buckets whose classes are in several components so far can hide a link.
+            joined = buckets.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            joined = joined.withColumn("component", F.coalesce("component", "rep"))
+            split = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+            rest = scratch.write(joined.join(split, "key"), "rest")
+            scratch.drop(buckets)
+            buckets = rest
+        if rest.isEmpty():
+            break
         a = rest.select("key", F.col("rep").alias("u"), "n", F.col("component").alias("cu"))
         c = rest.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
         if turn < b.star_rounds:
@@ -222,14 +230,13 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
         more = more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         more = scratch.write(more, "more")
         if more.isEmpty():
-            if turn < b.star_rounds:
-                continue
-            break
+            continue
         tested = tested.unionByName(more)
         new = _confirm(more, items, b, scratch)
         if not new.isEmpty():
-            links = links.unionByName(new)
+            links, rest = links.unionByName(new), None
             found = components(links, scratch)
+    scratch.drop(buckets)
     per_class = copied.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("by_class"))
     per_class = per_class.withColumnRenamed("same", "of")
     out = sketch.select("id", "n", "same").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")

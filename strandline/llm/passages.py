@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, slices
+from strandline.llm.common import Scratch, map_arrow, slices
 from strandline.llm.minhash import Banding, near_duplicates
 from strandline.llm.shingles import Powers, _chain, word_hashes
 
@@ -57,14 +57,18 @@ def anchors(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def near_ends(at: np.ndarray, kind: np.ndarray, n: int, width: int) -> np.ndarray:
-    """The sorted places at, and all places in reach of one where the next is far or of another kind, of n."""
+    """The sorted places at, and all places of n in reach of one where the next is far or of another kind.
+
+    Where two kinds meet, the border lies between their places, so no place beyond the next one is looked at.
+    """
+    if not len(at):
+        return at
     chained = (np.diff(at) <= width) & (kind[1:] == kind[:-1])
-    left, right = at[np.append(True, ~chained)], at[np.append(~chained, True)]
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, np.maximum(left - width, 0), 1)
-    np.add.at(steps, left, -1)
-    np.add.at(steps, right, 1)
-    np.add.at(steps, np.minimum(right + width + 1, n), -1)
+    left, right = np.append(True, ~chained), np.append(~chained, True)
+    before, behind = np.append(-1, at[:-1]), np.append(at[1:], n)
+    lo = np.concatenate((np.maximum(at - width, before + 1)[left], at[right] + 1))
+    hi = np.concatenate((at[left], np.minimum(at + width + 1, behind)[right]))
+    steps = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
     wanted = np.cumsum(steps[:n]) > 0
     wanted[at] = True
     return np.flatnonzero(wanted)
@@ -174,7 +178,8 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     def shared(marks: DataFrame) -> DataFrame:
         """(h, kind): the shingles of two or more documents; kind stands for the documents that hold them."""
         held = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
-        return held.where("lo < hi").select("h", F.xxhash64("lo", "hi", "n", "x").alias("kind"))
+        # Each h is there once and they are dealt evenly, so a hash of this side spares sorting the far larger other.
+        return held.where("lo < hi").select("h", F.xxhash64("lo", "hi", "n", "x").alias("kind")).hint("shuffle_hash")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -217,26 +222,27 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (cuts, parts)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "cuts", "parts"])
 
-    marks = scratch.write(docs.mapInArrow(mark, f"id {kind}, pos bigint, h bigint"), "anchors")
+    marks = scratch.write(map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint"), "anchors")
     again = marks.join(shared(marks), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
     again = scratch.write(again, "again")
     scratch.drop(marks)
-    tested = docs.join(small(again, 1024), "id").mapInArrow(test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
+    tested = map_arrow(docs.join(small(again, 1024), "id"), test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
     tested = scratch.write(tested, "tested")
     scratch.drop(again)
     found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end", "kind")).alias("at"))
-    cuts = scratch.write(found.mapInArrow(join_up, f"id {kind}, cuts array<bigint>, parts array<bigint>").where(F.size("cuts") > 0), "cuts")
+    cuts = scratch.write(map_arrow(found, join_up, f"id {kind}, cuts array<bigint>, parts array<bigint>").where(F.size("cuts") > 0), "cuts")
     scratch.drop(tested)
     return cuts
 
 
 def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of text_col, and columns cut_paragraphs, cut_bytes and cut_spans.
+    """docs with repeated passages cut out of text_col, and columns cut_paragraphs, cut_bytes, cut_spans and has_repeat.
 
-    cut_spans are byte bounds in the original text. The document with the smallest id keeps a passage.
+    cut_spans are byte bounds in the original text. The document with the smallest id keeps a passage; has_repeat
+    tells of all documents, keepers too, that hold a passage which another document holds.
     Null and empty texts, and null ids, stay as they are. Rows that share an id are cut alike where their
     paragraphs are equal in number and place. Very long texts are cut into paragraphs like others; an
-    empty table stays empty. Columns of docs named like the three new ones are replaced.
+    empty table stays empty. Columns of docs named like the new ones are replaced.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -256,40 +262,47 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
             ids, parts = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.struct([("doc", batch.column("id").type), ("no", pa.int32())])), pa.array(parts, pa.string())], names=["id", "text"])
 
-    items = scratch.write(marked.mapInArrow(cut, f"id struct<doc:{kind},no:int>, text string"), "paragraphs")
+    items = scratch.write(map_arrow(marked, cut, f"id struct<doc:{kind},no:int>, text string"), "paragraphs")
     found = near_duplicates(items, p.banding, scratch)
     yields = found.where(F.col("id") != F.col("component"))
-    own = F.when(F.col("id.doc") == F.col("component.doc"), F.col("component.no") + 1).otherwise(0)
-    lost = yields.select(F.col("id.doc").alias("id"), F.expr("shiftleft(cast(id.no as bigint), 32)").bitwiseOR(own.cast("bigint")).alias("code"), F.lit(None).cast("int").alias("no"))
-    stays = yields.select("component").distinct().select(F.col("component.doc").alias("id"), F.lit(None).cast("bigint").alias("code"), F.col("component.no").alias("no"))
-    gone = lost.unionByName(stays).groupBy("id").agg(F.collect_set("code").alias("gone"), F.collect_set("no").alias("held")).where(F.size("gone") > 0)
-    gone = scratch.write(gone, "gone")
+    apart = F.col("id.doc") != F.col("component.doc")
+    own = F.when(~apart, F.col("component.no") + 1).otherwise(0)
+    lost = yields.select(F.col("id.doc").alias("id"), F.expr("shiftleft(cast(id.no as bigint), 32)").bitwiseOR(own.cast("bigint")).alias("code"), F.lit(None).cast("int").alias("no"), apart.alias("apart"))
+    stays = yields.select("component", apart.alias("apart")).groupBy("component").agg(F.max("apart").alias("apart"))
+    stays = stays.select(F.col("component.doc").alias("id"), F.lit(None).cast("bigint").alias("code"), F.col("component.no").alias("no"), "apart")
+    gone = lost.unionByName(stays).groupBy("id").agg(F.collect_set("code").alias("gone"), F.collect_set("no").alias("held"), F.max("apart").alias("apart"))
+    gone = scratch.write(gone.where(F.col("apart") | (F.size("gone") > 0)), "gone")
     scratch.drop(items)
-    names = [c for c in docs.columns if c not in ("cut_paragraphs", "cut_bytes", "cut_spans")]
-    out = docs.select(*names)
+    made = ("cut_paragraphs", "cut_bytes", "cut_spans", "has_repeat")
+    names = [c for c in docs.columns if c not in made]
     plan = small(gone, 128).withColumnRenamed("id", "_id").join(cuts.withColumnRenamed("id", "_id"), "_id", "left")
-    out = out.join(small(scratch.write(plan, "plan"), 256), out[id_col] == F.col("_id"), "left").drop("_id")
-
-    @F.pandas_udf("text string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>")
-    def rebuild(text, cuts, parts, gone, held):
-        import pandas as pd
-
-        rows = []
-        for t, at, own, drop, stay in zip(text, cuts, parts, gone, held, strict=True):
-            if t is None or drop is None:
-                rows.append((t, 0, 0, []))
-                continue
-            data = t.encode()
-            at, own = ([int(x) for x in c] if c is not None else [] for c in (at, own))
-            tried = paragraphs(data, at, own, p.least_words)
-            # Rows may share an id: numbers beyond this text's own are another's.
-            drop, stay = [int(c) for c in drop if c >> 32 < len(tried) and (c & 0xFFFFFFFF) <= len(tried)], [int(i) for i in stay if i < len(tried)]
-            spans = cut_bounds(tried, drop, stay)
-            edges = [0, *[x for ab in spans for x in ab], len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((kept.decode(), len(spans), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(rows, columns=["text", "cut_paragraphs", "cut_bytes", "cut_spans"])
-
-    out = out.withColumn("_new", rebuild(F.col(text_col), F.col("cuts"), F.col("parts"), F.col("gone"), F.col("held")))
-    cols = [F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in names]
-    return out.select(*cols, "_new.cut_paragraphs", "_new.cut_bytes", "_new.cut_spans")
+    plan = small(scratch.write(plan, "plan"), 256)
+    out = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names) if c != text_col])
+    out = out.join(plan, out["_key"] == plan["_id"], "left").drop("_id", "_key")
+    carried = [c for c in out.columns if c.startswith("_c")]
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in slices(batches, "_text", 1000, 4_000_000):
+            texts, counts, sizes, bounds = [], [], [], []
+            for t, at, more, drop, stay in zip(*(batch.column(c).to_pylist() for c in ("_text", "cuts", "parts", "gone", "held")), strict=True):
+                spans = []
+                if t is not None and drop:
+                    data = t.encode()
+                    tried = paragraphs(data, at or [], more or [], p.least_words)
+                    # Rows may share an id: numbers beyond this text's own are another's.
+                    drop, stay = [c for c in drop if c >> 32 < len(tried) and (c & 0xFFFFFFFF) <= len(tried)], [i for i in stay if i < len(tried)]
+                    spans = cut_bounds(tried, drop, stay)
+                    edges = [0, *[x for ab in spans for x in ab], len(data)]
+                    t = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+                texts.append(t)
+                counts.append(len(spans))
+                sizes.append(sum(b - a for a, b in spans))
+                bounds.append([{"start": a, "end": b} for a, b in spans])
+            cols = [*[batch.column(c) for c in carried], pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bounds, span), batch.column("apart")]
+            yield pa.RecordBatch.from_arrays(cols, names=[*carried, "_new", *made])
+
+    schema = ", ".join([f"{c} {out.schema[c].dataType.simpleString()}" for c in carried] + ["_new string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>, has_repeat boolean"])
+    out = map_arrow(out, rebuild, schema)
+    cols = [F.col("_new" if c == text_col else f"_c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*cols, *made[:3], F.coalesce("has_repeat", F.lit(False)).alias("has_repeat"))

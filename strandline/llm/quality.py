@@ -12,12 +12,11 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import slices
+from strandline.llm.common import map_arrow, slices
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper_share", "digit_share", "symbol_share", "punctuation_share", "pipes_per_word",
@@ -164,7 +163,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labe
             x = [features(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(measure, "y int, x array<double>").toPandas()
+    got = map_arrow(rows, measure, "y int, x array<double>").toPandas()
     # A fixed order makes the fit the same whatever the partitions were.
     x = np.array(got["x"].to_list(), float).reshape(len(got), len(FEATURES))
     y = got["y"].to_numpy(float)
@@ -173,16 +172,20 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labe
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs with the columns score (0..1) and predicted (1 where score >= threshold), as a vectorised UDF.
+    """docs with the columns score (0..1) and predicted (1 where score >= threshold).
 
-    Null and empty texts are scored too; repeated rows score alike; an empty table stays empty. Columns of
-    docs named score or predicted are replaced.
+    Null and empty texts are scored too; very long ones are scored whole, one at a time; repeated rows score
+    alike; an empty table stays empty. Columns of docs named score or predicted are replaced.
     """
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
-            yield pd.Series(model.score(x))
-
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names) if c != text_col])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["_score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 1000, 4_000_000):
+            x = np.array([features(t.as_py()) for t in batch.column("_text")], float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, "_score"])
+
+    out = map_arrow(rows, run, schema)
+    cols = [F.col("_text" if c == text_col else f"_c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*cols, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

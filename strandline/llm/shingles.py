@@ -46,9 +46,9 @@ class Powers:
         return self.up, self.down
 
 
-def word_hashes(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in a byte buffer, and its hash."""
-    space = np.concatenate(([True], _SPACE[data], [True]))
+def word_hashes(data: np.ndarray, powers: Powers, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in a byte buffer, and its hash; gap tells of each byte whether it parts words."""
+    space = np.concatenate(([True], gap[data], [True]))
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = powers.upto(len(data) + 1)

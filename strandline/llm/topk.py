@@ -3,7 +3,7 @@
 1. Vectors are put in buckets by their length; a bucket too big for one task is dealt out by a hash of the id.
 2. The longest bucket gives every query k products, hence a score that its k-th best can't fall below.
 3. In each bucket a query's bound divided by both lengths is a local cosine threshold. Above 1 the query
-   skips the bucket (length pruning). Where the threshold is high, the query's strongest coordinate bounds
+   skips the bucket and isn't sent there; a bucket is sent only to blocks of queries that want it (length pruning). Where the threshold is high, the query's strongest coordinate bounds
    the same coordinate of any vector that can reach it, and only vectors within are multiplied (coordinate
    pruning); else all of the bucket is.
 4. All scores are whole products; a bucket sends on at most k rows for each query.
@@ -31,6 +31,7 @@ class Search:
     block: int = 8192
     query_block: int = 8192
     buckets: int = 1000
+    broadcast_bytes: int = 8 << 20
     #: Coordinate pruning is tried from this local cosine threshold on.
     coordinate_from: float = 0.5
 
@@ -96,6 +97,21 @@ def search_block(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, vec_ids: np.
     return out
 
 
+def _deal(rows: DataFrame, by: str, block: int, most: int) -> DataFrame:
+    """rows with part, a string: ranges of by within each dim, those with more than block rows dealt out by hash.
+
+    Only counts of ranges, at most dims x most of them, reach the driver.
+    """
+    n = rows.count()
+    ranges = max(1, min(most, -(-n // block)))
+    cuts = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    placed = rows.withColumn("_range", F.concat_ws("/", "dim", F.lpad(at.cast("string"), 6, "0")))
+    sizes = placed.groupBy("_range").count().collect()
+    salts = F.create_map(*[F.lit(x) for r in sizes for x in (r["_range"], -(-r["count"] // block))]) if sizes else F.create_map(F.lit(""), F.lit(1))
+    return placed.withColumn("part", F.concat_ws("/", "_range", F.pmod(F.xxhash64("_id"), salts[F.col("_range")]).cast("int")))
+
+
 def top_k(vectors: DataFrame, s: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose id is divisible by s.every, against all rows.
 
@@ -106,25 +122,16 @@ def top_k(vectors: DataFrame, s: Search = Search(), id_col: str = "vec_id", vect
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     x = F.col("x")
+    small = lambda df, width: F.broadcast(df) if df.count() * width <= s.broadcast_bytes else df
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    rows = rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, finite), F.lit(False)))
-    rows = rows.select("vec_id", F.transform(x, lambda c: F.floor(c * s.scale)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    rows = rows.where(F.col("_id").isNotNull() & x.isNotNull() & F.coalesce(F.forall(x, finite), F.lit(False)))
+    rows = rows.select("_id", F.transform(x, lambda c: F.floor(c * s.scale)).alias("v")).groupBy("_id").agg(F.min("v").alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     rows = scratch.write(rows.withColumn("length", F.sqrt(squares)).withColumn("dim", F.size("v")).where("dim > 0"), "vectors")
-    n = rows.count()
-    nq = rows.where(F.col("vec_id") % s.every == 0).count()
-    parts = max(1, min(s.buckets, -(-n // s.block)))
-    cuts = rows.agg(F.percentile_approx("length", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 and n else []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col("length"))) if cuts else F.lit(0)
-    placed = rows.withColumn("bucket", bucket)
-    sizes = {(r["dim"], r["bucket"]): r["n"] for r in placed.groupBy("dim", "bucket").agg(F.count("*").alias("n")).collect()}
-    salts = F.create_map(*[F.lit(y) for (d, b), m in sizes.items() for y in (f"{d}/{b}", -(-m // s.block))]) if sizes else F.create_map(F.lit(""), F.lit(1))
-    key = F.concat_ws("/", "dim", "bucket")
-    salt = F.pmod(F.xxhash64("vec_id"), salts[key]).cast("int")
-    placed = placed.withColumn("part", F.concat_ws("/", key, salt))
-    q_parts = max(1, -(-nq // s.query_block))
-    queries = rows.where(F.col("vec_id") % s.every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.pmod(F.xxhash64("vec_id"), F.lit(q_parts)).cast("int").alias("q_part"))
+    placed = scratch.write(_deal(rows, "length", s.block, s.buckets).drop("_range"), "placed")
+    parts = scratch.write(placed.groupBy("dim", "part").agg(F.max("length").alias("top")), "parts")
+    queries = rows.where(F.col("_id") % s.every == 0).select("_id", F.col("v").alias("q"), "dim", "length")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -135,20 +142,24 @@ def top_k(vectors: DataFrame, s: Search = Search(), id_col: str = "vec_id", vect
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
-    # A first look at the longest vectors of each dimension bounds each query's k-th score from below.
-    longest = {}
-    for d, b in sizes:
-        longest[d] = max(b, longest.get(d, 0))
-    first = [f"{d}/{b}/0" for d, b in longest.items()]
-    to_queries = F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
-    seeds = placed.where(F.col("part").isin(first)).select("vec_id", "v", F.col("dim").alias("for_dim"), to_queries.alias("for_part"))
-    seeded = queries.groupBy("dim", "q_part").cogroup(seeds.groupBy("for_dim", "for_part")).applyInArrow(run, _SCHEMA)
-    bounds = seeded.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("k")).where(F.col("k") == s.k).select("query_id", "bound")
-    queries = scratch.write(queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(np.iinfo(np.int64).min))), "queries")
-    names = [(d, f"{d}/{b}/{i}") for (d, b), m in sizes.items() for i in range(-(-m // s.block))]
-    grid = queries.sparkSession.createDataFrame(names or [(0, "")], "dim int, part string")
-    left = queries.join(F.broadcast(grid), "dim")
-    right = placed.select("vec_id", "v", F.col("part").alias("of_part"), to_queries.alias("for_part"))
+    # A first look at one part of the longest vectors of each dimension bounds each query's k-th score from below.
+    first = parts.groupBy("dim").agg(F.max_by("part", F.struct("top", "part")).alias("part"))
+    q_parts = max(1, -(-queries.count() // s.query_block))
+    dealt = queries.select(F.col("_id").alias("query_id"), "q", "dim", F.pmod(F.xxhash64("_id"), F.lit(q_parts)).cast("int").alias("q_part"))
+    seeds = placed.join(F.broadcast(first), ["dim", "part"]).select(F.col("_id").alias("vec_id"), "v", F.col("dim").alias("for_dim"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("for_part"))
+    seeded = dealt.groupBy("dim", "q_part").cogroup(seeds.groupBy("for_dim", "for_part")).applyInArrow(run, _SCHEMA)
+    bounds = seeded.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("k")).where(F.col("k") == s.k).select(F.col("query_id").alias("_id"), "bound")
+    # Shortest vector that can still reach a query's bound: queries alike in it meet the same parts.
+    wanted = F.when(F.col("bound").isNull() | (F.col("bound") <= 0) | (F.col("length") == 0), 0.0).otherwise(F.col("bound") / F.col("length"))
+    known = scratch.write(queries.join(bounds, "_id", "left").withColumn("wanted", wanted).withColumn("bound", F.coalesce("bound", F.lit(np.iinfo(np.int64).min))), "queries")
+    known = scratch.write(_deal(known, "wanted", s.query_block, s.buckets).drop("_range").withColumnRenamed("part", "q_part"), "dealt")
+    # Length pruning before anything moves: a query goes to the parts whose longest vector can reach its bound,
+    # and a part to the query blocks that sent it one.
+    reach = F.col("top") * (1 + 1e-9) + 1e-9
+    left = known.join(small(parts, 64), "dim").where(F.col("wanted") <= reach).select(F.col("_id").alias("query_id"), "q", "bound", "part", "q_part")
+    blocks = known.groupBy("dim", "q_part").agg(F.min("wanted").alias("wanted"))
+    live = scratch.write(small(blocks, 64).join(parts, "dim").where(F.col("wanted") <= reach).select(F.col("part").alias("of_part"), F.col("q_part").alias("for_part")), "live")
+    right = placed.withColumnRenamed("part", "of_part").join(small(live, 64), "of_part").select(F.col("_id").alias("vec_id"), "v", "of_part", "for_part")
     near = left.groupBy("part", "q_part").cogroup(right.groupBy("of_part", "for_part")).applyInArrow(run, _SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")

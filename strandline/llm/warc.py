@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, map_arrow
 
 _URN = "urn:strandline:page:"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -58,7 +58,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, a: Archiving = Archiving()) -
     Of payloads that are equal and have a.least bytes, the row with the smallest page_id is a response
     and others revisit it. Only the digests of repeated payloads are joined; they are broadcast while few.
     """
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("body"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("size", F.octet_length("body").cast("long")).withColumn("digest", F.sha2("body", 256))
     first = rows.where(F.col("size") >= a.least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     first = scratch.write(first, "repeated")
@@ -67,8 +67,10 @@ def write_warc(pages: DataFrame, scratch: Scratch, a: Archiving = Archiving()) -
     rows = rows.join(side, "digest", "left").withColumn("refers", F.when(~response, F.col("first")))
     # At least one row a record; a revisit has no bytes.
     n = F.when(F.col("refers").isNull(), F.greatest(F.lit(1), F.ceil(F.col("size") / a.chunk)).cast("int")).otherwise(1)
-    cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.col("refers").isNull(), F.substring(F.col("body"), i * a.chunk + 1, F.lit(a.chunk))))
-    rows = rows.select("page_id", "url", "size", "digest", "refers", n.alias("chunks"), F.posexplode(cuts).alias("chunk_no", "data"))
+    # Only numbers are exploded; each row then takes its own bytes, so no second copy of a payload is made.
+    rows = rows.select("page_id", "url", "size", "digest", "refers", "body", n.alias("chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    data = F.when(F.col("refers").isNull(), F.substring(F.col("body"), F.col("chunk_no") * a.chunk + 1, F.lit(a.chunk)))
+    rows = rows.select("page_id", "url", "size", "digest", "refers", "chunks", "chunk_no", data.alias("data"))
     folder = scratch.path("archives")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, a: Archiving = Archiving()) -
         cols = list(zip(*entries, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "start", "size"])
 
-    manifest = scratch.write(rows.mapInArrow(write, "path string, start bigint, size bigint"), "manifest")
+    manifest = scratch.write(map_arrow(rows, write, "path string, start bigint, size bigint"), "manifest")
     manifest._strandline_folder = folder
     return manifest
 
@@ -215,7 +217,7 @@ def read_warc(spark, manifest: DataFrame, with_data: bool = False) -> DataFrame:
 
     parts = max(1, min(manifest.count(), 100_000))
     schema = "page_id bigint, url string, record_type string, refers_to bigint, said_digest string, chunk_no int, payload_bytes bigint, payload_digest string, data binary"
-    out = manifest.repartition(parts).mapInArrow(read, schema)
+    out = map_arrow(manifest.repartition(parts), read, schema)
     return out if with_data else out.drop("data")
 
 
