@@ -222,7 +222,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         plain = [self.by_word and t != "" and MARK not in t and "  " not in t and not t.startswith(" ") for t in texts]
-        fast = self._plain([t for t, ok in zip(texts, plain, strict=True) if ok])
+        # All of them at once: what other texts add may make words forgotten whose numbers are still in use.
+        fast = iter(list(self._plain([t for t, ok in zip(texts, plain, strict=True) if ok])))
         return [next(fast) if ok else self._any(t) for t, ok in zip(texts, plain, strict=True)]
 
 

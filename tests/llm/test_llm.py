@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import random
 import re
 import textwrap
 import zlib
@@ -22,7 +24,7 @@ from strandline.llm.media import Chunking, media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
 from strandline.llm.passages import remove_passages
-from strandline.llm.pieces import decode_pieces, encode_pieces
+from strandline.llm.pieces import Encoder, decode_pieces, encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
 from strandline.llm.shingles import Powers, shingle_sets
 from strandline.llm.topk import Search, top_k
@@ -121,6 +123,40 @@ def test_pieces(spark):
     assert back[5] == library.decode(library.encode(texts[5]))
 
 
+def test_pieces_with_a_short_memory():
+    """Words are forgotten while texts of all kinds are under way."""
+    with open(queries.MODEL, "rb") as file:
+        encoder = Encoder(file.read(), remembered=40)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(prose(int(rng.integers(1, 30)), i)).replace(" ", "  " if i % 3 == 0 else " ") for i in range(60)]
+    assert [x.ids.tolist() for x in encoder.encode(texts)] == encoder.whole.encode(texts)
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_pieces_through_a_character_map(kind, fallback):
+    """Ids, decoded texts and byte spans are the library's own, with and without unknown characters."""
+    rng = random.Random(3)
+    words = "The ﬁrst ﬂat ofﬁce № 5 ｆｕｌｌ Ⅳ naïve café Ångström 日本語 テスト ｶﾞ ㌔ ½ ² plain words over and again the cat sat on mat ﬃ ™ ℃".split()
+    texts, model = [" ".join(rng.sample(words, 6)) for _ in range(300)], io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_writer=model, vocab_size=400 if fallback else 140, model_type=kind, byte_fallback=fallback, normalization_rule_name="nmt_nfkc", hard_vocab_limit=False, minloglevel=2, character_coverage=0.98)
+    encoder = Encoder(model.getvalue())
+    texts = [*texts[:80], "", "  a  b ", "ｆｕｌｌ ﬁ zzz Ω≈ç√ 😀😀 q", "▁x", "　wide nbsp\t tab", "é ñ"]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        want = encoder.whole.encode(text, return_type="proto")
+        assert not encoder.identity and got.ids.tolist() == [p.id for p in want.pieces]
+        assert list(zip(got.starts.tolist(), got.ends.tolist(), strict=True)) == [(p.begin, p.end) for p in want.pieces]
+
+
+def test_pieces_odd_tables(spark):
+    docs = documents(spark, [(1, "a b"), (1, "a b"), (None, "c")])
+    got = encode_pieces(docs, queries.MODEL, ("n_tokens",))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "1", "None"]
+    assert encode_pieces(docs.limit(0), queries.MODEL).count() == 0
+    with pytest.raises(ValueError):
+        encode_pieces(docs.withColumn("ids", F.lit(1)), queries.MODEL, ("ids",), keep=("ids",))
+
+
 def test_warc(spark):
     big = "b" * 700_000
     rows = [(3, "http://x", big), (1, None, big), (2, "u\r\nv", None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 80), (7, "u", "é" * 80)]
