@@ -113,7 +113,7 @@ def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) ->
     """(id, words) of the items in ids; the texts of others are not shuffled while ids are few."""
     ids = scratch.write(ids.select("id").distinct(), "ids")
     kind = items.schema["id"].dataType.simpleString()
-    if ids.count() * 32 <= b.broadcast_bytes:
+    if ids.count() * (32 if kind == "bigint" else 128) <= b.broadcast_bytes:
         ids = F.broadcast(ids)
     return scratch.write(map_arrow(items.join(ids, "id", "left_semi"), _sets(b.width), f"id {kind}, words array<bigint>"), "sets")
 
@@ -146,8 +146,8 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
     kind = items.schema["id"].dataType.simpleString()
     sets = _sets_of(classes, items, b, scratch)
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c >= 4")
-    common = counts.orderBy(F.desc("c"), "w").limit(b.common_words).toPandas().sort_values("w")
-    known, often = common["w"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
+    common = counts.orderBy(F.desc("c"), "w").limit(b.common_words).toArrow().sort_by("w")
+    known, often = common["w"].to_numpy(), common["c"].to_numpy()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -157,8 +157,6 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     that are held by the same documents throughout."""
     width, window = p.shingle_words, p.stretch_words - p.shingle_words + 1
     kind = docs.schema["id"].dataType.simpleString()
-    small = lambda df, width: F.broadcast(df) if df.count() * width <= p.broadcast_bytes else df
-
     def batch_of(batch: pa.RecordBatch, owner: list, cols: dict[str, list]) -> pa.RecordBatch:
         ids = batch.column("id").take(pa.array(np.concatenate(owner).astype(np.int64)))
         return pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in cols.values()]], names=["id", *cols])
@@ -226,7 +224,9 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     again = marks.join(shared(marks), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
     again = scratch.write(again, "again")
     scratch.drop(marks)
-    tested = map_arrow(docs.join(small(again, 1024), "id"), test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
+    # Long texts have many anchors: what counts is their number.
+    places = again.agg(F.sum(32 * F.size("at") + 64)).first()[0] or 0
+    tested = map_arrow(docs.join(F.broadcast(again) if places <= p.broadcast_bytes else again, "id"), test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
     tested = scratch.write(tested, "tested")
     scratch.drop(again)
     found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end", "kind")).alias("at"))

@@ -163,10 +163,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labe
             x = [features(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = map_arrow(rows, measure, "y int, x array<double>").toPandas()
+    got = map_arrow(rows, measure, "y int, x array<double>").toArrow()
     # A fixed order makes the fit the same whatever the partitions were.
-    x = np.array(got["x"].to_list(), float).reshape(len(got), len(FEATURES))
-    y = got["y"].to_numpy(float)
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(FEATURES))
+    y = got["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T[::-1], y))
     return fit(x[order], y[order], **options)
 
