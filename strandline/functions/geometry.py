@@ -146,8 +146,8 @@ def angle_between(a: Column, b: Column) -> Column:
 
 
 def plane_basis(eq: Column) -> tuple[Column, Column, Column, Column]:
-    """(origin, u, v, normal) of a plane (a, b, c, d): origin is its point nearest to zero."""
-    size = F.sqrt(dot(eq, eq))
+    """(origin, u, v, normal) of a plane (a, b, c, d): origin is its point nearest to zero. Nulls within where a, b and c are 0."""
+    size = F.nullif(F.sqrt(dot(eq, eq)), F.lit(0.0))
     n = vec(*[at(eq, i) / size for i in range(3)])
     origin = times(n, -at(eq, 3) / size)
     helper = F.when(F.abs(at(n, 0)) < 0.9, vec(1, 0, 0)).otherwise(vec(0, 1, 0))

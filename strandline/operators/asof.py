@@ -12,18 +12,19 @@ def nearest_within(left: DataFrame, right: DataFrame, tolerance: int, by: str =
     Time is cut into buckets as wide as the tolerance; a right row goes to its own and both neighbouring
     buckets, so that a plain equi-join on (by, bucket) sees each possible pair once. Ties take the earlier
     row; of right rows at one time the first by seq, or the last where that time is before the left row's.
-    Rows of left are told apart by all their columns.
+    Rows of left that are equal in by and time have one answer, so it is found once for each such pair and joined
+    back: no row of left is lost or merged, and its other columns stay out of the aggregate.
     """
     width = max(1, tolerance)
     bucket = F.floor(F.col(time) / width)
-    l = left.withColumn("_b", bucket)
+    l = left.select(by, time).distinct().withColumn("_b", bucket)
     r = right.select(F.col(by).alias("_by"), F.col(time).alias("_t"), F.col(key).alias("_k"), F.struct(*values).alias("_v"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_rb"))
-    both = l.join(r, (l[by] == r["_by"]) & (F.col("_b") == F.col("_rb")), "left")
+    both = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_b") == F.col("_rb")))
     dt = F.abs(F.col(time) - F.col("_t"))
     order = F.struct(dt, F.col("_t"), F.when(F.col("_t") < F.col(time), -F.col("_k")).otherwise(F.col("_k")))
-    best = F.min_by(F.when(dt <= tolerance, F.col("_v")), F.when(dt <= tolerance, order)).alias("_v")
-    out = both.groupBy(*[F.col(c) for c in left.columns]).agg(best)
-    return out.select(*left.columns, *[F.col(f"_v.{v}").alias(prefix + v) for v in values])
+    best = both.where(dt <= tolerance).groupBy(F.col(by).alias("_lby"), F.col(time).alias("_lt")).agg(F.min_by("_v", order).alias("_v"))
+    out = left.join(best, (left[by] == best["_lby"]) & (left[time] == best["_lt"]), "left")
+    return out.select(*[left[c] for c in left.columns], *[F.col(f"_v.{v}").alias(prefix + v) for v in values])
 
 
 def nearest(left: DataFrame, right: DataFrame, width: int, by: str = "recording_id", time: str = "t_us", key: str = "seq", prefix: str = "r_") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.plans import frames, hands, motion, shapes, sync  # noqa: F401  (each registers its queries)
+from strandline.plans import frames, hands, motion, session, shapes, sync  # noqa: F401  (each registers its queries)
 from strandline.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "j3_sync_frames"

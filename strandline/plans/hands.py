@@ -181,9 +181,16 @@ def m13(t: Tables) -> DataFrame:
     return t.hands.select("det_seq", F.round(G.angle_between(v1, v2), 5).alias("elbow_deg"), r6(G.norm(G.sub(joint(3), joint(5))), "reach_m"))
 
 
-@query("g11_p10_elbow")
+_ELBOW_SQL = f"""WITH a AS (SELECT det_seq, {", ".join(f"{j_sql(0, k)} AS s{k}, {j_sql(1, k)} - {j_sql(0, k)} AS d{k}" for k in range(3))} FROM hands), r AS (SELECT *, sqrt(d0 * d0 + d1 * d1 + d2 * d2) AS reach FROM a),
+        n AS (SELECT *, d0 / nullif(reach, 0) AS a0, d1 / nullif(reach, 0) AS a1, d2 / nullif(reach, 0) AS a2 FROM r), h AS (SELECT *, sqrt(a0 * a0 + a2 * a2) AS flat_part FROM n),
+        x AS (SELECT *, CASE WHEN flat_part > 1e-6 THEN a2 / flat_part ELSE 0 END AS x0, CASE WHEN flat_part > 1e-6 THEN 0 ELSE a2 / nullif(sqrt(a1 * a1 + a2 * a2), 0) END AS x1, CASE WHEN flat_part > 1e-6 THEN -a0 / flat_part ELSE -a1 / nullif(sqrt(a1 * a1 + a2 * a2), 0) END AS x2 FROM h),
+        c AS (SELECT *, greatest(-1, least(1, (0.33 * 0.33 + reach * reach - 0.27 * 0.27) / nullif(2 * 0.33 * reach, 0)))::DOUBLE AS cosine, x1 * a2 - x2 * a1 AS b0, x2 * a0 - x0 * a2 AS b1, x0 * a1 - x1 * a0 AS b2 FROM x)
+        SELECT det_seq, {", ".join(f"round(s{k} + CASE WHEN reach < 1e-6 THEN {-0.33 if k == 1 else 0} WHEN reach >= 0.99 * 0.6 THEN a{k} * 0.33 ELSE a{k} * 0.33 * cosine + b{k} * 0.33 * sqrt(1 - cosine * cosine) END::DOUBLE, 6) AS {n}" for k, n in enumerate("xyz"))} FROM c"""
+
+
+@query("g11_p10_elbow", _ELBOW_SQL)
 def g11(t: Tables) -> DataFrame:
-    """Elbows of two-bone arms; tested against a hand-computed case and for the bones' lengths."""
+    """Elbows of two-bone arms."""
     d = t.hands.select("det_seq", joint(0).alias("shoulder"), joint(1).alias("wrist"))
     return G.with_elbow(d).select("det_seq", *[r6(G.at(F.col("elbow"), i), n) for i, n in enumerate("xyz")])
 

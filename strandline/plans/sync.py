@@ -181,7 +181,9 @@ def a4(t: Tables) -> DataFrame:
 )
 def a8(t: Tables) -> DataFrame:
     ends = t.streams.groupBy("topic").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    bin_ = F.least(F.lit(39).cast("long"), F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 40)))
+    # One value alone has no width: it is in bin 0.
+    at = F.coalesce(F.try_divide(F.col("value") - F.col("lo"), (F.col("hi") - F.col("lo")) / 40), F.lit(0.0))
+    bin_ = F.least(F.lit(39).cast("long"), F.floor(at))
     return t.streams.join(ends, "topic").groupBy("topic", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
