@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm import queries
 from strandline.llm.common import Scratch
+from strandline.llm.components import components
 from strandline.llm.language import identify_languages, learn_profiles
-from strandline.llm.licenses import TEMPLATES, scan_licenses
+from strandline.llm.licenses import TEMPLATES, scan_licenses, wording_difference, words_of
 from strandline.llm.media import Chunking, media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
@@ -79,6 +80,41 @@ def test_licenses_over_line_ends_and_side_by_side(spark):
     assert got[50] == ["Apache-2.0", "MIT"] and got[51] == ["BSD-3-Clause", "MIT"] and got[52] == []
 
 
+def test_licenses_equal_brute_force(spark):
+    """Every template, with words changed, against its exact wording over the whole text; templates of users; odd rows."""
+    own = {"House": ["All of this text may be passed on by anyone who keeps this line with it."], "Other": ["Nobody may sell copies of the tables without asking first."]}
+    rng, rows = np.random.default_rng(9), []
+    for texts in own.values():
+        for changes in range(7):
+            words = texts[0].split()
+            for at in rng.choice(len(words), changes, replace=False):
+                words[at] = "zzz"
+            rows.append((len(rows), " ".join([*prose(40, len(rows)), *words, *prose(40, 100 + len(rows))])))
+    rows += [(len(rows), " ".join(prose(9000, 7)) + " " + own["House"][0]), (None, own["Other"][0])]
+    docs = documents(spark, rows).withColumn("id", F.lit("x")).withColumn("licenses", F.lit("y"))
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs, own).collect()}
+    for i, text in rows:
+        want = sorted(n for n, t in own.items() if wording_difference(words_of(text), words_of(t[0])) <= 0.2)
+        assert got[i] == want
+    assert sum(map(len, got.values())) >= 6 and scan_licenses(docs.limit(0), own).count() == 0
+
+
+def test_components_equal_brute_force(spark):
+    """A long chain, a star, cycles, repeated and empty edges."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (200, 201), (300, 300), (None, 5), (7, None)]
+    scratch = Scratch(spark, "t")
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
+    assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
+
+
+def test_has_repeat_tells_keepers(spark):
+    passage = " ".join(prose(70, 1))
+    rows = [(1, " ".join(prose(60, 2)) + " " + passage), (2, passage + " " + " ".join(prose(60, 3))), (3, " ".join(prose(90, 4))), (2, passage + " " + " ".join(prose(60, 3)))]
+    got = [(r["doc_id"], r["has_repeat"], r["cut_paragraphs"] > 0) for r in remove_passages(documents(spark, rows).withColumn("cut_bytes", F.lit("x")).withColumn("gone", F.lit(1))).collect()]
+    assert sorted(got) == [(1, True, False), (2, True, True), (2, True, True), (3, False, False)]
+
+
 def test_quality_held_out(spark):
     got = queries.op3_quality_tables(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
