@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch, map_arrow, slices
 from strandline.llm.minhash import Banding, near_duplicates
-from strandline.llm.shingles import Powers, _chain, word_hashes
+from strandline.llm.shingles import Powers, _chain, batch_words
 
 
 @dataclass(frozen=True)
@@ -48,24 +48,28 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """Places of the values that are the least of some window of width values."""
-    if len(h) < width:
+def anchors(h: np.ndarray, width: int, whole: np.ndarray) -> np.ndarray:
+    """Places of the values that are the least of some window of width values; whole tells of each window whether it counts."""
+    if not len(whole):
         return np.zeros(0, np.int64)
-    least = np.concatenate((np.zeros(width - 1, np.uint64), _slide(h, width, np.minimum), np.zeros(width - 1, np.uint64)))
+    pad = np.zeros(width - 1, np.uint64)
+    least = np.concatenate((pad, np.where(whole, _slide(h, width, np.minimum), np.uint64(0)), pad))
     return np.flatnonzero(_slide(least, width, np.maximum) == h)
 
 
-def near_ends(at: np.ndarray, kind: np.ndarray, n: int, width: int) -> np.ndarray:
+def near_ends(at: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray, n: int, width: int) -> np.ndarray:
     """The sorted places at, and all places of n in reach of one where the next is far or of another kind.
 
-    Where two kinds meet, the border lies between their places, so no place beyond the next one is looked at.
+    first and last bound the text of each place. Where two kinds meet, the border lies between their places, so no
+    place beyond the next one is looked at.
     """
     if not len(at):
         return at
-    chained = (np.diff(at) <= width) & (kind[1:] == kind[:-1])
+    same = first[1:] == first[:-1]
+    chained = (np.diff(at) <= width) & (kind[1:] == kind[:-1]) & same
     left, right = np.append(True, ~chained), np.append(~chained, True)
-    before, behind = np.append(-1, at[:-1]), np.append(at[1:], n)
+    before, behind = first - 1, last.copy()
+    before[1:][same], behind[:-1][same] = at[:-1][same], at[1:][same]
     lo = np.concatenate((np.maximum(at - width, before + 1)[left], at[right] + 1))
     hi = np.concatenate((at[left], np.minimum(at + width + 1, behind)[right]))
     steps = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
@@ -157,21 +161,21 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     that are held by the same documents throughout."""
     width, window = p.shingle_words, p.stretch_words - p.shingle_words + 1
     kind = docs.schema["id"].dataType.simpleString()
-    def batch_of(batch: pa.RecordBatch, owner: list, cols: dict[str, list]) -> pa.RecordBatch:
-        ids = batch.column("id").take(pa.array(np.concatenate(owner).astype(np.int64)))
-        return pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in cols.values()]], names=["id", *cols])
+
+    def table_of(batch: pa.RecordBatch, owner: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), *map(pa.array, cols.values())], names=["id", *cols])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in slices(batches, "text", 1000, 4_000_000):
-            owner, cols = [], {"pos": [], "h": []}
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                h = _chain(word_hashes(np.frombuffer(text.encode(), np.uint8), powers)[2], width)
-                at = anchors(h, window)
-                owner.append(np.full(len(at), i))
-                cols["pos"].append(at)
-                cols["h"].append(h[at].view(np.int64))
-            yield batch_of(batch, owner, cols)
+        for batch in slices(batches, "text", 1000, 1_000_000):
+            _, _, _, words, bounds = batch_words(batch.column("text"), powers)
+            h = _chain(words, width)
+            # A window counts if its first and its last word are of one text.
+            ends = np.repeat(bounds[1:], np.diff(bounds))
+            whole = np.arange(len(words) - p.stretch_words + 1) + p.stretch_words <= ends[: max(0, len(words) - p.stretch_words + 1)]
+            at = anchors(h, window, whole)
+            owner = np.searchsorted(bounds, at, "right") - 1
+            yield table_of(batch, owner, {"pos": at - bounds[owner], "h": h[at].view(np.int64)})
 
     def shared(marks: DataFrame) -> DataFrame:
         """(h, kind): the shingles of two or more documents; kind stands for the documents that hold them."""
@@ -181,23 +185,24 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in slices(batches, "text", 1000, 4_000_000):
-            owner, cols = [], {"pos": [], "h": [], "start": [], "end": []}
-            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("at"), strict=True)):
-                start, end, words = word_hashes(np.frombuffer(text.encode(), np.uint8), powers)
-                h = _chain(words, width)
-                pos, was, kinds = (at.values.field(k).to_numpy() for k in ("pos", "h", "kind"))
-                # Rows may share an id: only anchors of this text count.
-                own = (pos < len(h)) & (h[np.minimum(pos, len(h) - 1)].view(np.int64) == was) if len(h) else np.zeros(len(pos), bool)
-                pos, first = np.unique(pos[own], return_index=True)
-                if not len(pos):
-                    continue
-                pos = near_ends(pos, kinds[own][first], len(h), window)
-                owner.append(np.full(len(pos), i))
-                for c, x in zip(cols.values(), (pos, h[pos].view(np.int64), start[pos], end[pos + width - 1]), strict=True):
-                    c.append(x)
-            if owner:
-                yield batch_of(batch, owner, cols)
+        for batch in slices(batches, "text", 1000, 1_000_000):
+            begin, start, end, words, bounds = batch_words(batch.column("text"), powers)
+            h = _chain(words, width)
+            count = np.maximum(np.diff(bounds) - width + 1, 0)
+            marked = batch.column("at").flatten()
+            pos, was, kinds = (marked.field(k).to_numpy() for k in ("pos", "h", "kind"))
+            owner = np.repeat(np.arange(len(count)), batch.column("at").value_lengths().to_numpy())
+            # Rows may share an id: only anchors of this text count.
+            own = np.flatnonzero(pos < count[owner])
+            place = bounds[owner[own]] + pos[own]
+            same = h[place].view(np.int64) == was[own]
+            place, first = np.unique(place[same], return_index=True)
+            own = own[same][first]
+            low = bounds[owner[own]]
+            place = near_ends(place, kinds[own], low, low + count[owner[own]], len(h), window)
+            owner = np.searchsorted(bounds, place, "right") - 1
+            cols = {"pos": place - bounds[owner], "h": h[place].view(np.int64), "start": start[place] - begin[owner], "end": end[place + width - 1] - begin[owner]}
+            yield table_of(batch, owner, cols)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

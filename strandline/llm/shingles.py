@@ -58,11 +58,10 @@ def word_hashes(data: np.ndarray, powers: Powers, gap: np.ndarray = _SPACE) -> t
     return starts, ends, mix(raw + (ends - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts in one array, and the offsets of each text's own.
+def batch_words(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, joined by single spaces: start of each text, start, end and hash of each word, first word of each text.
 
-    A text with fewer than width words, but one at least, has one shingle, the whole word sequence;
-    a text without words, or null, has none.
+    Starts are bytes of the joined texts, and a text's own once its start is taken off; null is an empty text.
     """
     buffer, offsets = text_bytes(texts)
     data, offsets = np.frombuffer(buffer, np.uint8), np.array(offsets, np.int64)
@@ -73,8 +72,18 @@ def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> tuple[np.ndarra
     inside = np.ones(at[-1], bool)
     inside[at[1:] - 1] = False
     joined[:-1][inside] = data[offsets[0] : offsets[-1]]
-    starts, _, words = word_hashes(joined, powers)
-    bounds = np.searchsorted(starts, at)
+    starts, ends, words = word_hashes(joined, powers)
+    return at, starts, ends, words, np.searchsorted(starts, at)
+
+
+def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts in one array, and the offsets of each text's own.
+
+    A text with fewer than width words, but one at least, has one shingle, the whole word sequence;
+    a text without words, or null, has none.
+    """
+    _, _, _, words, bounds = batch_words(texts, powers)
+    n = len(bounds) - 1
     counts = np.diff(bounds)
     acc = _chain(words, width)
     owner = np.repeat(np.arange(n), counts)
