@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.geometry import mat_vec, vec
+from strandline.functions.geometry import hms, iso, mat_vec, vec, weekday
 
 
 def depth_intrinsics(cameras: DataFrame) -> DataFrame:
@@ -75,6 +75,31 @@ def kept_hands(bodies: DataFrame, least_score: float = 0.5, least_points: int =
     return bodies.where((F.col("class") == 0) & (F.col("score") > least_score) & (sure >= least_points))
 
 
+def recording_block(files: DataFrame, topics: DataFrame, reference: Sequence[str], by: str = "recording_id") -> DataFrame:
+    """One row per file (by, path, size_bytes): its name and size, when it runs, what it holds and what it lacks.
+
+    topics has a row (by, topic, message_count, start_us, end_us) for each topic of a recording, as a recording's
+    summary does. A file without topics has counts of 0, times of 0, no texts for them, and lacks every reference
+    topic; a topic without messages is listed but not present. Only a recording's topics meet in one row.
+    """
+    held = topics.groupBy(by).agg(
+        F.min("start_us").alias("_a"), F.max("end_us").alias("_b"), F.sum("message_count").alias("_n"),
+        F.array_sort(F.collect_list(F.struct("topic", "message_count"))).alias("_topics"), F.collect_set(F.when(F.col("message_count") > 0, F.col("topic"))).alias("_present"),
+    )
+    d = files.join(held, by, "left")
+    start, end = (F.coalesce(F.col(c) / 1e6, F.lit(0.0)) for c in ("_a", "_b"))
+    none = F.array().cast("array<string>")
+    present = F.coalesce("_present", none)
+    wanted = F.array(*[F.lit(x) for x in sorted(set(reference))]).cast("array<string>")
+    span = F.coalesce((F.col("_b") - F.col("_a")) / 1e6, F.lit(0.0))
+    return d.select(
+        by, "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), (F.coalesce("size_bytes", F.lit(0)) / (1 << 20)).alias("size_mb"),
+        span.alias("duration_s"), hms(span).alias("duration_hms"), start.alias("start_time"), end.alias("end_time"), iso(start).alias("start_iso"), iso(end).alias("end_iso"), weekday(start).alias("weekday"),
+        F.coalesce("_n", F.lit(0)).alias("message_count"), F.coalesce("_topics", F.array().cast(held.schema["_topics"].dataType)).alias("topic_counts"), F.size(present).alias("topics_present_count"),
+        F.array_sort(F.array_except(wanted, present)).alias("missing_reference_topics"),
+    )
+
+
 def all_blocks(recordings: DataFrame, blocks: dict[str, DataFrame], by: str = "recording_id") -> DataFrame:
     """One row per recording with a struct column for each block, null where the recording lacks it.
 

@@ -11,6 +11,7 @@ from strandline.operators.quality import imu_quality, trajectory, turn_rates
 from strandline.plans.base import ORACLE_SQL, Tables, query, r6
 from strandline.plans.hands import j_sql, joint
 from strandline.plans.motion import _euler_sql
+from strandline.plans.sync import REQUIRED
 
 
 @query(
@@ -149,3 +150,29 @@ def r8(t: Tables) -> DataFrame:
     path = S.long_form(d, "trajectory", [("poses", "trajectory.pose_count", None, None), ("path, m", "trajectory.path_length_m", 2, None)])
     imu = S.long_form(d, "imu", [("samples", "imu.sample_count", None, None), ("jolts", "imu.jolt_count", None, F.when(jolts.isNull(), "neutral").when(jolts == 0, "good").otherwise("bad"))])
     return path.unionByName(imu)
+
+
+@query(
+    "m1_recording",
+    f"""WITH s AS (SELECT recording_id, topic, count(*) AS n, min(t_us) AS a, max(t_us) AS b FROM streams GROUP BY 1, 2),
+        g AS (SELECT recording_id, min(a) AS a, max(b) AS b, CAST(sum(n) AS BIGINT) AS n, string_agg(topic || '=' || n, ',' ORDER BY topic) AS topic_counts, CAST(count(*) AS INTEGER) AS present FROM s GROUP BY 1),
+        f AS (SELECT CAST(r_regionkey AS BIGINT) AS recording_id, 3000000 * CAST(r_regionkey AS BIGINT) AS size_bytes FROM region),
+        m AS (SELECT f.recording_id, string_agg(r.topic, ',' ORDER BY r.topic) AS missing FROM f CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in REQUIRED)}) AS r(topic) ANTI JOIN s ON s.recording_id = f.recording_id AND s.topic = r.topic GROUP BY 1),
+        w AS (SELECT recording_id, CAST(round_even((b - a) / 1e6::DOUBLE, 0) AS BIGINT) AS w FROM g)
+        SELECT f.recording_id, 'session_' || f.recording_id || '.mcap' AS filename, size_bytes, round(size_bytes / 1048576.0::DOUBLE, 6) AS size_mb, coalesce((b - a) / 1e6::DOUBLE, 0) AS duration_s,
+            CASE WHEN w IS NULL THEN '00:00:00' ELSE CASE WHEN w // 3600 < 10 THEN '0' ELSE '' END || w // 3600 || ':' || lpad(CAST(w // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(w % 60 AS VARCHAR), 2, '0') END AS duration_hms,
+            coalesce(strftime(make_timestamp(a), '%Y-%m-%dT%H:%M:%S'), '') AS start_iso, coalesce(strftime(make_timestamp(b), '%Y-%m-%dT%H:%M:%S'), '') AS end_iso, coalesce(strftime(make_timestamp(a), '%A'), '') AS weekday,
+            coalesce(n, 0) AS message_count, coalesce(topic_counts, '') AS topic_counts, coalesce(present, 0) AS topics_present_count, coalesce(missing, '') AS missing_topics
+        FROM f LEFT JOIN g USING (recording_id) LEFT JOIN w USING (recording_id) LEFT JOIN m USING (recording_id)""",
+)
+def m1(t: Tables) -> DataFrame:
+    """The recording block of each file; three files hold no messages."""
+    key = F.col("r_regionkey").cast("long")
+    files = t["region"].select(key.alias("recording_id"), F.concat(F.lit("/recordings/session_"), key.cast("string"), F.lit(".mcap")).alias("path"), (3000000 * key).alias("size_bytes"))
+    topics = t.streams.groupBy("recording_id", "topic").agg(F.count("*").alias("message_count"), F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"))
+    d = S.recording_block(files, topics, REQUIRED)
+    counts = F.concat_ws(",", F.transform("topic_counts", lambda x: F.concat_ws("=", x["topic"], x["message_count"].cast("string"))))
+    return d.select(
+        "recording_id", "filename", "size_bytes", r6(F.col("size_mb"), "size_mb"), "duration_s", "duration_hms", "start_iso", "end_iso", "weekday", "message_count",
+        counts.alias("topic_counts"), "topics_present_count", F.concat_ws(",", "missing_reference_topics").alias("missing_topics"),
+    )

@@ -40,3 +40,16 @@ def test_link_axes_by_default(spark):
     d = spark.createDataFrame([(None,), ([0.0, 0.0, 1.0, -1.0, 0.0, 0.0, 0.0, -1.0, 0.0],)], "rot array<double>")
     rows = d.select(*[c.alias(f"c{i}") for i, c in enumerate(x for pair in S.link_axes(F.col("rot")) for x in pair)]).collect()
     assert tuple(rows[0]) == (0, 1.0, 2, 1.0, 1, -1.0) and tuple(rows[1]) == (0, 1.0, 2, 1.0, 1, -1.0)
+
+
+def test_recording_block_of_odd_files(spark):
+    """Files without topics, topics without messages, and a recording without a file."""
+    files = spark.createDataFrame([(0, "/a/x.mcap", 1 << 20), (1, "y.mcap", None), (2, None, 5)], "recording_id long, path string, size_bytes long")
+    topics = spark.createDataFrame([(0, "b", 2, 1_000_000, 4_000_000), (0, "a", 0, None, None), (9, "a", 3, 1, 2)], "recording_id long, topic string, message_count long, start_us long, end_us long")
+    got = {r["recording_id"]: r for r in S.recording_block(files, topics, ["c", "a", "b", "a"]).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert (got[0]["filename"], got[0]["size_mb"], got[0]["duration_s"], got[0]["duration_hms"], got[0]["start_iso"], got[0]["weekday"]) == ("x.mcap", 1.0, 3.0, "00:00:03", "1970-01-01T00:00:01", "Thursday")
+    assert [tuple(x) for x in got[0]["topic_counts"]] == [("a", 0), ("b", 2)] and got[0]["topics_present_count"] == 1 and got[0]["missing_reference_topics"] == ["a", "c"]
+    assert (got[1]["filename"], got[1]["size_bytes"], got[1]["message_count"], got[1]["start_iso"], got[1]["topic_counts"], got[1]["missing_reference_topics"]) == ("y.mcap", 0, 0, "", [], ["a", "b", "c"])
+    assert got[2]["filename"] is None
+    assert S.recording_block(files.limit(0), topics, []).count() == 0 and S.recording_block(files, topics, []).where("size(missing_reference_topics) > 0").count() == 0
