@@ -57,6 +57,14 @@ def anchors(h: np.ndarray, width: int, whole: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_slide(least, width, np.maximum) == h)
 
 
+def text_anchors(words: np.ndarray, bounds: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of joined texts, whose first words are at bounds, and the anchors of each text's own windows."""
+    h, n = _chain(words, p.shingle_words), max(0, len(words) - p.stretch_words + 1)
+    # A window counts if its first and its last word are of one text.
+    whole = np.arange(n) + p.stretch_words <= np.repeat(bounds[1:], np.diff(bounds))[:n]
+    return h, anchors(h, p.stretch_words - p.shingle_words + 1, whole)
+
+
 def near_ends(at: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray, n: int, width: int) -> np.ndarray:
     """The sorted places at, and all places of n in reach of one where the next is far or of another kind.
 
@@ -169,11 +177,7 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
         powers = Powers()
         for batch in slices(batches, "text", 1000, 1_000_000):
             _, _, _, words, bounds = batch_words(batch.column("text"), powers)
-            h = _chain(words, width)
-            # A window counts if its first and its last word are of one text.
-            ends = np.repeat(bounds[1:], np.diff(bounds))
-            whole = np.arange(len(words) - p.stretch_words + 1) + p.stretch_words <= ends[: max(0, len(words) - p.stretch_words + 1)]
-            at = anchors(h, window, whole)
+            h, at = text_anchors(words, bounds, p)
             owner = np.searchsorted(bounds, at, "right") - 1
             yield table_of(batch, owner, {"pos": at - bounds[owner], "h": h[at].view(np.int64)})
 

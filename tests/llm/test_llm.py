@@ -24,10 +24,10 @@ from strandline.llm.licenses import TEMPLATES, scan_licenses, wording_difference
 from strandline.llm.media import Chunking, media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
-from strandline.llm.passages import remove_passages
+from strandline.llm.passages import Passages, near_ends, remove_passages, text_anchors
 from strandline.llm.pieces import Encoder, decode_pieces, encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
-from strandline.llm.shingles import Powers, shingle_sets
+from strandline.llm.shingles import Powers, batch_words, shingle_sets
 from strandline.llm.topk import Search, top_k
 from strandline.llm.warc import Archiving, read_warc, warc_round_trip, write_warc
 
@@ -337,3 +337,23 @@ def test_shingle_sets_of_a_batch(width):
         alone, _ = shingle_sets(pa.array([text], pa.string()), width, Powers())
         assert ends[i + 1] - ends[i] == len(want) == len(alone)
         assert (flat[ends[i] : ends[i + 1]] == alone).all()
+
+
+def test_anchors_of_a_batch():
+    """Each text's words, places and anchors are those it has alone; every window of its own has its least shingle."""
+    p, texts = Passages(), ["", " ".join(prose(90, 1)), None, " ".join(prose(19, 2)), " ".join(prose(20, 3)), "é " + "\n".join(prose(50, 1)), "a", " ".join(["x"] * 60), " "]
+    begin, start, end, words, bounds = batch_words(pa.array(texts), Powers())
+    h, at = text_anchors(words, bounds, p)
+    window = p.stretch_words - p.shingle_words + 1
+    for i, text in enumerate(texts):
+        lo, hi, data = bounds[i], bounds[i + 1], (text or "").encode()
+        assert [data[a:b].decode() for a, b in zip(start[lo:hi] - begin[i], end[lo:hi] - begin[i], strict=True)] == (text or "").split()
+        own = h[lo : max(lo, hi - p.shingle_words + 1)]
+        want = {int(k + j) for k in range(len(own) - window + 1) for j in np.flatnonzero(own[k : k + window] == own[k : k + window].min())}
+        assert {int(x - lo) for x in at if lo <= x < hi} == want
+
+
+def test_places_near_ends_stay_in_their_text():
+    at, kind = np.array([3, 5, 12, 14]), np.array([1, 1, 1, 1])
+    first, last = np.array([0, 0, 8, 8]), np.array([8, 8, 17, 17])
+    assert near_ends(at, kind, first, last, 20, 4).tolist() == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16]
