@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.geometry import hms, iso, mat_vec, vec, weekday
+from strandline.functions.geometry import angle_between, at, hms, iso, mat_vec, norm, sub, vec, weekday
 
 
 def depth_intrinsics(cameras: DataFrame) -> DataFrame:
@@ -100,6 +100,33 @@ def recording_block(files: DataFrame, topics: DataFrame, reference: Sequence[str
     )
 
 
+#: The joints of an upper body, in the order of their numbers.
+BODY_JOINTS = ("head", "neck", "spine", "l_shoulder", "l_elbow", "l_wrist", "r_shoulder", "r_elbow", "r_wrist", "mount_cam")
+
+
+def skeleton_block(frames: DataFrame, by: str = "recording_id", least_bone: float = 1e-6) -> DataFrame:
+    """One row per recording: share of frames each joint is visible in, mean angle of elbows, mean reach of arms, mean head height.
+
+    frames: by, joints (arrays of three) and visible (booleans), both in the order of BODY_JOINTS, one row per frame
+    with a body. An arm counts where its three joints are visible and both bones are longer than least_bone; a
+    measure of no frame is null, and so is one of a null or missing joint. All is one aggregate, merged before the shuffle.
+    """
+    joint = lambda i: F.get("joints", i)
+    seen = lambda i: F.coalesce(F.get("visible", i), F.lit(False))
+    aggregates = [
+        F.count("*").alias("frame_count"), F.lit(100.0).alias("detection_pct"),
+        F.struct(*[(100.0 * F.count_if(seen(i)) / F.count("*")).alias(n) for i, n in enumerate(BODY_JOINTS)]).alias("joint_visibility_pct"),
+    ]
+    arms = {}
+    for side, shoulder in (("left", 3), ("right", 6)):
+        upper, lower = (sub(joint(i), joint(shoulder + 1)) for i in (shoulder, shoulder + 2))
+        counts = seen(shoulder) & seen(shoulder + 1) & seen(shoulder + 2) & (norm(upper) > least_bone) & (norm(lower) > least_bone)
+        arms[f"elbow_{side}_mean_deg"] = F.when(counts, angle_between(upper, lower))
+        arms[f"reach_{side}_mean_m"] = F.when(counts, norm(sub(joint(shoulder), joint(shoulder + 2))))
+    means = [F.mean(c).alias(n) for n, c in sorted(arms.items())]
+    return frames.groupBy(by).agg(*aggregates, *means, F.mean(F.when(seen(0), at(joint(0), 1))).alias("head_height_mean_m"))
+
+
 def all_blocks(recordings: DataFrame, blocks: dict[str, DataFrame], by: str = "recording_id") -> DataFrame:
     """One row per recording with a struct column for each block, null where the recording lacks it.
 

@@ -9,7 +9,7 @@ from strandline.functions import geometry as G
 from strandline.operators import session as S
 from strandline.operators.quality import imu_quality, trajectory, turn_rates
 from strandline.plans.base import ORACLE_SQL, Tables, query, r6
-from strandline.plans.hands import j_sql, joint
+from strandline.plans.hands import d_sql, j_sql, joint
 from strandline.plans.motion import _euler_sql
 from strandline.plans.sync import REQUIRED
 
@@ -176,3 +176,25 @@ def m1(t: Tables) -> DataFrame:
         "recording_id", "filename", "size_bytes", r6(F.col("size_mb"), "size_mb"), "duration_s", "duration_hms", "start_iso", "end_iso", "weekday", "message_count",
         counts.alias("topic_counts"), "topics_present_count", F.concat_ws(",", "missing_reference_topics").alias("missing_topics"),
     )
+
+
+def _arm_sql(side: str, a: int) -> str:
+    """Mean elbow angle and reach of the arm whose joints are a, a + 1, a + 2."""
+    counts = " AND ".join([*[f"{j_sql(i, 2)} > 0" for i in range(a, a + 3)], f"{d_sql(a, a + 1)} > 1e-6", f"{d_sql(a + 2, a + 1)} > 1e-6"])
+    dot = " + ".join(f"({j_sql(a, k)} - {j_sql(a + 1, k)}) * ({j_sql(a + 2, k)} - {j_sql(a + 1, k)})" for k in range(3))
+    angle = f"degrees(acos(greatest(-1, least(1, ({dot}) / ({d_sql(a, a + 1)} * {d_sql(a + 2, a + 1)})))))"
+    return f"round(avg(CASE WHEN {counts} THEN {angle} END), 5) AS elbow_{side}_mean_deg, round(avg(CASE WHEN {counts} THEN {d_sql(a, a + 2)} END), 6) AS reach_{side}_mean_m"
+
+
+@query(
+    "m13_skeleton",
+    f"""SELECT frame_idx % 3 AS recording_id, count(*) AS frame_count, 100.0::DOUBLE AS detection_pct, {", ".join(f"round(100.0::DOUBLE * count(*) FILTER ({j_sql(i, 2)} > 0) / count(*), 6) AS {n}_pct" for i, n in enumerate(S.BODY_JOINTS))},
+        {_arm_sql("left", 3)}, {_arm_sql("right", 6)}, round(avg(CASE WHEN {j_sql(0, 2)} > 0 THEN {j_sql(0, 1)} END), 6) AS head_height_mean_m FROM hands GROUP BY 1""",
+)
+def m13_skeleton(t: Tables) -> DataFrame:
+    """The skeleton block; a joint is visible where its depth is positive."""
+    joints = F.array(*[joint(i) for i in range(len(S.BODY_JOINTS))])
+    d = t.hands.select((F.col("frame_idx") % 3).alias("recording_id"), joints.alias("joints"), F.transform(joints, lambda p: G.at(p, 2) > 0).alias("visible"))
+    means = [(c, 5 if c.endswith("deg") else 6) for c in ("elbow_left_mean_deg", "elbow_right_mean_deg", "reach_left_mean_m", "reach_right_mean_m", "head_height_mean_m")]
+    shares = [r6(F.col(f"joint_visibility_pct.{n}"), f"{n}_pct") for n in S.BODY_JOINTS]
+    return S.skeleton_block(d).select("recording_id", "frame_count", "detection_pct", *shares, *[F.round(c, n).alias(c) for c, n in means])

@@ -53,3 +53,17 @@ def test_recording_block_of_odd_files(spark):
     assert (got[1]["filename"], got[1]["size_bytes"], got[1]["message_count"], got[1]["start_iso"], got[1]["topic_counts"], got[1]["missing_reference_topics"]) == ("y.mcap", 0, 0, "", [], ["a", "b", "c"])
     assert got[2]["filename"] is None
     assert S.recording_block(files.limit(0), topics, []).count() == 0 and S.recording_block(files, topics, []).where("size(missing_reference_topics) > 0").count() == 0
+
+
+def test_skeleton_block_of_odd_frames(spark):
+    """A right angle, an arm without length, hidden joints, null joints."""
+    at = {0: [0.0, 1.5, 0.0], 3: [1.0, 0.0, 0.0], 4: [0.0, 0.0, 0.0], 5: [0.0, 1.0, 0.0]}
+    whole = [at.get(i, [2.0, 2.0, 2.0]) for i in range(10)]
+    rows = [(0, whole, [True] * 10), (0, whole, [i > 2 and i != 4 for i in range(10)]), (0, None, None), (1, whole, [False] * 10)]
+    d = spark.createDataFrame(rows, "recording_id long, joints array<array<double>>, visible array<boolean>")
+    got = {r["recording_id"]: r for r in S.skeleton_block(d).collect()}
+    one = got[0]
+    assert one["frame_count"] == 3 and round(one["joint_visibility_pct"]["head"], 3) == 33.333 and round(one["joint_visibility_pct"]["l_wrist"], 3) == 66.667
+    assert round(one["elbow_left_mean_deg"], 6) == 90.0 and round(one["reach_left_mean_m"], 6) == 1.414214 and one["elbow_right_mean_deg"] is None and one["head_height_mean_m"] == 1.5
+    assert got[1]["joint_visibility_pct"]["head"] == 0.0 and got[1]["head_height_mean_m"] is None
+    assert S.skeleton_block(d.limit(0)).count() == 0
