@@ -17,6 +17,7 @@ from strandline.llm.mixing import Mix, mix_sources
 from strandline.llm.passages import remove_passages
 from strandline.llm.pieces import encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
+from strandline.llm.simhash import simhash_dedup
 from strandline.llm.topk import top_k
 from strandline.llm.warc import warc_round_trip
 
@@ -71,6 +72,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_profiles": op1_language_profiles,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_simhash_balls": op13_simhash_balls,
 }
 
 #: DuckDB counterparts, where SQL can say what the operator computes.

@@ -63,33 +63,29 @@ def codes(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: str | None, width: int) -> list[int]:
-    """XXH64 of each run of width words, repeats included; of the whole sequence where there are fewer words."""
+def shingle_digests(text: str | None, width: int) -> bytes:
+    """XXH64 of each run of width words, repeats included, eight bytes each; of the whole sequence where there are fewer words."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D part words
     if not words:
-        return []
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    n = max(1, len(words) - width + 1)
-    return [digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())]
-
-
-def fingerprints(hashes: list[int], sizes: np.ndarray) -> np.ndarray:
-    """A fingerprint for each text, whose hashes follow each other; zero for a text without any."""
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    some, out = sizes > 0, np.zeros(len(sizes), np.uint64)
-    if some.any():
-        counts = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * counts > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        return b""
+    line, digest = b" ".join(words), xxhash.xxh64_digest
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(line)]
+    return b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])])
+
+
+def fingerprint(digests: bytes) -> int:
+    """A bit is set where over half of the digests have it set; zero without any."""
+    rows, counts = np.frombuffer(digests, np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    for at in range(0, len(rows), 1 << 16):
+        counts += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes())
 
 
 def _mark(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 1_000_000):
-            found = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
-            fp = fingerprints([h for hs in found for h in hs], np.array([len(hs) for hs in found], np.int64))
+            fp = np.array([fingerprint(shingle_digests(t, width)) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     return run
