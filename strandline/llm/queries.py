@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import crc32_mod, table
+from strandline.llm.conversations import repair_conversations
 from strandline.llm.language import identify_languages, learn_profiles
 from strandline.llm.licenses import scan_licenses
 from strandline.llm.media import media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
 from strandline.llm.passages import remove_passages
+from strandline.llm.periods import collapse_runs
 from strandline.llm.pieces import encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
 from strandline.llm.simhash import simhash_dedup
@@ -72,6 +76,39 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the damage of the contract; copies tells how often in a row each row stands."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    text = F.when(h == 1, "").when(h == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    return turns.select("conv_id", "turn", F.when(h == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.when(h == 0, 0).when(h == 3, 2).otherwise(1).alias("copies"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of words that the contract plants into a tenth of the documents; a null id has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    return np.where(i >= a, a + (i - a) % (1 + (n - a) // (3 + g % 8)), i)
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(table(spark, sf_dir, "documents"), order=planted_order)
+    longer = lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best)
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")))
+    found = found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), longer))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -87,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_word_runs": op12_word_runs,
     "op13_simhash_balls": op13_simhash_balls,
 }
 

@@ -4,8 +4,9 @@
 2. Each distinct fingerprint emits all variants within half the radius. Two fingerprints within the radius share a
    variant (flip half of the bits that differ in one, the rest in the other), and two that share one are within
    it: variants are looked up by equality only. Distinct fingerprints number 2081 at most on a variant.
-3. Variants are dealt to buckets by a linear code of their bits, so the buckets of a fingerprint's variants follow
-   from its own code and the masks' codes: each pass makes its own part of the variants and no others.
+3. Variants are dealt to buckets by a linear code of their bits: the code of a variant is that of its fingerprint,
+   exclusive or that of its mask. So each pass makes its own part of the variants and no others, and a fingerprint
+   is sent once to each bucket that has variants of it, where they follow from the two codes.
 4. In a bucket, equal variants are found by sorting; links are verified, and of each bucket a spanning forest of
    links is kept, so that a group of copies makes as many rows as it has members. Components join them.
 """
@@ -34,14 +35,16 @@ BITS = 64
 class Balls:
     """Fingerprints of shingles of `width` words link at `radius` or fewer differing bits.
 
-    passes bounds the shuffled bytes that stand at a time: 10 * variants / passes for each distinct fingerprint.
-    bucket_rows is the size of a bucket aimed at, chunk the number of fingerprints whose variants a task holds at once.
+    passes (a power of two) bounds the shuffled bytes that stand at a time: 8 * variants / passes for each distinct
+    fingerprint. bucket_rows is the number of variants aimed at that a task compares at once; there are least_buckets
+    a pass or more. chunk is the number of fingerprints that are dealt at once.
     """
 
     width: int = 4
     radius: int = 4
     passes: int = 8
     bucket_rows: int = 2 << 20
+    least_buckets: int = 512
     chunk: int = 1 << 15
 
     @property
@@ -91,31 +94,26 @@ def _mark(width: int):
     return run
 
 
-def _emit(balls: Balls, turn: int, bucket_bits: int):
-    """(bucket, fps, flips): the variants of this pass, as fingerprint and number of the mask."""
-    pass_bits = balls.passes.bit_length() - 1
+def _emit(balls: Balls, turn: int, pass_bits: int, bucket_bits: int):
+    """(bucket, fps): the fingerprints that have variants in each bucket of this pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = masks(balls.radius // 2)
-        code = codes(flips, pass_bits + bucket_bits)
+        code = codes(masks(balls.radius // 2), pass_bits + bucket_bits)
+        # Fingerprints whose codes agree in the pass's bits take the same masks in a pass.
+        steps = [np.unique(code[code % balls.passes == kind ^ turn] >> pass_bits) for kind in range(balls.passes)]
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(every), balls.chunk):
                 fps = every[at : at + balls.chunk]
                 own = codes(fps, pass_bits + bucket_bits)
-                parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for kind in range(balls.passes):  # fingerprints of one kind take the same masks in this pass
-                    mine = np.flatnonzero(own % balls.passes == kind)
-                    taken = np.flatnonzero(code % balls.passes == kind ^ turn)
-                    bucket = (own[mine][:, None] ^ code[taken][None, :]) >> pass_bits
-                    parts.append((bucket.ravel(), np.repeat(fps[mine], len(taken)), np.tile(taken.astype(np.uint16), len(mine))))
-                bucket, fp, flip = (np.concatenate(x) for x in zip(*parts))
+                parts = [np.flatnonzero(own % balls.passes == kind) for kind in range(balls.passes)]
+                bucket = np.concatenate([((own[mine] >> pass_bits)[:, None] ^ step[None, :]).ravel() for mine, step in zip(parts, steps)])
+                fp = np.concatenate([np.repeat(fps[mine], len(step)) for mine, step in zip(parts, steps)])
                 order = np.argsort(bucket, kind="stable")
-                bucket, fp, flip = bucket[order], fp[order], flip[order]
+                bucket, fp = bucket[order], fp[order]
                 first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                for a, b in zip(first, np.append(first[1:], len(bucket))):
-                    row = [pa.array([bucket[a]], pa.int64()), pa.array([fp[a:b].tobytes()], pa.binary()), pa.array([flip[a:b].tobytes()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, names=["bucket", "fps", "flips"])
+                blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(8 * first, 8 * len(fp)).astype(np.int32)), pa.py_buffer(fp.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), blobs], names=["bucket", "fps"])
 
     return run
 
@@ -138,38 +136,58 @@ def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _meet(radius: int):
-    """Links (u, v) between fingerprints of a bucket that share a variant: a spanning forest of them."""
-
-    def run(bucket: pa.Table) -> pa.Table:
-        flips = masks(radius // 2)
-        fp = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("fps")])
-        variant = fp ^ flips[np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in bucket.column("flips")])]
-        order = np.argsort(variant)
-        variant, fp = variant[order], fp[order]
-        new = np.append(True, variant[1:] != variant[:-1])
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1
-        fp, group = fp[shared], group[shared]
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-        low = np.repeat(np.minimum.reduceat(fp, first), np.diff(np.append(first, len(group)))) if len(group) else fp
-        edges = np.unique(np.column_stack((fp, low))[fp != low], axis=0).reshape(-1, 2)
-        edges = edges[np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= radius]
-        edges = edges[forest(edges[:, 0], edges[:, 1])]
-        return pa.table({"u": pa.array(edges[:, 0].copy().view(np.int64)), "v": pa.array(edges[:, 1].copy().view(np.int64))})
+def _meet(balls: Balls, turn: int, pass_bits: int, bucket_bits: int):
+    """Links (u, v) between fingerprints that share a variant, a spanning forest of whole buckets; rows come by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = masks(balls.radius // 2)
+        code = codes(flips, pass_bits + bucket_bits)
+        by_code = np.argsort(code, kind="stable")
+        flips, code = flips[by_code], code[by_code]
+
+        def links(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+            fp = np.frombuffer(b"".join(blobs), np.uint64)
+            bucket = np.repeat(np.array(buckets, np.int64), [len(x) // 8 for x in blobs])
+            wanted = codes(fp, pass_bits + bucket_bits) ^ (bucket << pass_bits | turn)
+            low, high = np.searchsorted(code, wanted), np.searchsorted(code, wanted, "right")
+            ends = np.cumsum(high - low)
+            mask = np.arange(ends[-1]) + np.repeat(low - (ends - (high - low)), high - low)
+            fp = np.repeat(fp, high - low)
+            variant = fp ^ flips[mask]
+            order = np.argsort(variant)
+            variant, fp = variant[order], fp[order]
+            new = np.append(True, variant[1:] != variant[:-1])
+            shared = ~(new & np.append(new[1:], True))
+            fp, first = fp[shared], np.flatnonzero(new[shared])
+            low = np.repeat(np.minimum.reduceat(fp, first), np.diff(np.append(first, len(fp)))) if len(fp) else fp
+            edges = np.unique(np.column_stack((fp, low))[fp != low], axis=0).reshape(-1, 2)
+            edges = edges[np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= balls.radius]
+            edges = edges[forest(edges[:, 0], edges[:, 1])]
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, k].copy().view(np.int64)) for k in (0, 1)], names=["u", "v"])
+
+        buckets, blobs, size = [], [], 0
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("fps").to_pylist()):
+                if 2 * size >= balls.bucket_rows and bucket != buckets[-1]:
+                    yield links(buckets, blobs)
+                    buckets, blobs, size = [], [], 0
+                buckets.append(bucket)
+                blobs.append(blob)
+                size += len(blob) // 8
+        if size:
+            yield links(buckets, blobs)
 
     return run
 
 
 def ball_links(prints: DataFrame, balls: Balls, scratch: Scratch) -> DataFrame:
     """(u, v): links between the distinct values of prints (fp); every pair within the radius is connected by them."""
-    n = prints.count()
-    rows = n * balls.variants // balls.passes
-    bucket_bits = max(1, (rows // balls.bucket_rows).bit_length())
+    rows = prints.count() * balls.variants // balls.passes
+    bits = balls.passes.bit_length() - 1, (max(balls.least_buckets, rows // balls.bucket_rows) - 1).bit_length()
     found = None
     for turn in range(balls.passes):
-        made = map_arrow(prints, _emit(balls, turn, bucket_bits), "bucket bigint, fps binary, flips binary")
-        links = scratch.write(made.groupBy("bucket").applyInArrow(_meet(balls.radius), "u bigint, v bigint"), f"links{turn}")
+        dealt = map_arrow(prints, _emit(balls, turn, *bits), "bucket bigint, fps binary").repartition("bucket").sortWithinPartitions("bucket")
+        links = scratch.write(map_arrow(dealt, _meet(balls, turn, *bits), "u bigint, v bigint"), f"links{turn}")
         found = links if found is None else found.unionByName(links)
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= balls.radius
     return found.where(near).distinct()
