@@ -51,10 +51,15 @@ def chosen_frames(frames: DataFrame, c: Colouring) -> DataFrame:
 
 
 def with_axes(frames: DataFrame, link: Column | None = None) -> DataFrame:
-    """(frame, tx, ty, tz, m00 .. m22): camera position, and the matrix from world axes to optical ones."""
+    """(frame, tx, ty, tz, m00 .. m22): camera position, and the matrix from world axes to optical ones.
+
+    A frame with several poses takes the least. The aggregate is also where Spark stops to move the filters it infers
+    for cells: they would carry the whole rotation many times over down to the scan.
+    """
     link = G.vec(*G.OPTICAL_TO_LINK) if link is None else link
     turn = [[sum((G.at(link, 3 * k + i) * G.at(F.col("rot"), 3 * j + k) for k in (1, 2)), G.at(link, i) * G.at(F.col("rot"), 3 * j)) for j in range(3)] for i in range(3)]
-    return frames.select("frame", *[G.at(F.col("at"), i).alias(f"t{n}") for i, n in enumerate(XYZ)], *[turn[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)])
+    values = [*[G.at(F.col("at"), i).alias(f"t{n}") for i, n in enumerate(XYZ)], *[turn[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)]]
+    return frames.groupBy("frame").agg(F.min(F.struct("rot", "at")).alias("pose")).select("frame", "pose.rot", "pose.at").select("frame", *values)
 
 
 def optical(x: Column, y: Column, z: Column) -> list[Column]:
@@ -69,11 +74,12 @@ def view_cells(frames: DataFrame, lens: Lens, c: Colouring) -> DataFrame:
     The box around the view's eight corners is cut into cells; a cell stays unless the ball around it lies wholly
     behind one of the view's six planes. The number of a frame's cells is bounded by far and the cell's edge.
     """
-    ways = [((u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy) for u in (0, lens.width - 1) for v in (0, lens.height - 1)]
+    ends = [sorted(((0 - mid) / f, (end - 1 - mid) / f)) for f, mid, end in ((lens.fx, lens.cx, lens.width), (lens.fy, lens.cy, lens.height))]
     bounds = []
     for j, n in enumerate(XYZ):
-        corners = [F.col(f"t{n}") + z * (a * F.col(f"m0{j}") + b * F.col(f"m1{j}") + F.col(f"m2{j}")) for z in (c.near, c.far) for a, b in ways]
-        bounds.append(F.sequence(F.floor(F.least(*corners) / c.cell), F.floor(F.greatest(*corners) / c.cell)))
+        side = lambda pick: sum((pick(F.col(f"m{i}{j}") * lo, F.col(f"m{i}{j}") * hi) for i, (lo, hi) in enumerate(ends)), F.col(f"m2{j}"))  # noqa: B023, E731
+        low, high = F.col(f"t{n}") + F.least(side(F.least) * c.near, side(F.least) * c.far), F.col(f"t{n}") + F.greatest(side(F.greatest) * c.near, side(F.greatest) * c.far)
+        bounds.append(F.sequence(F.floor(low / c.cell), F.floor(high / c.cell)))
     out = frames
     for n, b in zip(XYZ, bounds, strict=True):
         out = out.withColumn(f"i{n}", F.explode(b))
@@ -137,5 +143,5 @@ def colourise(vertices: DataFrame, frames: DataFrame, pixels: DataFrame, lens: L
         seen = unhidden(seen, depth, depth_lens, c)
     found = weighted_colours(seen, pixels.select("frame", F.col("pu").cast("long").alias("pu"), F.col("pv").cast("long").alias("pv"), *values), values)
     out = vertices.select("v_id").join(found, "v_id", "left")
-    clip = lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(x)))
+    clip = lambda x: F.when(F.col(x).isNotNull(), F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(x))))
     return out.select("v_id", F.coalesce("weight", F.lit(0.0)).alias("weight"), *[F.coalesce(clip(x), F.lit(128.0)).alias(x) for x in values])

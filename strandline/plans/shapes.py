@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
+from strandline.operators import colour as C
 from strandline.operators import mesh as M
 from strandline.operators import spatial as S
 from strandline.plans.base import Tables, query, r6
@@ -164,13 +165,12 @@ _FRAMES = "fr AS (SELECT vec_id AS frame, embedding[1]::DOUBLE AS cx, embedding[
         SELECT v.v_id, coalesce(hits, 0) AS hits, round(coalesce(weighted, 128), 6) AS weighted, round(coalesce(plain, 128), 6) AS plain FROM vertices v LEFT JOIN m USING (v_id)""",
 )
 def p2(t: Tables) -> DataFrame:
-    """Every vertex in every frame of the decimated set of its SQL; Spark broadcasts the frames only where their size allows it."""
+    """Vertices in the frames that its SQL names, met by cells of space; no occlusion, normals aren't read."""
     e = lambda i: F.element_at("embedding", i).cast("double")
-    frames = t["embeddings"].where("vec_id % 50 = 0").select(F.col("vec_id").alias("frame"), e(1).alias("cx"), e(2).alias("cy"), (e(3) - 1).alias("cz"))
-    d = t.vertices.crossJoin(frames).withColumn("p", G.world_to_optical(G.vec(F.col("x"), F.col("y"), F.col("z")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1), G.vec(F.col("cx"), F.col("cy"), F.col("cz")), G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1)))
-    u, v = G.project(F.col("p"), 500.0, 500.0, 320.0, 240.0)
-    z = G.at(F.col("p"), 2)
-    seen = d.where((z > 0.2) & (z < 5) & (u >= 0) & (u < 639) & (v >= 0) & (v < 479)).select("v_id", (F.col("frame") % 251).alias("shade"), (1 / (z * z + 1e-3)).alias("w"))
+    same = G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1)
+    frames = t["embeddings"].where("vec_id % 50 = 0").select(F.col("vec_id").alias("frame"), same.alias("rot"), G.vec(e(1), e(2), e(3) - 1).alias("at"))
+    seen = C.sightings(t.vertices, C.with_axes(frames, same), C.Lens(500.0, 500.0, 320.0, 240.0, 640, 480), C.Colouring(far=5.0, cell=0.25), facing=False)
+    seen = seen.select("v_id", (F.col("frame") % 251).alias("shade"), (1 / (F.col("pz") * F.col("pz") + 1e-3)).alias("w"))
     m = seen.groupBy("v_id").agg(F.count("*").alias("hits"), (F.sum(F.col("w") * F.col("shade")) / F.sum("w")).alias("weighted"), F.avg("shade").alias("plain"))
     d = t.vertices.join(m, "v_id", "left")
     return d.select("v_id", F.coalesce("hits", F.lit(0)).alias("hits"), r6(F.coalesce("weighted", F.lit(128.0)), "weighted"), r6(F.coalesce("plain", F.lit(128.0)), "plain"))
