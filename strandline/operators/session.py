@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.geometry import angle_between, at, hms, iso, mat_vec, norm, sub, vec, weekday
+from strandline.operators.series import over_halo
 
 
 def depth_intrinsics(cameras: DataFrame) -> DataFrame:
@@ -34,10 +35,8 @@ def between_keyframes(keys: DataFrame, by: str = "recording_id", frame: str = "f
 
     A side that both keyframes have is mixed in proportion, with the lesser confidence; a side that only one
     has is copied to every frame between. keys has one row per keyframe and side, at least one per keyframe.
-    The window is over keyframes, of which there is one in many frames.
     """
-    w = Window.partitionBy(by).orderBy(frame)
-    gaps = keys.select(by, frame).distinct().withColumn("_to", F.lead(frame).over(w)).where(F.col("_to") > F.col(frame) + 1).withColumnRenamed(frame, "_from")
+    gaps = over_halo(keys.select(by, frame).distinct(), [by], [frame], lambda w: {"_to": F.lead(frame).over(w)}, after=1).where(F.col("_to") > F.col(frame) + 1).withColumnRenamed(frame, "_from")
     cols = [side, "confidence", *values]
     start = gaps.join(keys, [gaps[by] == keys[by], gaps["_from"] == keys[frame]]).select(gaps[by], "_from", "_to", F.col(side).alias("_side"), F.struct(*cols).alias("_a"))
     end = gaps.join(keys, [gaps[by] == keys[by], gaps["_to"] == keys[frame]]).select(gaps[by], "_from", "_to", F.col(side).alias("_side"), F.struct(*cols).alias("_b"))

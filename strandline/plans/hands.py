@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
-from strandline.operators.series import interpolate
+from strandline.operators.quantiles import quantiles
+from strandline.operators.series import interpolate, over_halo
 from strandline.plans.base import Tables, query, r6
 
 FRAMES = 240
@@ -132,11 +133,11 @@ def m12(t: Tables) -> DataFrame:
     h = t.hands.where(F.col("frame_idx") < FRAMES).withColumn("wrist", joint(0))
     f = h.groupBy("frame_idx").agg(F.count("*").alias("n"), F.bool_or(F.col("side") == "left").alias("l"), F.bool_or(F.col("side") == "right").alias("r"))
     a = f.agg(F.count("*").alias("frames_any"), F.count_if(F.col("n") == 2).alias("frames_two"), F.count_if(F.col("n") > 2).alias("frames_more"), F.count_if(F.col("l")).alias("frames_left"), F.count_if(F.col("r")).alias("frames_right"), F.count_if(F.col("l") & F.col("r")).alias("frames_both"))
-    step = h.withColumn("s", G.norm(G.sub(F.col("wrist"), F.lag("wrist").over(Window.partitionBy("side").orderBy("frame_idx", "det_seq")))))
-    at = F.percentile("confidence", [0.1, 0.5, 0.9])
-    c = step.groupBy("side").agg(r6(F.avg("confidence"), "conf_mean"), at.alias("p"), r6(F.avg(G.at(F.col("wrist"), 2)), "wrist_depth"), r6(F.sum("s"), "track_m"), r6(F.max("s") * 30, "fastest_mps"))
-    d = c.join(F.broadcast(a))
-    return d.select("side", *a.columns, r6(100.0 * F.col("frames_any") / FRAMES, "any_pct"), "conf_mean", *[r6(F.col("p")[i], n) for i, n in enumerate(("conf_p10", "conf_p50", "conf_p90"))], "wrist_depth", "track_m", "fastest_mps")
+    step = over_halo(h, ["side"], ["frame_idx", "det_seq"], lambda w: {"s": G.norm(G.sub(F.col("wrist"), F.lag("wrist").over(w)))}, before=1)
+    at = {"confidence": {"conf_p10": 0.1, "conf_p50": 0.5, "conf_p90": 0.9}}
+    c = step.groupBy("side").agg(r6(F.avg("confidence"), "conf_mean"), r6(F.avg(G.at(F.col("wrist"), 2)), "wrist_depth"), r6(F.sum("s"), "track_m"), r6(F.max("s") * 30, "fastest_mps"))
+    d = c.join(quantiles(h, ["side"], at), "side", "left").join(F.broadcast(a))
+    return d.select("side", *a.columns, r6(100.0 * F.col("frames_any") / FRAMES, "any_pct"), "conf_mean", *[r6(F.col(n), n) for n in at["confidence"]], "wrist_depth", "track_m", "fastest_mps")
 
 
 @query(
@@ -156,9 +157,8 @@ def v5(t: Tables) -> DataFrame:
     "SELECT det_seq, list(det_seq) OVER (PARTITION BY side ORDER BY det_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)[1] AS trail_start, count(*) OVER (PARTITION BY side ORDER BY det_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS trail_len FROM hands",
 )
 def w15(t: Tables) -> DataFrame:
-    w = Window.partitionBy("side").orderBy("det_seq").rowsBetween(-4, 0)
-    trail = F.collect_list("det_seq").over(w)
-    return t.hands.select("det_seq", trail[0].alias("trail_start"), F.size(trail).cast("long").alias("trail_len"))
+    d = over_halo(t.hands.select("side", "det_seq"), ["side"], ["det_seq"], lambda w: {"trail": F.collect_list("det_seq").over(w.rowsBetween(-4, 0))}, before=4)
+    return d.select("det_seq", F.get("trail", 0).alias("trail_start"), F.size("trail").cast("long").alias("trail_len"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
 from strandline.operators.quality import depth_quality, health_score, imu_quality, path_steps, trajectory, turn_rates
-from strandline.operators.series import fill_forward, rolling_median
+from strandline.operators.series import filled_forward, rolling_median
 from strandline.plans.base import Tables, query, r6
 
 _STEP = """d AS (SELECT *, ts - lag(ts) OVER w AS dt, tx - lag(tx) OVER w AS dx, ty - lag(ty) OVER w AS dy, tz - lag(tz) OVER w AS dz FROM pose WINDOW w AS (PARTITION BY recording_id ORDER BY seq)),
@@ -193,9 +193,9 @@ def g16(t: Tables) -> DataFrame:
 def w11(t: Tables) -> DataFrame:
     """Median of the last 15 known depths of a side; where depth is missing the last median stands."""
     d = t["events"].select((F.col("user_id") % 4).alias("side"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("z"))
-    known = d.where("z is not null").withColumn("s", rolling_median(F.col("z"), ["side"], ["seq"]))
+    known = rolling_median(d.where("z is not null"), "z", "s", ["side"], ["seq"])
     both = d.where("z is null").withColumn("s", F.lit(None).cast("double")).unionByName(known)
-    return both.withColumn("smoothed", r6(fill_forward(F.col("s"), ["side"], ["seq"]))).select("side", "seq", "smoothed")
+    return filled_forward(both, "s", "smoothed", ["side"], "seq").select("side", "seq", r6(F.col("smoothed"), "smoothed"))
 
 
 @query(

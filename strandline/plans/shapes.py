@@ -9,6 +9,7 @@ from strandline.functions import geometry as G
 from strandline.operators import colour as C
 from strandline.operators import mesh as M
 from strandline.operators import spatial as S
+from strandline.operators.quantiles import quantiles
 from strandline.plans.base import Tables, query, r6
 
 _SHAPE = """c AS (SELECT f.f_id, f.a, f.b, f.c, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM faces f JOIN vertices a ON a.v_id = f.a JOIN vertices b ON b.v_id = f.b JOIN vertices c ON c.v_id = f.c),
@@ -66,7 +67,7 @@ def m9(t: Tables) -> DataFrame:
     ext = {n: F.max(n) - F.min(n) for n in S.XYZ}
     v = t.vertices.agg(F.count("*").alias("vertex_count"), *[c.alias(f"extent_{n}") for n, c in ext.items()], (ext["x"] * ext["y"] * ext["z"]).alias("bbox_volume_m3"))
     e = s.select(F.explode(F.array("edge_ab", "edge_bc", "edge_ca")).alias("e"))
-    e = e.agg(F.avg("e").alias("edge_length_mean_m"), F.percentile("e", F.lit(0.05)).alias("edge_length_p5_m"), F.percentile("e", F.lit(0.95)).alias("edge_length_p95_m"))
+    e = e.agg(F.avg("e").alias("edge_length_mean_m")).join(quantiles(e, [], {"e": {"edge_length_p5_m": 0.05, "edge_length_p95_m": 0.95}}))
     a = s.agg(F.count("*").alias("face_count"), F.sum("area").alias("surface_area_m2"))
     d = a.join(e).join(v)
     d = d.withColumns({"verts_per_m2": G.safe_div(F.col("vertex_count"), F.col("surface_area_m2")), "faces_per_m2": G.safe_div(F.col("face_count"), F.col("surface_area_m2"))})

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators.asof import nearest, nearest_within
 from strandline.operators.quality import stream_gaps, sync_quality, transform_pairs
-from strandline.operators.series import with_previous
+from strandline.operators.quantiles import quantiles
+from strandline.operators.series import numbered, with_previous
 from strandline.plans.base import Tables, query, r6
 
 #: Microseconds: 0.1 s for depth and pose, 0.05 s for the inertial stream, on the slow clock.
@@ -118,8 +119,7 @@ def s17(t: Tables) -> DataFrame:
     "SELECT topic, recording_id, seq, row_number() OVER (PARTITION BY recording_id, topic ORDER BY seq) - 1 AS idx, t_us / 1e6::DOUBLE AS ts FROM streams",
 )
 def s18(t: Tables) -> DataFrame:
-    w = Window.partitionBy("recording_id", "topic").orderBy("seq")
-    return t.streams.select("topic", "recording_id", "seq", (F.row_number().over(w) - 1).cast("long").alias("idx"), (F.col("t_us") / 1e6).alias("ts"))
+    return numbered(t.streams, ["recording_id", "topic"], ["seq"], "idx").select("topic", "recording_id", "seq", "idx", (F.col("t_us") / 1e6).alias("ts"))
 
 
 @query(
@@ -154,9 +154,9 @@ def f1(t: Tables) -> DataFrame:
 @query("f2_f3_schedule", "WITH x AS (SELECT recording_id, seq, max(seq) OVER (PARTITION BY recording_id) AS last, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS n FROM streams) SELECT recording_id, seq, n FROM x WHERE (seq % 7 = 0 OR seq = last) AND n <= 5000")
 def f2(t: Tables) -> DataFrame:
     """Every seventh frame and the last one, within a cap on the frame number."""
-    w = Window.partitionBy("recording_id")
-    x = t.streams.select("recording_id", "seq").withColumn("last", F.max("seq").over(w)).withColumn("n", F.row_number().over(w.orderBy("seq")).cast("long"))
-    return x.where(((F.col("seq") % 7 == 0) | (F.col("seq") == F.col("last"))) & (F.col("n") <= 5000)).select("recording_id", "seq", "n")
+    x = numbered(t.streams.select("recording_id", "seq"), ["recording_id"], ["seq"]).withColumn("n", F.col("n") + 1).where("n <= 5000")
+    last = t.streams.groupBy("recording_id").agg(F.max("seq").alias("last"))
+    return x.join(last, "recording_id").where((F.col("seq") % 7 == 0) | (F.col("seq") == F.col("last"))).select("recording_id", "seq", "n")
 
 
 @query("a1_topic_counts", "SELECT recording_id, topic, count(*) AS n FROM streams GROUP BY 1, 2")
@@ -170,8 +170,9 @@ def a1(t: Tables) -> DataFrame:
 )
 def a4(t: Tables) -> DataFrame:
     at = (5, 10, 50, 90, 95)
-    g = t.streams.groupBy("topic").agg(F.percentile("value", [p / 100 for p in at]).alias("p"), r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "std"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return g.select("topic", *[r6(F.col("p")[i], f"p{p}") for i, p in enumerate(at)], "mean", "std", "low", "high")
+    g = t.streams.groupBy("topic").agg(r6(F.avg("value"), "mean"), r6(F.stddev_pop("value"), "std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    q = quantiles(t.streams, ["topic"], {"value": {f"p{p}": p / 100 for p in at}})
+    return g.join(q, "topic", "left").select("topic", *[r6(F.col(f"p{p}"), f"p{p}") for p in at], "mean", "std", "low", "high")
 
 
 @query(

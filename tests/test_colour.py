@@ -72,7 +72,7 @@ def test_frames_are_thinned_and_capped(spark):
 
 
 def test_plan_has_no_nested_loop(spark):
-    v = spark.range(10).select(F.col("id").alias("v_id"), *[F.lit(0.5).alias(n) for n in ("x", "y", "z", "nx", "ny", "nz")])
+    v = spark.range(10).select(F.col("id").alias("v_id"), *[(F.col("id") * 0.7).alias(n) for n in ("x", "y", "z", "nx", "ny", "nz")])
     frames = cameras(spark, [(0, 0.0, [0, 0, 0])])
     plan = C.sightings(v, C.with_axes(frames), LENS, C.Colouring())._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

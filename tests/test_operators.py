@@ -60,7 +60,7 @@ def test_previous_crosses_blocks(spark):
 def test_rolling_median(spark):
     values = list(np.random.default_rng(3).normal(size=60))
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(values)], "k int, seq int, v double")
-    got = [x["m"] for x in df.withColumn("m", rolling_median(F.col("v"), ["k"], ["seq"])).orderBy("seq").collect()]
+    got = [x["m"] for x in rolling_median(df, "v", "m", ["k"], ["seq"]).orderBy("seq").collect()]
     assert np.allclose(got, [np.median(values[max(0, i - 14) : i + 1]) for i in range(60)])
 
 
