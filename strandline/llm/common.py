@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,6 +85,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hashed_share(key: Column, wanted: int, n: int) -> Column:
+    """Whether a row, by a hash of key, is among an expected number of `wanted` of n rows; all are where n is no larger."""
+    most = (1 << 63) - 1
+    return F.shiftrightunsigned(key, 1) <= F.lit(most if n <= wanted else most * wanted // n)
+
+
+def broadcast_small(df: DataFrame, most: int, width: int = 64) -> DataFrame:
+    """df, marked for broadcast where its rows, arrays of any length counted in full, take `most` bytes at most."""
+    lists = [F.coalesce(F.greatest(F.size(f.name), F.lit(0)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "array"]
+    size = df.agg(F.sum(sum((16 * n for n in lists), F.lit(width))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

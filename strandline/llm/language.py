@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_arrow, slices, text_bytes
+from strandline.llm.common import hashed_share, map_arrow, slices, text_bytes
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -158,8 +158,8 @@ def learn_profiles(labelled: DataFrame, depth: int = 400, sample: int = 20_000,
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Profiles((), (), (), depth)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * 1_000_000))])
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    known = [F.when(F.col("lang") == k, hashed_share(F.xxhash64("text"), sample, n)) for k, n in sizes.items()]
+    chosen = labelled.where(F.coalesce(*known))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = GramCounter()
@@ -195,7 +195,9 @@ def identify_languages(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...
     Null text, or text without a letter: lang_pred 'und', score 0. Ties go to the language first in
     alphabetical order. No profile learnt at all: 'und'. Repeated rows give repeated rows, an empty
     table an empty one; texts are read whole, whatever their length; other columns are not read.
+    Columns in keep that are named lang_pred or score are replaced.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     made = [F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]]
     kept = [(f"_keep{i}", docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, map_arrow, slices, text_bytes
+from strandline.llm.common import Scratch, broadcast_small, map_arrow, slices, text_bytes
 
 _GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -150,7 +150,7 @@ def store_media(docs: DataFrame, scratch: Scratch, c: Chunking = Chunking(), id_
     said = scratch.write(said, "said")
     copies = scratch.write(copies, "copies")
     big = lambda df, width: df.count() * width > c.broadcast_bytes
-    said_side = said if big(said, 128) else F.broadcast(said)
+    said_side = broadcast_small(said, c.broadcast_bytes, 128)
     copies_side = copies if big(copies, 64) else F.broadcast(copies)
     same = texts["mid"].eqNullSafe(copies["mid"]) & texts["id"].eqNullSafe(copies["id"])
     mine = texts.join(copies_side, same, "left_anti").join(said_side, "mid", "left")

@@ -94,7 +94,9 @@ def _sketch(b: Banding):
             same = _whole_hashes(flat, ends[:-1][some], n[some])
             same = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(16 * some)).astype(np.int32)), pa.py_buffer(same.tobytes())])
             keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(b.bands * some)), pa.int32()), pa.array(band_keys(flat, n[some], b).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), same, keys], names=["id", "n", "same", "keys"])
+            carried = [c for c in batch.schema.names if c not in ("id", "text")]
+            cols = [batch.column("id"), pa.array(n, pa.int64()), same, keys, *[batch.column(c) for c in carried]]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "same", "keys", *carried])
 
     return run
 
@@ -184,13 +186,14 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
 
 
 def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
-    """(id, n, same, component) for each row of items (id, text); component: smallest id reachable.
+    """(id, n, same, component) for each row of items (id, text), and its other columns; component: smallest id reachable.
 
     id is the item's key, of any type that orders; rows that share one are one item as far as their
     texts are equal. Rows with a null id or without words are linked with nothing: their component is their id.
     """
     kind = items.schema["id"].dataType.simpleString()
-    sketch = map_arrow(items, _sketch(b), f"id {kind}, n bigint, same binary, keys array<bigint>")
+    carried = [f for f in items.schema.fields if f.name not in ("id", "text")]
+    sketch = map_arrow(items, _sketch(b), ", ".join([f"id {kind}, n bigint, same binary, keys array<bigint>", *[f"{f.name} {f.dataType.simpleString()}" for f in carried]]))
     sketch = scratch.write(sketch, "sketch")
     live = sketch.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = scratch.write(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -239,13 +242,15 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     scratch.drop(buckets)
     per_class = copied.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("by_class"))
     per_class = per_class.withColumnRenamed("same", "of")
-    out = sketch.select("id", "n", "same").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
-    return out.select("id", "n", "same", F.coalesce("by_class", "own", "id").alias("component"))
+    out = sketch.drop("keys").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+    return out.select("id", "n", "same", F.coalesce("by_class", "own", "id").alias("component"), *[f.name for f in carried])
 
 
-def minhash_dedup(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minhash_dedup(docs: DataFrame, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """Document near-duplicates: (id_col, n_shingles, component_id, kept), one row per input row.
 
+    with_hash adds text_hash, the text's xxhash64, by which rows that share an id can be told apart.
+
     * Null or word-less text: n_shingles 0, component_id = own id, kept.
     * Fewer words than the shingle width: one shingle, the whole sequence.
     * Null id: linked with nothing, component_id null, kept (there is no one to yield to).
@@ -254,7 +259,7 @@ def minhash_dedup(docs: DataFrame, banding: Banding = Banding(), id_col: str = "
     * Other columns, whatever their names, are not read.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(text_col).alias("text_hash")] if with_hash else []))
     out = near_duplicates(items, banding, scratch)
     kept = F.col("id").eqNullSafe(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), *(["text_hash"] if with_hash else []))

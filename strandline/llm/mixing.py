@@ -79,7 +79,9 @@ def mix_sources(docs: DataFrame, m: Mix = Mix(), id_col: str = "doc_id", source_
     A row's copies differ in epoch (from 0); epoch, block_rank and a hash of the id give the mixed order.
     A null source is a source of its own; null and empty texts have no tokens and go with their block;
     sources without any token are kept once. Rows that repeat an id are in the same block. No rows, no rows.
+    Columns in payload that are named like one of the others are left out.
     """
+    payload = tuple(c for c in payload if c not in (id_col, source_col, "n_tokens", "epoch", "block_rank", "block"))
     if (m.entropy is None) == (m.repeats is None):
         raise ValueError("set either entropy or repeats")
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -115,5 +117,5 @@ def mix_sources(docs: DataFrame, m: Mix = Mix(), id_col: str = "doc_id", source_
     by_row = Window.partitionBy("_k", "block", "epoch").orderBy("_o", "_id")
     part = out.where("take < b").withColumn("upto", F.sum("_n").over(by_row) - F.col("_n")).where(F.col("upto") < F.col("take")).drop("upto")
     cols = [F.col("_id").alias(id_col), F.col("_s").alias(source_col), F.col("_n").alias("n_tokens"), "epoch", "block_rank", "block"]
-    taken = [F.col(f"_p{i}").alias(c) for i, c in enumerate(payload) if c not in (id_col, source_col)]
+    taken = [F.col(f"_p{i}").alias(c) for i, c in enumerate(payload)]
     return whole.unionByName(part).select(*cols, *taken)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, map_arrow, slices
+from strandline.llm.common import Scratch, broadcast_small, map_arrow, slices
 from strandline.llm.minhash import Banding, near_duplicates
 from strandline.llm.shingles import Powers, _chain, batch_words
 
@@ -257,8 +257,8 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     cuts = _runs(texts, p, scratch)
-    small = lambda df, width: F.broadcast(df) if df.count() * width <= p.broadcast_bytes else df
-    marked = texts.join(small(cuts, 128), "id", "left")
+    small = lambda df: broadcast_small(df, p.broadcast_bytes, 128)
+    marked = texts.join(small(cuts), "id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 8_000_000):
@@ -284,8 +284,8 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     scratch.drop(items)
     made = ("cut_paragraphs", "cut_bytes", "cut_spans", "has_repeat")
     names = [c for c in docs.columns if c not in made]
-    plan = small(gone, 128).withColumnRenamed("id", "_id").join(cuts.withColumnRenamed("id", "_id"), "_id", "left")
-    plan = small(scratch.write(plan, "plan"), 256)
+    plan = small(gone).withColumnRenamed("id", "_id").join(cuts.withColumnRenamed("id", "_id"), "_id", "left")
+    plan = small(scratch.write(plan, "plan"))
     out = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names) if c != text_col])
     out = out.join(plan, out["_key"] == plan["_id"], "left").drop("_id", "_key")
     carried = [c for c in out.columns if c.startswith("_c")]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_arrow, slices
+from strandline.llm.common import hashed_share, map_arrow, slices
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper_share", "digit_share", "symbol_share", "punctuation_share", "pipes_per_word",
@@ -155,7 +155,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, labe
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
     n = known.count()
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample / max(n, 1)) * 1_000_000))
+    known = known.where(hashed_share(F.xxhash64("_id", F.lit(7)), sample, n))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_id").select(F.col("_y"), "_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
