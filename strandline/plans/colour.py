@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import geometry as G
 from strandline.operators import colour as C
 from strandline.operators import spatial as S
+from strandline.operators.cloud import Cloud, dense_cloud
 from strandline.plans.base import Tables, query, r6
 from strandline.plans.motion import _euler_sql
 
@@ -93,3 +94,41 @@ def p3(t: Tables) -> DataFrame:
     few = C.chosen_frames(frames, c)
     out = C.colourise(_normals(t), frames, _pixels(few), LENS, c, _depth(few), DEPTH_LENS, ("r", "g"))
     return out.select("v_id", *[F.round(n, 5).alias(n) for n in ("weight", "r", "g")])
+
+
+_CLOUD = Cloud(most_points=300, voxel=0.25)
+#: A draw that SQL can make, too: below 2**20.
+_DRAW = "(frame * 7919 + u * 104729 + v * 1299709) % 1048576"
+
+
+def _far_depth(frames: DataFrame) -> DataFrame:
+    d = _raster(frames, DEPTH_LENS.width, DEPTH_LENS.height, "u", "v")
+    h = (F.col("frame") * 31 + F.col("u") * 17 + F.col("v") * 5) % 13
+    return d.select("*", F.when(h < 2, 0).otherwise(500 * h + 7 * F.col("u")).alias("mm"))
+
+
+def _cloud_sql() -> str:
+    m = _euler_sql("(SELECT * FROM pose WHERE seq % 10 = 0)").split(",\n        a AS")[0]
+    link = G.OPTICAL_TO_LINK
+    p = [f"((u - {DEPTH_LENS.cx}) * (mm / 1000.0::DOUBLE) / {DEPTH_LENS.fx})", f"((v - {DEPTH_LENS.cy}) * (mm / 1000.0::DOUBLE) / {DEPTH_LENS.fy})", "(mm / 1000.0::DOUBLE)"]
+    turned = ["(" + " + ".join(f"{link[3 * k + i]} * {p[i]}" for i in range(3)) + ")" for k in range(3)]
+    ahead = [" + ".join(f"r{i}{k} * {link[3 * k + 2]}" for k in range(3)) for i in range(3)]
+    world = ", ".join(" + ".join(f"r{i}{k} * {turned[k]}" for k in range(3)) + f" + o{n} AS {n}" for i, n in enumerate("xyz"))
+    return f"""{m}, fr AS (SELECT seq AS frame, {', '.join(f't{n} - {BACK} * ({ahead[i]}) AS o{n}' for i, n in enumerate('xyz'))}, {', '.join(f'r{i}{j}' for i in range(3) for j in range(3))} FROM m),
+        px AS (SELECT frame, u, v, (frame * 31 + u * 17 + v * 5) % 13 AS h FROM fr, (SELECT unnest(range(0, {DEPTH_LENS.width})) AS u), (SELECT unnest(range(0, {DEPTH_LENS.height})) AS v)),
+        mm AS (SELECT frame, u, v, CASE WHEN h < 2 THEN 0 ELSE 500 * h + 7 * u END AS mm FROM px), ok AS (SELECT * FROM mm WHERE mm > 300 AND mm < 5000),
+        k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {_DRAW}, v, u) AS place FROM ok),
+        w AS (SELECT frame, u, v, ox, oy, oz, {world} FROM k JOIN fr USING (frame) WHERE place <= 300),
+        far AS (SELECT frame, u * 2 AS pu, v * 2 AS pv, x, y, z FROM w WHERE sqrt((x-ox)**2 + (y-oy)**2 + (z-oz)**2) > 1)"""
+
+
+@query(
+    "p1_t4_dense_cloud",
+    f"""WITH {_cloud_sql()} SELECT CAST(floor(x / 0.25) AS BIGINT) AS ix, CAST(floor(y / 0.25) AS BIGINT) AS iy, CAST(floor(z / 0.25) AS BIGINT) AS iz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z,
+        round(avg((frame * 7 + pu * 13 + pv * 29) % 256), 6) AS r, round(avg((frame * 3 + pu * pv) % 256), 6) AS g, count(*) AS n FROM far GROUP BY 1, 2, 3""",
+)
+def p1(t: Tables) -> DataFrame:
+    """Depth of every tenth frame, 300 of its pixels, in world axes, coloured and put into voxels."""
+    frames = _frames(t).where("frame % 10 = 0")
+    d = dense_cloud(_far_depth(frames), frames, _pixels(frames), DEPTH_LENS, (LENS.width, LENS.height), _CLOUD, ("r", "g"), draw=F.expr(_DRAW), bits=20)
+    return d.select("ix", "iy", "iz", *[r6(F.col(c), c) for c in ("x", "y", "z", "r", "g")], "n")
