@@ -101,10 +101,15 @@ def _sketch(b: Banding):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted: np.ndarray | None = None):
+    """(id, words); with wanted, only of rows whose bit `spot` is set in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 256, 2_000_000):
+            if wanted is not None:
+                spot = batch.column("spot").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((wanted[spot >> 6] >> (spot & 63) & 1).astype(bool)))
             flat, ends = shingle_sets(batch.column("text"), width, powers)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "words"])
 
@@ -112,12 +117,23 @@ def _sets(width: int):
 
 
 def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
-    """(id, words) of the items in ids; the texts of others are not shuffled while ids are few."""
+    """(id, words) of the items in ids.
+
+    While ids are few they are broadcast. Beyond that a bitmap of their hashes, of at most broadcast_bytes, tells most
+    other items apart before anything is shuffled; sets, not texts, then meet the ids.
+    """
     ids = scratch.write(ids.select("id").distinct(), "ids")
     kind = items.schema["id"].dataType.simpleString()
-    if ids.count() * (32 if kind == "bigint" else 128) <= b.broadcast_bytes:
-        ids = F.broadcast(ids)
-    return scratch.write(map_arrow(items.join(ids, "id", "left_semi"), _sets(b.width), f"id {kind}, words array<bigint>"), "sets")
+    schema, n = f"id {kind}, words array<bigint>", ids.count()
+    if n * (32 if kind == "bigint" else 128) <= b.broadcast_bytes:
+        return scratch.write(map_arrow(items.join(F.broadcast(ids), "id", "left_semi"), _sets(b.width), schema), "sets")
+    bits = min(8 * b.broadcast_bytes, 1 << (16 * n).bit_length())
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marked = ids.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) & 63 as int))")).alias("bits")).toArrow()
+    wanted = np.zeros(bits // 64, np.int64)
+    wanted[marked["word"].to_numpy()] = marked["bits"].to_numpy()
+    sets = map_arrow(items.select("id", "text", spot.alias("spot")), _sets(b.width, wanted), schema)
+    return scratch.write(sets.join(ids, "id", "left_semi"), "sets")
 
 
 def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
@@ -200,10 +216,12 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     copied = classes.where("copies > 1").select("same", "rep")
     # An item is left out only where a smaller one has its set: what has no copies needs no further test.
     spare = live.select("id", "same").join(copied, "same").where("id <> rep").select("id", "same")
-    reps = live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", F.explode("keys").alias("key"))
+    reps = scratch.write(live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "keys"), "reps")
+    lone, reps = reps, reps.select("rep", "n", F.explode("keys").alias("key"))
     centres = reps.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
     # A key stands once among the centres: a hash of them spares sorting all keys.
     buckets = scratch.write(reps.join(centres.hint("shuffle_hash"), "key"), "buckets")
+    scratch.drop(lone)
     tested = buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"), "n")
     sizes = buckets.where("rep = centre").select(F.col("rep").alias("v"), F.col("n").alias("m")).distinct()
     fits = (100 * F.least("n", "m") >= b.percent * F.greatest("n", "m"))

@@ -183,7 +183,7 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
 
     def shared(marks: DataFrame) -> DataFrame:
         """(h, kind): the shingles of two or more documents; kind stands for the documents that hold them."""
-        held = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+        held = marks.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("pos").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
         # Each h is there once and they are dealt evenly, so a hash of this side spares sorting the far larger other.
         return held.where("lo < hi").select("h", F.xxhash64("lo", "hi", "n", "x").alias("kind")).hint("shuffle_hash")
 
@@ -230,7 +230,9 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "cuts", "parts"])
 
     marks = scratch.write(map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint"), "anchors")
-    again = marks.join(shared(marks), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
+    # One shuffle serves the count and the join: both read the same columns.
+    dealt = marks.repartition("h")
+    again = dealt.join(shared(dealt), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
     again = scratch.write(again, "again")
     scratch.drop(marks)
     # Long texts have many anchors: what counts is their number.
