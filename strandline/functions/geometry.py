@@ -156,13 +156,13 @@ def plane_basis(eq: Column) -> tuple[Column, Column, Column, Column]:
     return origin, u, cross(n, u), n
 
 
-def with_elbow(df: DataFrame, upper: float = 0.33, fore: float = 0.27) -> DataFrame:
+def with_elbow(df: DataFrame, upper: float = 0.33, fore: float = 0.27, down: Column | None = None) -> DataFrame:
     """df (shoulder, wrist) with elbow of a two-bone arm: straight where the wrist is out of reach, else by the law of cosines.
 
     The arm bends in the plane of its direction and down; where those agree, in that of its direction and x.
-    Steps are columns of their own, so that no expression holds another many times.
+    Steps are columns of their own, so that no expression holds another many times. Without a wrist there is no elbow.
     """
-    down = vec(0, -1, 0)
+    down = vec(0, -1, 0) if down is None else down
     d = df.withColumn("_arm", sub(F.col("wrist"), F.col("shoulder"))).withColumn("_reach", norm(F.col("_arm")))
     d = d.withColumn("_along", times(F.col("_arm"), 1 / F.when(F.col("_reach") > 1e-6, F.col("_reach")))).withColumn("_side", cross(F.col("_along"), down))
     d = d.withColumn("_side", F.when(norm(F.col("_side")) > 1e-6, F.col("_side")).otherwise(cross(F.col("_along"), vec(1, 0, 0))))
