@@ -17,6 +17,7 @@ from strandline.llm.licenses import scan_licenses
 from strandline.llm.media import media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
+from strandline.llm.oracles import CONVERSATION_SQL, RUNS_SQL
 from strandline.llm.passages import remove_passages
 from strandline.llm.periods import collapse_runs
 from strandline.llm.pieces import encode_pieces
@@ -131,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB counterparts, where SQL can say what the operator computes.
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": CONVERSATION_SQL,
+    "op12_word_runs": RUNS_SQL,
     "op6_warc_round_trip": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
