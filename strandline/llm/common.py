@@ -98,6 +98,20 @@ def broadcast_small(df: DataFrame, most: int, width: int = 64) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def perhaps_in(df: DataFrame, key: str, ids: DataFrame, most: int) -> DataFrame:
+    """df with `perhaps`: false where key is surely not among ids (id), so that only other rows need be shuffled.
+
+    A bitmap of the ids' hashes, of `most` bytes at most and 16 bits an id while that allows it, is broadcast by words.
+    """
+    n = ids.count()
+    bits = max(64, min(4 * most, 1 << (16 * n).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {bits}) & 63 as int))")
+    words = ids.groupBy(F.shiftright(spot("id"), 6).alias("_word")).agg(F.bit_or(bit("id")).alias("_bits"))
+    found = df.join(F.broadcast(words), F.shiftright(spot(key), 6) == F.col("_word"), "left")
+    return found.withColumn("perhaps", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

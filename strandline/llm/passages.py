@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, broadcast_small, map_arrow, slices
+from strandline.llm.common import Scratch, broadcast_small, map_arrow, perhaps_in, slices
 from strandline.llm.minhash import Banding, near_duplicates
 from strandline.llm.shingles import Powers, _chain, batch_words
 
@@ -237,7 +237,8 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     scratch.drop(marks)
     # Long texts have many anchors: what counts is their number.
     places = again.agg(F.sum(32 * F.size("at") + 64)).first()[0] or 0
-    tested = map_arrow(docs.join(F.broadcast(again) if places <= p.broadcast_bytes else again, "id"), test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
+    near = docs.join(F.broadcast(again), "id") if places <= p.broadcast_bytes else perhaps_in(docs, "id", again, p.broadcast_bytes).where("perhaps").drop("perhaps").join(again, "id")
+    tested = map_arrow(near, test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
     tested = scratch.write(tested, "tested")
     scratch.drop(again)
     found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end", "kind")).alias("at"))
@@ -259,8 +260,18 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     cuts = _runs(texts, p, scratch)
-    small = lambda df: broadcast_small(df, p.broadcast_bytes, 128)
-    marked = texts.join(small(cuts), "id", "left")
+    def with_plan(df: DataFrame, key: str, side: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Rows of df that surely have no row of side (id, ...), and the others with side's columns, null where there is none.
+        A side that is small is broadcast, and then all rows are in the second part."""
+        other = side.withColumnRenamed("id", "_of")
+        if (hinted := broadcast_small(other, p.broadcast_bytes, 128)) is not other:
+            return None, df.join(hinted, F.col(key) == F.col("_of"), "left").drop("_of")
+        split = perhaps_in(df, key, side, p.broadcast_bytes)
+        return split.where("not perhaps").drop("perhaps"), split.where("perhaps").drop("perhaps").join(other, F.col(key) == F.col("_of"), "left").drop("_of")
+
+    without, marked = with_plan(texts, "id", cuts)
+    if without is not None:
+        marked = marked.unionByName(without, allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 8_000_000):
@@ -286,10 +297,10 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     scratch.drop(items)
     made = ("cut_paragraphs", "cut_bytes", "cut_spans", "has_repeat")
     names = [c for c in docs.columns if c not in made]
-    plan = small(gone).withColumnRenamed("id", "_id").join(cuts.withColumnRenamed("id", "_id"), "_id", "left")
-    plan = small(scratch.write(plan, "plan"))
+    plan = scratch.write(broadcast_small(gone, p.broadcast_bytes, 128).join(cuts, "id", "left"), "plan")
     out = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names) if c != text_col])
-    out = out.join(plan, out["_key"] == plan["_id"], "left").drop("_id", "_key")
+    without, out = with_plan(out, "_key", plan)
+    out = out.drop("_key")
     carried = [c for c in out.columns if c.startswith("_c")]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,5 +326,8 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
 
     schema = ", ".join([f"{c} {out.schema[c].dataType.simpleString()}" for c in carried] + ["_new string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>, has_repeat boolean"])
     out = map_arrow(out, rebuild, schema)
+    if without is not None:  # what has no plan needs no rebuilding
+        none = [F.col("_text").cast("string").alias("_new"), F.lit(0).alias("cut_paragraphs"), F.lit(0).cast("bigint").alias("cut_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("cut_spans"), F.lit(None).cast("boolean").alias("has_repeat")]
+        out = out.unionByName(without.select(*carried, *none))
     cols = [F.col("_new" if c == text_col else f"_c{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*cols, *made[:3], F.coalesce("has_repeat", F.lit(False)).alias("has_repeat"))
