@@ -216,7 +216,7 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     copied = classes.where("copies > 1").select("same", "rep")
     # An item is left out only where a smaller one has its set: what has no copies needs no further test.
     spare = live.select("id", "same").join(copied, "same").where("id <> rep").select("id", "same")
-    reps = scratch.write(live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "keys"), "reps")
+    reps = scratch.write(live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "keys"), "reps", "snappy")
     lone, reps = reps, reps.select("rep", "n", F.explode("keys").alias("key"))
     centres = reps.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
     # A key stands once among the centres: a hash of them spares sorting all keys.

@@ -229,15 +229,13 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (cuts, parts)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "cuts", "parts"])
 
-    marks = scratch.write(map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint"), "anchors")
+    marks = scratch.write(map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint"), "anchors", "snappy")
     # One shuffle serves the count and the join: both read the same columns.
     dealt = marks.repartition("h")
     again = dealt.join(shared(dealt), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
     again = scratch.write(again, "again")
     scratch.drop(marks)
-    # Long texts have many anchors: what counts is their number.
-    places = again.agg(F.sum(32 * F.size("at") + 64)).first()[0] or 0
-    near = docs.join(F.broadcast(again), "id") if places <= p.broadcast_bytes else perhaps_in(docs, "id", again, p.broadcast_bytes).where("perhaps").drop("perhaps").join(again, "id")
+    near = perhaps_in(docs, "id", again, p.broadcast_bytes).where("perhaps").drop("perhaps").join(again, "id")
     tested = map_arrow(near, test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
     tested = scratch.write(tested, "tested")
     scratch.drop(again)
@@ -260,18 +258,14 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     cuts = _runs(texts, p, scratch)
-    def with_plan(df: DataFrame, key: str, side: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Rows of df that surely have no row of side (id, ...), and the others with side's columns, null where there is none.
-        A side that is small is broadcast, and then all rows are in the second part."""
+    def with_plan(df: DataFrame, key: str, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of df that surely have no row of side (id, ...), and the others with side's columns, null where there is none."""
         other = side.withColumnRenamed("id", "_of")
-        if (hinted := broadcast_small(other, p.broadcast_bytes, 128)) is not other:
-            return None, df.join(hinted, F.col(key) == F.col("_of"), "left").drop("_of")
         split = perhaps_in(df, key, side, p.broadcast_bytes)
         return split.where("not perhaps").drop("perhaps"), split.where("perhaps").drop("perhaps").join(other, F.col(key) == F.col("_of"), "left").drop("_of")
 
     without, marked = with_plan(texts, "id", cuts)
-    if without is not None:
-        marked = marked.unionByName(without, allowMissingColumns=True)
+    marked = marked.unionByName(without, allowMissingColumns=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1000, 8_000_000):
@@ -326,8 +320,8 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
 
     schema = ", ".join([f"{c} {out.schema[c].dataType.simpleString()}" for c in carried] + ["_new string, cut_paragraphs int, cut_bytes bigint, cut_spans array<struct<start:bigint,end:bigint>>, has_repeat boolean"])
     out = map_arrow(out, rebuild, schema)
-    if without is not None:  # what has no plan needs no rebuilding
-        none = [F.col("_text").cast("string").alias("_new"), F.lit(0).alias("cut_paragraphs"), F.lit(0).cast("bigint").alias("cut_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("cut_spans"), F.lit(None).cast("boolean").alias("has_repeat")]
-        out = out.unionByName(without.select(*carried, *none))
+    # What has no plan needs no rebuilding.
+    none = [F.col("_text").cast("string").alias("_new"), F.lit(0).alias("cut_paragraphs"), F.lit(0).cast("bigint").alias("cut_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("cut_spans"), F.lit(None).cast("boolean").alias("has_repeat")]
+    out = out.unionByName(without.select(*carried, *none))
     cols = [F.col("_new" if c == text_col else f"_c{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*cols, *made[:3], F.coalesce("has_repeat", F.lit(False)).alias("has_repeat"))
