@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Parts of an episode and their columns' types; other columns are written as they are.
 PARTS = {
@@ -54,6 +58,75 @@ def export_episode(spark: SparkSession, parts: dict[str, DataFrame | None], out_
     return manifest
 
 
+@dataclass(frozen=True)
+class Episode:
+    """What a manifest tells: parts as tables, the state of each (state, rows, reason), attributes by part, and the version."""
+
+    parts: dict[str, DataFrame]
+    states: dict[str, tuple[str, int, str | None]]
+    attributes: dict[str, dict]
+    version: str
+
+
+def save_episode(spark: SparkSession, parts: dict[str, DataFrame | None], out_dir: str, attributes: dict[str, dict] | None = None, by: str = "recording_id") -> Episode:
+    """Writes parts as a new version of an episode, and gives them back as read_episode does.
+
+    A version's parts are written beside the former ones; then its manifest takes the former one's place by a rename. Until
+    then readers see the former episode, and if a part fails its new files go and the former episode stays whole. After it the
+    former version's files are deleted. Parts are skipped as in export_episode. attributes (numbers and texts) are kept in the
+    manifest by part, and rows per recording as the table `counts`.
+    """
+    unknown = sorted((set(parts) | set(attributes or {})) - set(PARTS))
+    if unknown:
+        raise ValueError(f"unknown parts: {unknown}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    version = uuid.uuid4().hex
+    at = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join([out_dir.rstrip("/"), *names]))
+    files = at().getFileSystem(conf)
+    former = read_episode(spark, out_dir).version if files.exists(at("manifest.json")) else None
+    listed, counts = [], []
+    try:
+        for name, kinds in PARTS.items():
+            d = parts.get(name)
+            lacking = [c for c in (by, *kinds) if d is not None and c not in d.columns]
+            if d is None or lacking:
+                listed.append({"part": name, "state": "skipped", "rows": 0, "reason": f"no columns {', '.join(lacking)}" if lacking else "not given"})
+                continue
+            d = d.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+            path = f"{out_dir.rstrip('/')}/{version}/{name}"
+            d.write.option("compression", "zstd").partitionBy(by).parquet(path)
+            own = spark.read.schema(d.schema).parquet(path).groupBy(by).agg(F.count("*").alias("rows"))
+            counts.append(own.select(F.lit(name).alias("part"), F.col(by).cast("string").alias(by), "rows"))
+            n = own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            listed.append({"part": name, "state": "saved" if n else "skipped", "rows": n, "reason": None if n else "empty", "schema": d.schema.jsonValue()})
+        if counts:
+            reduce(DataFrame.unionByName, counts).coalesce(1).write.parquet(f"{out_dir.rstrip('/')}/{version}/counts")
+        manifest = {"version": version, "by": by, "parts": listed, "attributes": attributes or {}, "counts": bool(counts)}
+        out = files.create(at(version, "manifest.json"), True)
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at().toUri() if "://" in out_dir else files.getUri(), conf).rename(at(version, "manifest.json"), at("manifest.json"), over)
+    except BaseException:
+        files.delete(at(version), True)
+        raise
+    if former:
+        files.delete(at(former), True)
+    return read_episode(spark, out_dir)
+
+
+def read_episode(spark: SparkSession, out_dir: str) -> Episode:
+    """The episode of the manifest in a folder: its saved parts with the columns and types they were written with, and `counts`
+    (part, by, rows). Raises where there is no manifest."""
+    root = out_dir.rstrip("/")
+    m = json.loads(spark.read.option("wholetext", True).text(f"{root}/manifest.json").first()[0])
+    parts = {p["part"]: spark.read.schema(StructType.fromJson(p["schema"])).parquet(f"{root}/{m['version']}/{p['part']}") for p in m["parts"] if p["state"] == "saved"}
+    if m["counts"]:
+        parts["counts"] = spark.read.schema(f"part string, `{m['by']}` string, rows bigint").parquet(f"{root}/{m['version']}/counts")
+    return Episode(parts, {p["part"]: (p["state"], p["rows"], p["reason"]) for p in m["parts"]}, m["attributes"], m["version"])
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 

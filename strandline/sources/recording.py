@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Fixed values of the file format: first and last bytes, and record codes.
 MAGIC = b"\x89MCAP0\r\n"
@@ -163,21 +163,24 @@ class _MessageReader(DataSourceReader):
         out: list[InputPartition] = []
         for path in _files(self.path):
             with _open(path) as f:
-                index = read_index(f, path)
-            wanted = {c for c, (topic, _) in index.channels.items() if not self.topics or topic in self.topics}
-            part, size = [], 0
-            for offset, length, within in sorted(index.chunks):
-                if within and not within & wanted:
-                    continue
-                if part and size + length > self.bytes:
-                    out.append(_Chunks(path, part, index.channels, index.schemas))
-                    part, size = [], 0
-                part.append((offset, length))
-                size += length
-            if part:
-                out.append(_Chunks(path, part, index.channels, index.schemas))
+                out += self.parts_of(path, read_index(f, path))
         return out or [_Chunks("", [], {}, {})]
 
+    def parts_of(self, path: str, index: Index, low: int = 0, high: int | None = None) -> list[InputPartition]:
+        """Parts of a file's chunks from number low up to high, in the order of their places; chunks without a wanted topic are passed over."""
+        out: list[InputPartition] = []
+        wanted = {c for c, (topic, _) in index.channels.items() if not self.topics or topic in self.topics}
+        part, size = [], 0
+        for offset, length, within in sorted(index.chunks)[low:high]:
+            if within and not within & wanted:
+                continue
+            if part and size + length > self.bytes:
+                out.append(_Chunks(path, part, index.channels, index.schemas))
+                part, size = [], 0
+            part.append((offset, length))
+            size += length
+        return [*out, _Chunks(path, part, index.channels, index.schemas)] if part else out
+
     def read(self, part: _Chunks) -> Iterator[tuple]:
         if not part.chunks:
             return
@@ -197,8 +200,47 @@ class _MessageReader(DataSourceReader):
                             yield (part.path, topic, sequence, log, published, *schemas.get(schema, (None, None)), bytes(r.data[r.at :]))
 
 
+class _MessageStream(DataSourceStreamReader):
+    """A growing folder of recordings. An offset tells of each whole file how many of its chunks were taken.
+
+    Files without their closing summary are still being written and wait; a file that is written anew with more chunks gives the
+    chunks beyond those taken. The offset, kept in the query's checkpoint, has one entry per file of the folder.
+    """
+
+    def __init__(self, options: dict):
+        self.batch = _MessageReader(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        try:
+            files = _files(self.batch.path)
+        except FileNotFoundError:
+            return {}
+        found = {}
+        for path in files:
+            try:
+                with _open(path) as f:
+                    found[path] = len(read_index(f, path).chunks)
+            except (ValueError, EOFError, IndexError, struct.error):
+                continue
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path, chunks in sorted(end.items()):
+            if chunks > start.get(path, 0):
+                with _open(path) as f:
+                    out += self.batch.parts_of(path, read_index(f, path), start.get(path, 0), chunks)
+        return out
+
+    def read(self, part: _Chunks) -> Iterator[tuple]:
+        return self.batch.read(part)
+
+
 class RecordingSource(DataSource):
-    """Messages of recording files. Options: topics (with commas; all if unset), partitionBytes."""
+    """Messages of recording files, as a table or, with readStream, as a stream. Options: topics (with commas; all if unset), partitionBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -210,6 +252,9 @@ class RecordingSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _MessageReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _MessageStream(self.options)
+
 
 class _SummaryReader(DataSourceReader):
     def __init__(self, options: dict):
