@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
+from strandline.operators.quantiles import cut_lineage
 
 #: Joints whose depth places a hand, in this order: wrist, then the bases of middle, index, ring and little finger.
 ANCHORS = (0, 9, 5, 13, 17)
@@ -39,6 +40,46 @@ def suppress(boxes: DataFrame, frame: list[str], id_col: str, most: float = 0.5,
     return out.select(*frame, F.col("b.id").alias(id_col))
 
 
+def overlapping(boxes: DataFrame, frame: list[str], id_col: str, most: float, cell: float) -> DataFrame:
+    """(frame, winner, loser): pairs of a frame's boxes that overlap by more than most; the winner has the better score, or the smaller id.
+
+    Boxes meet in the cells that they touch; a pair counts in the one cell that holds the corner of its intersection, so it
+    comes up once. Boxes without an area overlap nothing.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    b = boxes.select(*frame, F.col(id_col).alias("id"), F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    b = b.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    b = b.withColumn("ix", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("iy", F.explode(F.sequence(at("y1"), at("y2"))))
+    other = b.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(frame)], *[F.col(c).alias(f"o_{c}") for c in ("id", "score", "x1", "y1", "x2", "y2", "ix", "iy")])
+    same = [F.col(c).eqNullSafe(F.col(f"f{i}")) for i, c in enumerate(frame)] + [F.col("ix") == F.col("o_ix"), F.col("iy") == F.col("o_iy")]
+    better = (F.col("score") > F.col("o_score")) | ((F.col("score") == F.col("o_score")) & (F.col("id") < F.col("o_id")))
+    own = (F.floor(F.greatest("x1", "o_x1") / cell) == F.col("ix")) & (F.floor(F.greatest("y1", "o_y1") / cell) == F.col("iy"))
+    box = lambda p: F.struct(*[F.col(p + c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return b.join(other, same).where(better & own & (overlap(box(""), box("o_")) > most)).select(*frame, F.col("id").alias("winner"), F.col("o_id").alias("loser"))
+
+
+def suppress_crowded(boxes: DataFrame, frame: list[str], id_col: str, most: float = 0.5, above: float | None = None, cell: float = 64.0) -> DataFrame:
+    """The same boxes as suppress, for frames of any number of boxes: no frame is gathered.
+
+    In each round the boxes that no undecided better box overlaps stay, and those that they overlap go. The best undecided box
+    of a frame is always decided, so the rounds end; each one is cut off from the last by a checkpoint. A null score is the worst.
+    Rows of a null frame all stay.
+    """
+    d = boxes.withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))))
+    pairs = cut_lineage(overlapping(d, frame, id_col, most, cell))
+    gone = None
+    while not pairs.isEmpty():
+        lost = pairs.select(*frame, F.col("loser").alias("winner")).distinct()
+        safe = pairs.join(lost, [*frame, "winner"], "left_anti").select(*frame, "winner").distinct()
+        new = cut_lineage(pairs.join(safe, [*frame, "winner"], "left_semi").select(*frame, F.col("loser").alias(id_col)).distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        for end in ("winner", "loser"):
+            pairs = pairs.join(new.withColumnRenamed(id_col, end), [*frame, end], "left_anti")
+        pairs = cut_lineage(pairs)
+    out = d if gone is None else d.join(gone, [*frame, id_col], "left_anti")
+    return (out if above is None else out.where(F.col("score") > above)).select(*frame, id_col)
+
+
 def sample_depth(targets: DataFrame, pixels: DataFrame, frame: str, id_col: str, width: int, height: int, radius: int = 7, near: int = 50, far: int = 2000) -> DataFrame:
     """targets (frame, id_col, u, v) with z, the median depth in metres around each; null where too little is valid.
 

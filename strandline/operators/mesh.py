@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.repair import close_holes, split_pinched, thin_edges
 from strandline.operators.spatial import XYZ, compact, face_components, with_shape
 
 
@@ -82,12 +83,13 @@ def subdivide(vertices: DataFrame, faces: DataFrame, block: int = 1 << 16) -> tu
     return old.unionByName(numbered.select("v_id", *XYZ)), f.select(F.explode(new).alias("f")).select("f.*")
 
 
-def clean(vertices: DataFrame, faces: DataFrame, least_faces: int = 2000, least_size: float = 0.15, smoothing: int = 1) -> tuple[DataFrame, DataFrame]:
+def clean(vertices: DataFrame, faces: DataFrame, least_faces: int = 2000, least_size: float = 0.15, smoothing: int = 1, most_hole: int = 0) -> tuple[DataFrame, DataFrame]:
     """Merged vertices, no empty or repeated faces, no small parts, then smoothing; vertices are numbered anew.
 
     A part goes with fewer than least_faces faces or a diagonal under least_size of the mesh's. Ties: the smallest
     id stands for equal positions and equal faces. Vertices with a null or non-finite coordinate go with their faces.
-    Holes aren't closed, and edges of more than two faces are left.
+    With most_hole, edges keep their two largest faces, pinched vertices are doubled, and after small parts are gone
+    holes of at most so many edges are closed; without, nothing of this is done.
     """
     whole = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")) for c in XYZ]
     v = vertices.where(whole[0] & whole[1] & whole[2])
@@ -100,6 +102,9 @@ def clean(vertices: DataFrame, faces: DataFrame, least_faces: int = 2000, least_
     kept = same.select(F.col("rep").alias("v_id"), *XYZ)
     f = with_shape(f, kept).where("area > 0").select("f_id", "a", "b", "c")
     f = f.groupBy(F.array_sort(F.array("a", "b", "c")).alias("_k")).agg(F.min_by(F.struct("f_id", "a", "b", "c"), "f_id").alias("f")).select("f.*").checkpoint()
+    if most_hole:
+        kept, f = split_pinched(kept, thin_edges(kept, f).checkpoint())
+        kept, f = kept.checkpoint(), f.checkpoint()
     part = face_components(f)
     in_part = f.join(part.withColumnRenamed("v_id", "a"), "a")
     counts = in_part.groupBy("component").agg(F.count("*").alias("n"))
@@ -112,6 +117,8 @@ def clean(vertices: DataFrame, faces: DataFrame, least_faces: int = 2000, least_
     sizes = placed.groupBy("component").agg(diagonal().alias("d")).join(F.broadcast(placed.agg(diagonal().alias("all"))))
     large = sizes.join(counts, "component").where((F.col("n") >= least_faces) & (F.col("d") >= least_size * F.col("all"))).select("component")
     f = in_part.join(large, "component", "left_semi").select("f_id", "a", "b", "c")
+    if most_hole:
+        f = close_holes(f.checkpoint(), most_hole)
     numbered, f = compact(kept, f)
     v = numbered.select(F.col("new_id").alias("v_id"), *XYZ)
     for _ in range(smoothing):

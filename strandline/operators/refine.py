@@ -212,6 +212,7 @@ class Refining:
     least_faces: int = 2000
     least_size: float = 0.15
     smoothing: int = 1
+    most_hole: int = 30
     subdivisions: int = 2
     brighter: bool = True
     strip: bool = False
@@ -228,7 +229,7 @@ def refine(vertices: DataFrame, faces: DataFrame, r: Refining = Refining(), fram
 
     The filled patch has the mean colour of what was left. Stages are cut off from each other by checkpoints.
     """
-    v, f = M.clean(vertices.select("v_id", *XYZ), faces, r.least_faces, r.least_size, r.smoothing)
+    v, f = M.clean(vertices.select("v_id", *XYZ), faces, r.least_faces, r.least_size, r.smoothing, r.most_hole)
     for _ in range(r.subdivisions):
         v, f = (cut_lineage(x) for x in M.subdivide(v, f))
     v = vertex_normals(v, f)

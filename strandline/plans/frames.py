@@ -86,21 +86,32 @@ def w16(t: Tables) -> DataFrame:
 
 
 _BOX = f"SELECT vec_id AS id, vec_id % 50 AS frame_no, abs({e_sql(4)}) AS score, floor(({e_sql(1)} + 1) * 100) AS x1, floor(({e_sql(2)} + 1) * 100) AS y1, floor(({e_sql(1)} + 1) * 100) + 40 + floor(abs({e_sql(3)}) * 200) AS x2, floor(({e_sql(2)} + 1) * 100) + 60 AS y2 FROM embeddings"
+_CROWDED = _BOX.replace("vec_id % 50 AS frame_no", "vec_id // 40 AS frame_no")
 _BOTH = "(greatest(0, least(q.x2, b.x2) - greatest(q.x1, b.x1)) * greatest(0, least(q.y2, b.y2) - greatest(q.y1, b.y1)))"
 
 
-@query(
-    "t3_suppressed_boxes",
-    f"""WITH RECURSIVE k AS ({_BOX}), b AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY score DESC, id) AS n FROM k),
+def _suppressed_sql(boxes: str) -> str:
+    return f"""WITH RECURSIVE k AS ({boxes}), b AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY score DESC, id) AS n FROM k),
         r AS (SELECT frame_no, n, [{{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM b WHERE n = 1
             UNION ALL SELECT b.frame_no, b.n, CASE WHEN len(list_filter(r.kept, lambda q: {_BOTH} / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_BOTH}) > 0.5)) = 0 THEN list_append(r.kept, {{'id': b.id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) ELSE r.kept END
             FROM r JOIN b ON b.frame_no = r.frame_no AND b.n = r.n + 1),
-        f AS (SELECT frame_no, unnest(arg_max(kept, n)) AS x FROM r GROUP BY 1) SELECT f.frame_no, f.x.id AS id FROM f JOIN k ON k.id = f.x.id WHERE k.score > 0.05""",
-)
-def t3(t: Tables) -> DataFrame:
+        f AS (SELECT frame_no, unnest(arg_max(kept, n)) AS x FROM r GROUP BY 1) SELECT f.frame_no, f.x.id AS id FROM f JOIN k ON k.id = f.x.id WHERE k.score > 0.05"""
+
+
+def _boxes(t: Tables, frame_no) -> DataFrame:
     e, low = t._e, lambda c: F.floor((c + 1) * 100).cast("double")
-    d = t["embeddings"].select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50).alias("frame_no"), F.abs(e(4)).alias("score"), low(e(1)).alias("x1"), low(e(2)).alias("y1"), (low(e(1)) + 40 + F.floor(F.abs(e(3)) * 200)).alias("x2"), (low(e(2)) + 60).alias("y2"))
-    return D.suppress(d, ["frame_no"], "id", 0.5, 0.05)
+    return t["embeddings"].select(F.col("vec_id").alias("id"), frame_no.alias("frame_no"), F.abs(e(4)).alias("score"), low(e(1)).alias("x1"), low(e(2)).alias("y1"), (low(e(1)) + 40 + F.floor(F.abs(e(3)) * 200)).alias("x2"), (low(e(2)) + 60).alias("y2"))
+
+
+@query("t3_suppressed_boxes", _suppressed_sql(_BOX))
+def t3(t: Tables) -> DataFrame:
+    return D.suppress(_boxes(t, F.col("vec_id") % 50), ["frame_no"], "id", 0.5, 0.05)
+
+
+@query("t3_crowded_frames", _suppressed_sql(_CROWDED))
+def t3_crowded(t: Tables) -> DataFrame:
+    """Frames of many boxes, whose number grows with the table, by rounds of local maxima."""
+    return D.suppress_crowded(_boxes(t, F.floor(F.col("vec_id") / 40)), ["frame_no"], "id", 0.5, 0.05)
 
 
 @query(

@@ -120,3 +120,20 @@ def test_suppression_ties_and_empty(spark):
     d = spark.createDataFrame(rows, "f int, id int, score double, x1 int, y1 int, x2 int, y2 int")
     assert sorted(map(tuple, suppress(d, ["f"], "id", 0.5, 0.3).collect())) == [(1, 1), (2, 4)]
     assert suppress(d.where(F.lit(False)), ["f"], "id").count() == 0
+
+
+def test_suppression_in_rounds_equals_the_fold(spark):
+    import random
+
+    from strandline.operators.detections import suppress, suppress_crowded
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        x, y = rng.randint(-50, 90), rng.randint(-50, 90)
+        rows.append((rng.choice([1, 2, None]), i, rng.choice([0.1, 0.5, 0.5, 0.9, rng.random()]), float(x), float(y), float(x + rng.randint(0, 60)), float(y + rng.randint(0, 60))))
+    df = spark.createDataFrame(rows, "f long, id long, score double, x1 double, y1 double, x2 double, y2 double")
+    for most, above, cell in ((0.3, None, 16.0), (0.5, 0.2, 500.0)):
+        got = {tuple(r) for r in suppress_crowded(df.where("f is not null"), ["f"], "id", most, above, cell).collect()}
+        assert got == {tuple(r) for r in suppress(df.where("f is not null"), ["f"], "id", most, above).collect()}
+    assert suppress_crowded(df.where("false"), ["f"], "id").collect() == []
