@@ -117,7 +117,7 @@ def test_squares_with_a_missing_corner_have_one_face(spark):
 
 def test_refine_runs_all_stages(spark):
     v, f = room(spark)
-    r = R.Refining(least_faces=1, least_size=0.0, smoothing=0, subdivisions=1, strip=True, fill=True, plane_trials=300, plane_least=60, filling=R.Fill(grid=0.1, cell=0.1, least=1), clutter=R.Clutter(near=0.02))
+    r = R.Refining(least_faces=1, least_size=0.0, smoothing=0, most_hole=0, subdivisions=0, strip=True, fill=True, plane_trials=100, plane_least=60, filling=R.Fill(grid=0.1, cell=0.1, least=1), clutter=R.Clutter(near=0.02))
     out, faces = R.refine(v, f, r, values=("r",))
     rows, tri = out.collect(), faces.collect()
     assert {"v_id", "x", "y", "z", "nx", "ny", "nz", "r"} == set(out.columns) and {row["r"] for row in rows} == {179}
