@@ -40,7 +40,7 @@ CTES = {
     "faces": "faces AS (SELECT DISTINCT vec_id // 3 AS f_id, 3 * (vec_id // 3) AS a, 3 * (vec_id // 3) + 1 AS b, 3 * (vec_id // 3) + 2 AS c FROM embeddings WHERE 3 * (vec_id // 3) + 2 <= (SELECT max(vec_id) FROM embeddings))",
     "scene": """scene AS (SELECT vec_id AS v_id, vec_id % 8 AS kind,
         CASE WHEN vec_id % 8 IN (0, 1, 3) THEN embedding[21]::DOUBLE * 16 WHEN vec_id % 8 IN (2, 6) THEN vec_id // 8 % 5 * 0.25::DOUBLE - 0.5 WHEN vec_id % 8 = 7 THEN 3 + embedding[21]::DOUBLE * 8 ELSE 0.55::DOUBLE END AS x,
-        CASE WHEN vec_id % 8 IN (0, 1) THEN 0::DOUBLE WHEN vec_id % 8 = 2 THEN 0.75::DOUBLE WHEN vec_id % 8 = 3 THEN 2.5::DOUBLE WHEN vec_id % 8 = 7 THEN 1 + embedding[23]::DOUBLE * 8 ELSE 0.8::DOUBLE + (vec_id // 8 + vec_id % 8) % 5 * 0.1::DOUBLE END AS y,
+        CASE WHEN vec_id % 8 IN (0, 1) THEN 0::DOUBLE WHEN vec_id % 8 = 2 THEN 0.75::DOUBLE WHEN vec_id % 8 = 3 THEN 2.5::DOUBLE WHEN vec_id % 8 = 7 THEN 1 + abs(embedding[23]::DOUBLE) * 4 ELSE 0.8::DOUBLE + (vec_id // 8 + vec_id % 8) % 5 * 0.1::DOUBLE END AS y,
         CASE WHEN vec_id % 8 IN (0, 1, 3) THEN embedding[22]::DOUBLE * 16 WHEN vec_id % 8 = 7 THEN 3 + embedding[22]::DOUBLE * 8 ELSE vec_id // 40 % 5 * 0.25::DOUBLE - 0.5 END AS z FROM embeddings)""",
     "hands": "hands AS (SELECT vec_id AS det_seq, CAST((label * 31 + vec_id) % 200 AS INTEGER) AS frame_idx, CASE WHEN label % 2 = 0 THEN 'left' ELSE 'right' END AS side, abs(embedding[64]::DOUBLE) AS confidence, embedding AS flat FROM embeddings)",
     "depth_px": "depth_px AS (SELECT l_orderkey AS frame_seq, l_linenumber AS u, l_suppkey % 48 AS v, CASE WHEN l_discount = 0 THEN 0 ELSE CAST(floor(l_quantity * 100) AS INTEGER) END AS mm FROM lineitem)",
@@ -101,7 +101,7 @@ class Tables:
         wide = lambda i: self._e(i) * 16
         off = lambda i, at: at + self._e(i) * 8
         x = F.when(kind.isin(0, 1, 3), wide(21)).when(kind.isin(2, 6), step % 5 * 0.25 - 0.5).when(kind == 7, off(21, 3)).otherwise(0.55)
-        y = F.when(kind.isin(0, 1), 0.0).when(kind == 2, 0.75).when(kind == 3, 2.5).when(kind == 7, off(23, 1)).otherwise(0.8 + (step + kind) % 5 * 0.1)
+        y = F.when(kind.isin(0, 1), 0.0).when(kind == 2, 0.75).when(kind == 3, 2.5).when(kind == 7, 1 + F.abs(self._e(23)) * 4).otherwise(0.8 + (step + kind) % 5 * 0.1)
         z = F.when(kind.isin(0, 1, 3), wide(22)).when(kind == 7, off(22, 3)).otherwise(row % 5 * 0.25 - 0.5)
         return self["embeddings"].select(F.col("vec_id").alias("v_id"), kind.alias("kind"), x.alias("x"), y.alias("y"), z.alias("z"))
 
