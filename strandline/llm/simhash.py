@@ -7,8 +7,10 @@
 3. Variants are dealt to buckets by a linear code of their bits: the code of a variant is that of its fingerprint,
    exclusive or that of its mask. So each pass makes its own part of the variants and no others, and a fingerprint
    is sent once to each bucket that has variants of it, where they follow from the two codes.
-4. In a bucket, equal variants are found by sorting; links are verified, and of each bucket a spanning forest of
-   links is kept, so that a group of copies makes as many rows as it has members. Components join them.
+4. In a bucket, equal variants are found by sorting, and each fingerprint is linked with the least one there. Two
+   fingerprints meet on many variants; their link is made on one of these only, their `home`, so it is made once
+   whatever the buckets. Where a lesser one stands at the home of u and v, both are linked with it by pairs that are
+   less than theirs, and so on down: all stay connected. Of these links each task keeps a spanning forest.
 """
 
 from __future__ import annotations
@@ -136,8 +138,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def home(u: np.ndarray, v: np.ndarray, half: int) -> np.ndarray:
+    """Of all values within half bits of both u and v, at most 2 * half bits apart, one that is nearest to v."""
+    apart, x = u ^ v, v.copy()
+    far = np.bitwise_count(apart).astype(np.int64) - half
+    for k in range(half):
+        low = np.where(far > k, apart & (~apart + np.uint64(1)), np.uint64(0))
+        apart, x = apart ^ low, x ^ low
+    return x
+
+
 def _meet(balls: Balls, turn: int, pass_bits: int, bucket_bits: int):
-    """Links (u, v) between fingerprints that share a variant, a spanning forest of whole buckets; rows come by bucket."""
+    """Links (u, v) of fingerprints with the least one at their home, a spanning forest of whole buckets; rows come by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(balls.radius // 2)
@@ -158,9 +170,9 @@ def _meet(balls: Balls, turn: int, pass_bits: int, bucket_bits: int):
             variant, fp = variant[order], fp[order]
             new = np.append(True, variant[1:] != variant[:-1])
             shared = ~(new & np.append(new[1:], True))
-            fp, first = fp[shared], np.flatnonzero(new[shared])
+            variant, fp, first = variant[shared], fp[shared], np.flatnonzero(new[shared])
             low = np.repeat(np.minimum.reduceat(fp, first), np.diff(np.append(first, len(fp)))) if len(fp) else fp
-            edges = np.unique(np.column_stack((fp, low))[fp != low], axis=0).reshape(-1, 2)
+            edges = np.column_stack((fp, low))[(fp != low) & (home(fp, low, balls.radius // 2) == variant)]
             edges = edges[np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= balls.radius]
             edges = edges[forest(edges[:, 0], edges[:, 1])]
             return pa.RecordBatch.from_arrays([pa.array(edges[:, k].copy().view(np.int64)) for k in (0, 1)], names=["u", "v"])

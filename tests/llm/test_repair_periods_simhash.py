@@ -316,3 +316,33 @@ def test_simhash_odd_rows(spark):
     assert sorted(got, key=str) == sorted([(i, f"{print_plainly(t if len(t or '') < 99 else t[:8]):016x}", c) for (i, t), c in zip(rows, [1, 1, 1, 4, 4, 4, None, 4, 6, 6])], key=str)
     assert got and [r for r in got if r[0] == 1][0][1] == "0" * 16
     assert simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_simhash_makes_each_link_once_whatever_the_buckets():
+    import pyarrow as pa
+
+    from strandline.llm.simhash import _emit, _meet
+
+    rng, balls, bits = random.Random(5), Balls(least_buckets=64), (3, 6)
+    prints = {0: 0x0F1E2D3C4B5A6978}
+    while len(prints) < 250:  # near copies of near copies, and strangers
+        x = prints[rng.randrange(len(prints))] if rng.random() < 0.9 else rng.getrandbits(64)
+        for k in rng.sample(range(12), rng.randint(1, 4)):
+            x ^= 1 << k
+        if x not in prints.values():
+            prints[len(prints)] = x
+    dealt = pa.RecordBatch.from_arrays([pa.array(np.array(list(prints.values()), np.uint64).view(np.int64))], names=["fp"])
+    links = []
+    for turn in range(balls.passes):
+        for made in _emit(balls, turn, *bits)([dealt]):
+            for i in range(made.num_rows):  # each bucket in a task of its own
+                for found in _meet(balls, turn, *bits)([made.slice(i, 1)]):
+                    links += zip(*(found.column(c).to_numpy().view(np.uint64).tolist() for c in ("u", "v")))
+    assert len(links) == len(set(links)) < 20 * len(prints)
+    assert all((u ^ v).bit_count() <= 4 for u, v in links)
+    at = {p: i for i, p in prints.items()}
+    comp = dict(zip(prints, prints))
+    for _ in prints:
+        for u, v in links:
+            comp[at[u]] = comp[at[v]] = min(comp[at[u]], comp[at[v]])
+    assert comp == linked_plainly(prints)
