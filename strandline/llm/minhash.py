@@ -212,16 +212,20 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     sketch = map_arrow(items, _sketch(b), ", ".join([f"id {kind}, n bigint, same binary, keys array<bigint>", *[f"{f.name} {f.dataType.simpleString()}" for f in carried]]))
     sketch = scratch.write(sketch, "sketch")
     live = sketch.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = scratch.write(live.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copied = classes.where("copies > 1").select("same", "rep")
     # An item is left out only where a smaller one has its set: what has no copies needs no further test.
-    spare = live.select("id", "same").join(copied, "same").where("id <> rep").select("id", "same")
+    many = live.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1").select("same")
+    copies = scratch.write(live.select("id", "same").join(many, "same"), "copies")
+    copied = scratch.write(copies.groupBy("same").agg(F.min("id").alias("rep")), "classes")
+    spare = copies.join(copied, "same").where("id <> rep").select("id", "same")
     reps = scratch.write(live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "keys"), "reps", "snappy")
-    lone, reps = reps, reps.select("rep", "n", F.explode("keys").alias("key"))
-    centres = reps.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
-    # A key stands once among the centres: a hash of them spares sorting all keys.
-    buckets = scratch.write(reps.join(centres.hint("shuffle_hash"), "key"), "buckets")
-    scratch.drop(lone)
+    # Most keys are one item's alone. One shuffle serves their count and the join: both read the same columns.
+    dealt = reps.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
+    many = dealt.groupBy("key").agg(F.expr("count(rep, n)").alias("held")).where("held > 1").select("key").hint("shuffle_hash")
+    keyed = scratch.write(dealt.join(many, "key"), "keyed", "snappy")
+    scratch.drop(reps)
+    centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
+    buckets = scratch.write(keyed.join(centres, "key"), "buckets")
+    scratch.drop(keyed)
     tested = buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"), "n")
     sizes = buckets.where("rep = centre").select(F.col("rep").alias("v"), F.col("n").alias("m")).distinct()
     fits = (100 * F.least("n", "m") >= b.percent * F.greatest("n", "m"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch, broadcast_small, map_arrow, perhaps_in, slices
 from strandline.llm.minhash import Banding, near_duplicates
-from strandline.llm.shingles import Powers, _chain, batch_words
+from strandline.llm.shingles import Powers, _chain, batch_words, word_edges
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,16 @@ def paragraphs(data: bytes, runs: list[int], parts: list[int], least_words: int)
     return whole + more
 
 
+def byte_bounds(data: bytes, bounds: list[int] | None) -> list[int]:
+    """Bytes of bounds (first word, word behind the last, ...) of a text; words that it lacks are at its end."""
+    if not bounds:
+        return []
+    starts, ends = word_edges(np.frombuffer(data, np.uint8))
+    at, behind = np.array(bounds[::2]), np.array(bounds[1::2])
+    a, b = np.append(starts, len(data))[np.minimum(at, len(starts))], np.append(ends, len(data))[np.minimum(behind - 1, len(ends))]
+    return np.column_stack((a, b)).ravel().tolist()
+
+
 def cut_bounds(parts: list[tuple[int, int]], gone: list[int], held: list[int]) -> list[tuple[int, int]]:
     """What is cut of a text. gone: paragraph << 32 | (1 + the paragraph that stays in its place, or 0); held: those
     that stay. What stays for a component is never cut, and no paragraph yields to one that overlaps it."""
@@ -166,7 +176,7 @@ def cut_bounds(parts: list[tuple[int, int]], gone: list[int], held: list[int]) -
 
 def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     """(id, cuts, parts): borders of runs of words that other documents hold too, and of the stretches within runs
-    that are held by the same documents throughout."""
+    that are held by the same documents throughout; each is a first word and the word behind the last."""
     width, window = p.shingle_words, p.stretch_words - p.shingle_words + 1
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -190,7 +200,7 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 1000, 1_000_000):
-            begin, start, end, words, bounds = batch_words(batch.column("text"), powers)
+            _, _, _, words, bounds = batch_words(batch.column("text"), powers)
             h = _chain(words, width)
             count = np.maximum(np.diff(bounds) - width + 1, 0)
             marked = batch.column("at").flatten()
@@ -205,43 +215,39 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
             low = bounds[owner[own]]
             place = near_ends(place, kinds[own], low, low + count[owner[own]], len(h), window)
             owner = np.searchsorted(bounds, place, "right") - 1
-            cols = {"pos": place - bounds[owner], "h": h[place].view(np.int64), "start": start[place] - begin[owner], "end": end[place + width - 1] - begin[owner]}
-            yield table_of(batch, owner, cols)
+            yield table_of(batch, owner, {"pos": place - bounds[owner], "h": h[place].view(np.int64)})
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts, parts = [], []
             for at in batch.column("at"):
-                pos, start, end, kinds = (at.values.field(k).to_numpy() for k in ("pos", "start", "end", "kind"))
+                pos, kinds = (at.values.field(k).to_numpy() for k in ("pos", "kind"))
                 order = np.argsort(pos, kind="stable")
-                pos, start, end, kinds = pos[order], start[order], end[order], kinds[order]
+                pos, kinds = pos[order], kinds[order]
                 long = [(i, j) for i, j in stretches(pos, width, p.bridge_words) if pos[j] + width - pos[i] >= p.run_words]
-                cuts.append([int(x) for i, j in long for x in (start[i], end[j])])
-                runs = {(int(start[i]), int(end[j])) for i, j in long}
+                runs = [(int(pos[i]), int(pos[j]) + width) for i, j in long]
+                cuts.append([x for ab in runs for x in ab])
                 inside = np.concatenate([np.arange(i, j + 1) for i, j in long]) if long else np.zeros(0, np.int64)
                 # All holders' stretches at once: holders first, then places, and a border where the holders change.
                 inside = inside[np.lexsort((pos[inside], kinds[inside]))]
                 q = pos[inside]
                 breaks = np.flatnonzero((np.diff(q) > width + p.bridge_words) | (np.diff(kinds[inside]) != 0)) + 1
                 ends = zip(np.append(0, breaks), np.append(breaks, len(q)) - 1) if len(q) else ()
-                own = {(int(start[inside[i]]), int(end[inside[j]])) for i, j in ends if q[j] + width - q[i] >= p.least_words}
-                parts.append([x for ab in sorted(own - runs) for x in ab])
+                own = {(int(q[i]), int(q[j]) + width) for i, j in ends if q[j] + width - q[i] >= p.least_words}
+                parts.append([x for ab in sorted(own.difference(runs)) for x in ab])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (cuts, parts)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "cuts", "parts"])
 
-    marks = scratch.write(map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint"), "anchors", "snappy")
     # One shuffle serves the count and the join: both read the same columns.
-    dealt = marks.repartition("h")
+    dealt = map_arrow(docs, mark, f"id {kind}, pos bigint, h bigint").repartition("h")
     again = dealt.join(shared(dealt), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "h", "kind")).alias("at"))
     again = scratch.write(again, "again")
-    scratch.drop(marks)
     near = perhaps_in(docs, "id", again, p.broadcast_bytes).where("perhaps").drop("perhaps").join(again, "id")
-    tested = map_arrow(near, test, f"id {kind}, pos bigint, h bigint, start bigint, end bigint")
-    tested = scratch.write(tested, "tested")
-    scratch.drop(again)
-    found = tested.join(shared(tested), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "start", "end", "kind")).alias("at"))
+    # Places are words, and become bytes where texts are cut: rows of the largest table are short.
+    dealt = map_arrow(near, test, f"id {kind}, pos bigint, h bigint").repartition("h")
+    found = dealt.join(shared(dealt), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "kind")).alias("at"))
     cuts = scratch.write(map_arrow(found, join_up, f"id {kind}, cuts array<bigint>, parts array<bigint>").where(F.size("cuts") > 0), "cuts")
-    scratch.drop(tested)
+    scratch.drop(again)
     return cuts
 
 
@@ -272,7 +278,7 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
             rows = []
             for id_, text, at, own in zip(batch.column("id"), *(batch.column(c).to_pylist() for c in ("text", "cuts", "parts")), strict=True):
                 data = text.encode()
-                for no, (a, b) in enumerate(paragraphs(data, at or [], own or [], p.least_words)):
+                for no, (a, b) in enumerate(paragraphs(data, byte_bounds(data, at), byte_bounds(data, own), p.least_words)):
                     if len(part := data[a:b]) >= 2 * p.least_words - 1 and len(part.split(None, p.least_words)) >= p.least_words:
                         rows.append(({"doc": id_.as_py(), "no": no}, part.decode()))
             ids, parts = zip(*rows, strict=True) if rows else ((), ())
@@ -305,7 +311,7 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
                 spans = []
                 if t is not None and drop:
                     data = t.encode()
-                    tried = paragraphs(data, at or [], more or [], p.least_words)
+                    tried = paragraphs(data, byte_bounds(data, at), byte_bounds(data, more), p.least_words)
                     # Rows may share an id: numbers beyond this text's own are another's.
                     drop, stay = [c for c in drop if c >> 32 < len(tried) and (c & 0xFFFFFFFF) <= len(tried)], [i for i in stay if i < len(tried)]
                     spans = cut_bounds(tried, drop, stay)

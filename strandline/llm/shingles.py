@@ -46,11 +46,16 @@ class Powers:
         return self.up, self.down
 
 
-def word_hashes(data: np.ndarray, powers: Powers, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in a byte buffer, and its hash; gap tells of each byte whether it parts words."""
+def word_edges(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in a byte buffer; gap tells of each byte whether it parts words."""
     space = np.concatenate(([True], gap[data], [True]))
     edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(data: np.ndarray, powers: Powers, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in a byte buffer, and its hash; gap tells of each byte whether it parts words."""
+    starts, ends = word_edges(data, gap)
     up, down = powers.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])

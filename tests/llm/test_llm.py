@@ -24,7 +24,7 @@ from strandline.llm.licenses import TEMPLATES, scan_licenses, wording_difference
 from strandline.llm.media import Chunking, media_columns
 from strandline.llm.minhash import Banding, minhash_dedup
 from strandline.llm.mixing import Mix, mix_sources
-from strandline.llm.passages import Passages, near_ends, remove_passages, text_anchors
+from strandline.llm.passages import Passages, byte_bounds, near_ends, remove_passages, text_anchors
 from strandline.llm.pieces import Encoder, decode_pieces, encode_pieces
 from strandline.llm.quality import learn_quality, score_quality
 from strandline.llm.shingles import Powers, batch_words, shingle_sets
@@ -357,3 +357,20 @@ def test_places_near_ends_stay_in_their_text():
     at, kind = np.array([3, 5, 12, 14]), np.array([1, 1, 1, 1])
     first, last = np.array([0, 0, 8, 8]), np.array([8, 8, 17, 17])
     assert near_ends(at, kind, first, last, 20, 4).tolist() == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16]
+
+
+def test_passages_of_rows_that_share_an_id_part_no_character(spark):
+    shared = " ".join(f"common{i}" for i in range(80))
+    other = " ".join("é" * (3 + i % 4) + str(i) for i in range(120))  # byte 3, where the first row's passage begins, is inside a character
+    rows = [(1, "xx " + shared), (1, other), (2, shared + " end")]
+    got = [(r["doc_id"], r["text"], r["has_repeat"]) for r in remove_passages(documents(spark, rows)).collect()]
+    first, second = sorted(t for i, t, _ in got if i == 1)
+    assert first == "xx " + shared and second and set(second.split()) <= set(other.split())
+    assert [t.split() for i, t, _ in got if i == 2] == [["end"]]
+
+
+def test_word_bounds_become_bytes():
+    data = "  één twee\tdrie\n".encode()
+    assert byte_bounds(data, [0, 1, 1, 3]) == [2, 7, 8, 17]
+    assert byte_bounds(data, [2, 9, 7, 9]) == [13, len(data), len(data), len(data)]
+    assert byte_bounds(b"", [0, 3]) == [0, 0] and byte_bounds(data, None) == byte_bounds(data, []) == []
