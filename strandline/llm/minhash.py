@@ -24,7 +24,8 @@ from strandline.llm.common import Scratch, map_arrow, slices
 from strandline.llm.components import components
 from strandline.llm.shingles import Powers, mix, shingle_sets
 
-SKETCH_WORDS = 16
+#: 64-bit words of a parity sketch: of a set of SHORT_SET shingles at most, and of a longer one.
+SKETCH_WORDS, SHORT_WORDS, SHORT_SET = 16, 4, 256
 
 
 @dataclass(frozen=True)
@@ -102,14 +103,14 @@ def _sketch(b: Banding):
 
 
 def _sets(width: int, wanted: np.ndarray | None = None):
-    """(id, words); with wanted, only of rows whose bit `spot` is set in it."""
+    """(id, words); with wanted, only of rows whose bits `spot` and `other` are set in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in slices(batches, "text", 256, 2_000_000):
             if wanted is not None:
-                spot = batch.column("spot").to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array((wanted[spot >> 6] >> (spot & 63) & 1).astype(bool)))
+                spots = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("spot", "other")]
+                batch = batch.filter(pa.array(np.logical_and(*((wanted[x >> 6] >> (x & 63) & 1).astype(bool) for x in spots))))
             flat, ends = shingle_sets(batch.column("text"), width, powers)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "words"])
 
@@ -119,8 +120,9 @@ def _sets(width: int, wanted: np.ndarray | None = None):
 def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
     """(id, words) of the items in ids.
 
-    While ids are few they are broadcast. Beyond that a bitmap of their hashes, of at most broadcast_bytes, tells most
-    other items apart before anything is shuffled; sets, not texts, then meet the ids.
+    While ids are few they are broadcast. Beyond that a bitmap of at most broadcast_bytes, in which each id sets two bits,
+    tells other items apart. While it has 6 bits an id, one in 12 of the others passes at most; they come along, as all
+    callers join the sets with their ids, and no set is shuffled to find them. With fewer bits the sets meet the ids.
     """
     ids = scratch.write(ids.select("id").distinct(), "ids")
     kind = items.schema["id"].dataType.simpleString()
@@ -128,12 +130,12 @@ def _sets_of(ids: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) ->
     if n * (32 if kind == "bigint" else 128) <= b.broadcast_bytes:
         return scratch.write(map_arrow(items.join(F.broadcast(ids), "id", "left_semi"), _sets(b.width), schema), "sets")
     bits = min(8 * b.broadcast_bytes, 1 << (16 * n).bit_length())
-    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    marked = ids.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) & 63 as int))")).alias("bits")).toArrow()
-    wanted = np.zeros(bits // 64, np.int64)
+    spots = [F.pmod(F.xxhash64("id", *more), F.lit(bits)) for more in ((), (F.lit(1),))]
+    marked = ids.select(F.explode(F.array(*spots)).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
+    wanted = np.zeros((bits + 63) // 64, np.int64)
     wanted[marked["word"].to_numpy()] = marked["bits"].to_numpy()
-    sets = map_arrow(items.select("id", "text", spot.alias("spot")), _sets(b.width, wanted), schema)
-    return scratch.write(sets.join(ids, "id", "left_semi"), "sets")
+    sets = map_arrow(items.select("id", "text", spots[0].alias("spot"), spots[1].alias("other")), _sets(b.width, wanted), schema)
+    return scratch.write(sets if bits >= 6 * n else sets.join(ids, "id", "left_semi"), "sets")
 
 
 def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame:
@@ -148,9 +150,13 @@ def _confirm(pairs: DataFrame, items: DataFrame, b: Banding, scratch: Scratch) -
 
 
 def parity_sketch(words: np.ndarray) -> np.ndarray:
-    """Bits, as 64-bit words, that tell for each slot whether an odd number of shingles fell into it."""
-    slot = mix(words.view(np.uint64) ^ np.uint64(0x13198A2E03707344)) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(slot.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """Bits, as 64-bit words, that tell for each slot whether an odd number of shingles fell into it.
+
+    A short set has few slots, so that its rows are short; only sketches of one length can be compared.
+    """
+    slots = 64 * (SHORT_WORDS if len(words) <= SHORT_SET else SKETCH_WORDS)
+    slot = mix(words.view(np.uint64) ^ np.uint64(0x13198A2E03707344)) % np.uint64(slots)
+    odd = np.bincount(slot.astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -182,22 +188,26 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
                 n = np.concatenate([np.full(len(r[2]), r[1]) for r in rows])
                 at = np.concatenate([np.arange(len(r[2])) for r in rows])
                 sketches = np.concatenate([np.tile(r[3], len(r[2])) for r in rows])
-                cols = [ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows])), pa.FixedSizeListArray.from_arrays(pa.array(sketches), SKETCH_WORDS).cast(pa.list_(pa.int64()))]
+                edges = np.append(0, np.cumsum([len(r[3]) for r in rows for _ in r[2]]))
+                cols = [ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows])), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(sketches))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "at", "w", "sketch"])
 
     heads = map_arrow(sets, firsts, f"id {kind}, n bigint, at bigint, w bigint, sketch array<bigint>").join(classes, "id")
     heads = scratch.write(heads, "heads")
+    scratch.drop(sets)
     x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
     y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"), F.col("sketch").alias("sv"))
     most = F.least("iu", "iv") + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
     enough = (100 + b.percent) * most >= b.percent * (F.col("nu") + F.col("nv"))
     size = 100 * F.least("nu", "nv") >= b.percent * F.greatest("nu", "nv")
     # Each differing shingle flips one parity bit, so the bits that differ can't outnumber the shingles that do.
-    bits = sum((F.bit_count(F.col("su")[i].bitwiseXOR(F.col("sv")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("su")[0].bitwiseXOR(F.col("sv")[0])))
-    alike = (100 + b.percent) * bits <= (100 - b.percent) * (F.col("nu") + F.col("nv"))
+    # Sketches of two lengths tell nothing of each other.
+    odd = [F.bit_count(F.get("su", F.lit(i)).bitwiseXOR(F.get("sv", F.lit(i)))) for i in range(SKETCH_WORDS)]
+    bits = sum(odd[1:SHORT_WORDS], odd[0]) + F.when(F.size("su") > SHORT_WORDS, sum(odd[SHORT_WORDS + 1 :], odd[SHORT_WORDS])).otherwise(0)
+    alike = (F.size("su") != F.size("sv")) | ((100 + b.percent) * bits <= (100 - b.percent) * (F.col("nu") + F.col("nv")))
     near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & size & enough & alike
     pairs = scratch.write(x.join(y, "w").where(near).select("u", "v").distinct(), "rare")
-    scratch.drop(sets, heads)
+    scratch.drop(heads)
     return pairs
 
 

@@ -244,10 +244,13 @@ def _runs(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     again = scratch.write(again, "again")
     near = perhaps_in(docs, "id", again, p.broadcast_bytes).where("perhaps").drop("perhaps").join(again, "id")
     # Places are words, and become bytes where texts are cut: rows of the largest table are short.
-    dealt = map_arrow(near, test, f"id {kind}, pos bigint, h bigint").repartition("h")
+    # They are written, so that the shuffled texts are off the disk before places are dealt.
+    tested = scratch.write(map_arrow(near, test, f"id {kind}, pos bigint, h bigint"), "tested")
+    scratch.drop(again)
+    dealt = tested.repartition("h")
     found = dealt.join(shared(dealt), "h").groupBy("id").agg(F.collect_list(F.struct("pos", "kind")).alias("at"))
     cuts = scratch.write(map_arrow(found, join_up, f"id {kind}, cuts array<bigint>, parts array<bigint>").where(F.size("cuts") > 0), "cuts")
-    scratch.drop(again)
+    scratch.drop(tested)
     return cuts
 
 
