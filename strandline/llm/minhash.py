@@ -247,8 +247,9 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
         if rest is None:
             # Only buckets whose classes are in several components so far can hide a link.
             joined = buckets.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            joined = joined.withColumn("component", F.coalesce("component", "rep"))
-            split = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+            # One shuffle serves the test and the join, as for the keys above.
+            joined = joined.withColumn("component", F.coalesce("component", "rep")).repartition("key")
+            split = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr("count(rep, n)").alias("held")).where("lo < hi and held > 1").select("key").hint("shuffle_hash")
             rest = scratch.write(joined.join(split, "key"), "rest")
             scratch.drop(buckets)
             buckets = rest
