@@ -164,8 +164,8 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
     """Pairs (u, v) of classes (id, component) in different components that can reach the threshold: none is left out.
 
     Shingles are put in one order for all, frequent ones last. Two sets that reach the threshold share one
-    of the first n - ceil(threshold * n) + 1, and what stands before and behind it must suffice. Any order
-    gives whole results; the counts of the most frequent shingles (a bounded list) only make the shared ones rare.
+    of the first n - ceil(threshold * n) + 1, and at the first that they share what stands behind it must suffice. Any
+    order gives whole results; the counts of the most frequent shingles (a bounded list) only make the shared ones rare.
     """
     kind = items.schema["id"].dataType.simpleString()
     sets = _sets_of(classes, items, b, scratch)
@@ -197,16 +197,20 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
     scratch.drop(sets)
     x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
     y = heads.select("w", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("component").alias("cv"), F.col("sketch").alias("sv"))
-    most = F.least("iu", "iv") + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
-    enough = (100 + b.percent) * most >= b.percent * (F.col("nu") + F.col("nv"))
+    # Of the shared shingles the first has all others behind it, in either set: the pair is made there, if not elsewhere, too.
+    enough = (100 + b.percent) * F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) >= b.percent * (F.col("nu") + F.col("nv"))
     size = 100 * F.least("nu", "nv") >= b.percent * F.greatest("nu", "nv")
     # Each differing shingle flips one parity bit, so the bits that differ can't outnumber the shingles that do.
     # Sketches of two lengths tell nothing of each other.
     odd = [F.bit_count(F.get("su", F.lit(i)).bitwiseXOR(F.get("sv", F.lit(i)))) for i in range(SKETCH_WORDS)]
     bits = sum(odd[1:SHORT_WORDS], odd[0]) + F.when(F.size("su") > SHORT_WORDS, sum(odd[SHORT_WORDS + 1 :], odd[SHORT_WORDS])).otherwise(0)
     alike = (F.size("su") != F.size("sv")) | ((100 + b.percent) * bits <= (100 - b.percent) * (F.col("nu") + F.col("nv")))
-    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & size & enough & alike
-    pairs = scratch.write(x.join(y, "w").where(near).select("u", "v").distinct(), "rare")
+    # The set that is no longer than the other needs few of its head's rows.
+    x = x.where((100 + b.percent) * (F.col("nu") - F.col("iu")) >= 2 * b.percent * F.col("nu"))
+    once = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    near = once & (F.col("cu") != F.col("cv")) & size & enough & alike
+    pairs = x.join(y, "w").where(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = scratch.write(pairs.distinct(), "rare")
     scratch.drop(heads)
     return pairs
 

@@ -68,3 +68,15 @@ def test_rarest_shingles_find_links_between_short_and_long_sketches(spark):
     found = _rare_words_pairs(items.select("id", F.col("id").alias("component")), items, Banding(width=2), Scratch(spark, "t"))
     assert any(len(sets[i]) > 256 >= len(sets[j]) or len(sets[j]) > 256 >= len(sets[i]) for i, j in want)
     assert want <= {(r["u"], r["v"]) for r in found.collect()}
+
+
+def test_rarest_shingles_make_few_pairs_of_a_group_below_the_threshold(spark):
+    """Near copies that miss the threshold by little are told by where their shared shingles stand; no link is lost."""
+    base = prose(130, 70)
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(18 if i < 110 else 10)])) for i in range(120)]
+    items = spark.createDataFrame(rows, "id long, text string")
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i > j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    found = _rare_words_pairs(items.select("id", F.col("id").alias("component")), items, Banding(width=2), Scratch(spark, "t"))
+    found = {(r["u"], r["v"]) for r in found.collect()}
+    assert want and want <= found and len(found) < len(want) + 120
