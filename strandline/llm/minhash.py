@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, map_arrow, slices
+from strandline.llm.common import Scratch, map_arrow, perhaps_in, slices
 from strandline.llm.components import components
 from strandline.llm.shingles import Powers, mix, shingle_sets
 
@@ -170,29 +170,27 @@ def _rare_words_pairs(classes: DataFrame, items: DataFrame, b: Banding, scratch:
     kind = items.schema["id"].dataType.simpleString()
     sets = _sets_of(classes, items, b, scratch)
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c >= 4")
-    common = counts.orderBy(F.desc("c"), "w").limit(b.common_words).toArrow().sort_by("w")
+    # Written, so that the shuffle of all shingles is off the disk before heads are dealt.
+    common = scratch.write(counts.orderBy(F.desc("c"), "w").limit(b.common_words), "common").toArrow().sort_by("w")
     known, often = common["w"].to_numpy(), common["c"].to_numpy()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for id_, words in zip(batch.column("id"), batch.column("words"), strict=True):
+            heads, sketches = [], []
+            for words in batch.column("words"):
                 w = words.values.to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
                 c = np.where(known[at] == w, often[at], 0) if len(known) else np.zeros(len(w), np.int64)
-                n = len(w)
-                head = w[np.lexsort((w, c))[: n + (-b.percent * n // 100) + 1]]
-                rows.append((id_.as_py(), n, head, parity_sketch(w)))
-            if rows:
-                ids = pa.array([r[0] for r in rows for _ in r[2]], batch.column("id").type)
-                n = np.concatenate([np.full(len(r[2]), r[1]) for r in rows])
-                at = np.concatenate([np.arange(len(r[2])) for r in rows])
-                sketches = np.concatenate([np.tile(r[3], len(r[2])) for r in rows])
-                edges = np.append(0, np.cumsum([len(r[3]) for r in rows for _ in r[2]]))
-                cols = [ids, pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(np.concatenate([r[2] for r in rows])), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(sketches))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "at", "w", "sketch"])
-
-    heads = map_arrow(sets, firsts, f"id {kind}, n bigint, at bigint, w bigint, sketch array<bigint>").join(classes, "id")
+                heads.append(w[np.lexsort((w, c))[: len(w) + (-b.percent * len(w) // 100) + 1]])
+                sketches.append(parity_sketch(w))
+            if heads:
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in of])), pa.int32()), pa.array(np.concatenate(of))) for of in (heads, sketches)]
+                n = pa.array(batch.column("words").value_lengths().to_numpy(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), n, *lists], names=["id", "n", "head", "sketch"])
+
+    # Heads meet their component as one row a set, and are dealt to rows after that.
+    heads = map_arrow(sets, firsts, f"id {kind}, n bigint, head array<bigint>, sketch array<bigint>").join(classes, "id")
+    heads = heads.select("id", "n", F.posexplode("head").alias("at", "w"), "sketch", "component")
     heads = scratch.write(heads, "heads")
     scratch.drop(sets)
     x = heads.select("w", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("component").alias("cu"), F.col("sketch").alias("su"))
@@ -224,19 +222,22 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
     kind = items.schema["id"].dataType.simpleString()
     carried = [f for f in items.schema.fields if f.name not in ("id", "text")]
     sketch = map_arrow(items, _sketch(b), ", ".join([f"id {kind}, n bigint, same binary, keys array<bigint>", *[f"{f.name} {f.dataType.simpleString()}" for f in carried]]))
-    sketch = scratch.write(sketch, "sketch")
+    sketch = scratch.write(sketch, "sketch", "snappy")
     live = sketch.where((F.col("n") > 0) & F.col("id").isNotNull())
     # An item is left out only where a smaller one has its set: what has no copies needs no further test.
-    many = live.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1").select("same")
+    many = live.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1").select("same").hint("shuffle_hash")
     copies = scratch.write(live.select("id", "same").join(many, "same"), "copies")
     copied = scratch.write(copies.groupBy("same").agg(F.min("id").alias("rep")), "classes")
     spare = copies.join(copied, "same").where("id <> rep").select("id", "same")
-    reps = scratch.write(live.join(spare, ["id", "same"], "left_anti").select(F.col("id").alias("rep"), "n", "keys"), "reps", "snappy")
+    # Only rows that a bitmap doesn't tell apart from the spare ones meet them, so keys of few rows are shuffled.
+    spare = scratch.write(spare, "spare")
+    split = perhaps_in(live.withColumn("row", F.xxhash64("id", "same")), "row", spare.select(F.xxhash64("id", "same").alias("id")), b.broadcast_bytes)
+    reps = split.where("not perhaps").unionByName(split.where("perhaps").join(spare, ["id", "same"], "left_anti"))
     # Most keys are one item's alone. One shuffle serves their count and the join: both read the same columns.
-    dealt = reps.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
+    dealt = reps.select(F.col("id").alias("rep"), "n", F.explode("keys").alias("key")).repartition("key")
     many = dealt.groupBy("key").agg(F.expr("count(rep, n)").alias("held")).where("held > 1").select("key").hint("shuffle_hash")
     keyed = scratch.write(dealt.join(many, "key"), "keyed", "snappy")
-    scratch.drop(reps)
+    scratch.drop(copies, spare)
     centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
     buckets = scratch.write(keyed.join(centres, "key"), "buckets")
     scratch.drop(keyed)
@@ -277,9 +278,13 @@ def near_duplicates(items: DataFrame, b: Banding, scratch: Scratch) -> DataFrame
             links, rest = links.unionByName(new), None
             found = components(links, scratch)
     scratch.drop(buckets)
-    per_class = copied.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("by_class"))
-    per_class = per_class.withColumnRenamed("same", "of")
-    out = sketch.drop("keys").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+    per_class = copied.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("by_class"))
+    own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    # Most items have no copy and no link; bitmaps tell them, and only the others are shuffled.
+    split = perhaps_in(sketch, "same", copied.select(F.col("same").alias("id")), b.broadcast_bytes).withColumnRenamed("perhaps", "copied")
+    split = perhaps_in(split, "id", own.select("id"), b.broadcast_bytes).withColumn("perhaps", F.col("perhaps") | F.col("copied")).drop("copied")
+    met = split.where("perhaps").join(per_class, F.col("id").isNotNull() & (F.col("same") == F.col("of")), "left").join(own, "id", "left")
+    out = met.unionByName(split.where("not perhaps"), allowMissingColumns=True)
     return out.select("id", "n", "same", F.coalesce("by_class", "own", "id").alias("component"), *[f.name for f in carried])
 
 

@@ -269,7 +269,8 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
     cuts = _runs(texts, p, scratch)
     def with_plan(df: DataFrame, key: str, side: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of df that surely have no row of side (id, ...), and the others with side's columns, null where there is none."""
-        other = side.withColumnRenamed("id", "_of")
+        # A small side is broadcast at every size of the texts; beyond the bound texts meet it by a shuffle.
+        other = broadcast_small(side, p.broadcast_bytes, 64).withColumnRenamed("id", "_of")
         split = perhaps_in(df, key, side, p.broadcast_bytes)
         return split.where("not perhaps").drop("perhaps"), split.where("perhaps").drop("perhaps").join(other, F.col(key) == F.col("_of"), "left").drop("_of")
 
@@ -289,7 +290,7 @@ def remove_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "do
 
     items = scratch.write(map_arrow(marked, cut, f"id struct<doc:{kind},no:int>, text string"), "paragraphs")
     found = near_duplicates(items, p.banding, scratch)
-    yields = found.where(F.col("id") != F.col("component"))
+    yields = scratch.write(found.where(F.col("id") != F.col("component")).select("id", "component"), "yields")
     apart = F.col("id.doc") != F.col("component.doc")
     own = F.when(~apart, F.col("component.no") + 1).otherwise(0)
     lost = yields.select(F.col("id.doc").alias("id"), F.expr("shiftleft(cast(id.no as bigint), 32)").bitwiseOR(own.cast("bigint")).alias("code"), F.lit(None).cast("int").alias("no"), apart.alias("apart"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch
-from strandline.llm.minhash import Banding, _rare_words_pairs, _sets_of, parity_sketch
+from strandline.llm.minhash import Banding, _rare_words_pairs, _sets_of, near_duplicates, parity_sketch
 from strandline.llm.passages import remove_passages
 
 RNG = np.random.default_rng(31)
@@ -80,3 +80,15 @@ def test_rarest_shingles_make_few_pairs_of_a_group_below_the_threshold(spark):
     found = _rare_words_pairs(items.select("id", F.col("id").alias("component")), items, Banding(width=2), Scratch(spark, "t"))
     found = {(r["u"], r["v"]) for r in found.collect()}
     assert want and want <= found and len(found) < len(want) + 120
+
+
+def test_items_without_copies_or_links_are_not_shuffled_whole(spark, monkeypatch):
+    """Band keys meet the spare copies, and heads their component, without a shuffle of all of them."""
+    plans, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, codec="zstd": (plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()), write(self, df, name, codec))[1])
+    base = prose(130, 70)
+    rows = [(i, " ".join(base + [f"x{i}y{k}" for k in range(18)])) for i in range(40)] + [(40, " ".join(prose(50, 5))), (41, " ".join(prose(50, 5)))]
+    found = near_duplicates(spark.createDataFrame(rows, "id long, text string"), Banding(width=2), Scratch(spark, "t"))
+    assert {r["id"]: r["component"] for r in found.collect()} == {i: min(i, 40) for i in range(42)}
+    assert "reps" not in plans and plans["keyed"].count("LeftAnti") >= 1 and "Union" in plans["keyed"]
+    assert plans["heads"].index("Generate posexplode") < plans["heads"].index("Join")
