@@ -20,7 +20,9 @@ def _frames(t: Tables) -> DataFrame:
     """Poses with real rotations; each camera stands a little behind its place, so that it sees the points around it."""
     rot = G.quat_to_rot(F.col("qx"), F.col("qy"), F.col("qz"), F.col("qw"))
     d = t.pose.select(F.col("seq").alias("frame"), rot.alias("rot"), G.vec(F.col("tx"), F.col("ty"), F.col("tz")).alias("to"))
-    return d.select("frame", "rot", G.sub(F.col("to"), G.times(G.optical_to_world(G.vec(0, 0, 1), F.col("rot"), G.vec(0, 0, 0)), BACK)).alias("at"))
+    # The optical axis in the link's axes is known here: nested array expressions would grow many times over with each step.
+    ahead = [sum((G.at(F.col("rot"), 3 * i + k) * G.OPTICAL_TO_LINK[3 * k + 2] for k in (1, 2)), G.at(F.col("rot"), 3 * i) * G.OPTICAL_TO_LINK[2]) for i in range(3)]
+    return d.select("frame", "rot", G.vec(*[G.at(F.col("to"), i) - ahead[i] * BACK for i in range(3)]).alias("at"))
 
 
 def _raster(frames: DataFrame, width: int, height: int, u: str, v: str) -> DataFrame:
@@ -75,10 +77,9 @@ def _seen_sql(every: int) -> str:
 )
 def j11(t: Tables) -> DataFrame:
     """How many frames face a vertex, and how many of them the depth raster leaves unhidden."""
-    c, frames = C.Colouring(cell=0.25, far=6.0), _frames(t)
-    seen = C.sightings(_normals(t), C.with_axes(C.chosen_frames(frames, c)), LENS, c)
-    free = C.unhidden(seen, _depth(C.chosen_frames(frames, c)), DEPTH_LENS, c).groupBy("v_id").agg(F.count("*").alias("unhidden"), F.max("frame").alias("last_frame"))
-    return seen.groupBy("v_id").agg(F.count("*").alias("sightings")).join(free, "v_id", "left").select("v_id", "sightings", F.coalesce("unhidden", F.lit(0)).alias("unhidden"), "last_frame")
+    c = C.Colouring(cell=0.25, far=6.0)
+    few = C.chosen_frames(_frames(t), c)
+    return C.counted(_normals(t), C.with_axes(few), _depth(few), LENS, DEPTH_LENS, c)
 
 
 @query(

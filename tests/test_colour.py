@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
 from strandline.operators import colour as C
+from strandline.plans import catalog
 
 LENS = C.Lens(40.0, 40.0, 16.0, 12.0, 32, 24)
 FACING = "v_id long, x double, y double, z double, nx double, ny double, nz double"
@@ -76,3 +77,50 @@ def test_plan_has_no_nested_loop(spark):
     frames = cameras(spark, [(0, 0.0, [0, 0, 0])])
     plan = C.sightings(v, C.with_axes(frames), LENS, C.Colouring())._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def scattered(spark, seed=5, n=300):
+    rng = random.Random(seed)
+    rows = []
+    for v in range(n):
+        k = [rng.gauss(0, 1) for _ in range(3)]
+        size = math.sqrt(sum(a * a for a in k))
+        rows.append((v, *(rng.uniform(-2, 2) for _ in range(3)), *(a / size for a in k)))
+    frames = [(f, rng.uniform(-4, 4), [rng.uniform(-2, 2) for _ in range(3)]) for f in range(0, 300, 2)]
+    return spark.createDataFrame(rows, FACING), cameras(spark, frames)
+
+
+def level():
+    return G.vec(1, 0, 0, 0, 1, 0, 0, 0, 1)
+
+
+def test_counts_by_groups_of_frames_are_those_of_rows(spark):
+    vertices, frames = scattered(spark)
+    c = C.Colouring(every_n=1, far=3.0)
+    axes, small = C.with_axes(frames, level()), C.Lens(20.0, 20.0, 8.0, 6.0, 16, 12)
+    depth = frames.select("frame", F.explode(F.sequence(F.lit(-2), F.lit(15))).alias("u")).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("v"))
+    depth = depth.select("*", (F.pmod(F.xxhash64("frame", "u", "v"), F.lit(30)) * 100).alias("mm"))
+    depth = depth.unionByName(depth.where("u = 7").withColumn("mm", F.lit(None).cast("long")))
+    seen = C.sightings(vertices, axes, LENS, c)
+    free = C.unhidden(seen, depth, small, c).groupBy("v_id").agg(F.count("*").alias("unhidden"), F.max("frame").alias("last_frame"))
+    want = seen.groupBy("v_id").agg(F.count("*").alias("sightings")).join(free, "v_id", "left").select("v_id", "sightings", F.coalesce("unhidden", F.lit(0)), "last_frame")
+    got = [tuple(r) for r in C.counted(vertices, axes, depth, LENS, small, c).collect()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in want.collect()), key=str)
+    assert sum(r[1] for r in got) > sum(r[2] for r in got) > 100 and len(got) == len({r[0] for r in got})
+
+
+def test_plans_stay_small(spark):
+    """The driver holds several copies of a plan; nested array expressions made those of j11 over a million characters long."""
+    d = catalog.QUERIES["j11_f10_occlusion"](spark, "/root/testdata/sf0.001")
+    assert len(d._jdf.queryExecution().analyzed().toString()) < 150_000
+
+
+def test_a_view_is_cut_into_cells_only_where_there_are_vertices(spark):
+    vertices, frames = scattered(spark, n=20)
+    few = vertices.where("v_id < 3").unionByName(spark.createDataFrame([(90, math.nan, math.nan, math.nan, 0.0, 0.0, 1.0), (91, None, None, None, 0.0, 0.0, 1.0)], FACING))
+    c = C.Colouring(far=3.0, cell=0.25)
+    cells = C.view_cells(C.with_axes(frames, level()).withColumn("_box", C.extents(few)), LENS, c)
+    ends = [[math.floor(f(r[n] for r in few.where("v_id < 3").collect()) / 0.25) for f in (min, max)] for n in "xyz"]
+    for (low, high), n in zip(ends, ("ix", "iy", "iz"), strict=True):
+        assert cells.where(~F.col(n).between(low, high)).isEmpty()
+    assert not cells.isEmpty() and C.sightings(few.where("v_id > 80"), C.with_axes(frames, level()), LENS, c).isEmpty()
