@@ -124,3 +124,30 @@ def test_a_view_is_cut_into_cells_only_where_there_are_vertices(spark):
     for (low, high), n in zip(ends, ("ix", "iy", "iz"), strict=True):
         assert cells.where(~F.col(n).between(low, high)).isEmpty()
     assert not cells.isEmpty() and C.sightings(few.where("v_id > 80"), C.with_axes(frames, level()), LENS, c).isEmpty()
+
+
+def test_colours_of_odd_rasters_are_those_of_rows(spark):
+    """Pixels that are missing, there twice, outside of the image or null, over several groups of frames."""
+    vertices, frames = scattered(spark, seed=9)
+    c = C.Colouring(every_n=1, far=3.0, occlusion=False)
+    pixels = frames.select("frame", F.explode(F.sequence(F.lit(-1), F.lit(33))).alias("pu")).select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("pv"))
+    h = F.pmod(F.xxhash64("frame", "pu", "pv"), F.lit(10))
+    pixels = pixels.where(h > 0).select("*", F.when(h > 2, h * 20).alias("r"), F.lit(None).cast("long").alias("g"))
+    pixels = pixels.unionByName(pixels.where("pu % 5 = 0"))
+    u0, v0 = F.floor("u"), F.floor("v")
+    taps = [F.struct((u0 + i).alias("pu"), (v0 + j).alias("pv"), ((F.col("u") - u0 if i else 1 - F.col("u") + u0) * (F.col("v") - v0 if j else 1 - F.col("v") + v0)).alias("k")) for i in (0, 1) for j in (0, 1)]
+    d = C.sightings(vertices, C.with_axes(frames, level()), LENS, c).select("v_id", "frame", (F.col("cos") ** 2 / (F.col("pz") ** 2 + 1e-3)).alias("w"), F.explode(F.array(*taps)).alias("t"))
+    d = d.select("v_id", "frame", "t.pu", "t.pv", (F.col("w") * F.col("t.k")).alias("w")).join(pixels, ["frame", "pu", "pv"])
+    want = {r["v_id"]: (r["w"], r["r"]) for r in d.groupBy("v_id").agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("r")).collect()}
+    got = C.colourise(vertices, frames, pixels, LENS, c, values=("r", "g"), link=level()).collect()
+    assert len(got) == 300 and len(want) > 30
+    for r in got:
+        w, red = want.get(r["v_id"], (0.0, None))
+        assert r["weight"] == pytest.approx(w) and r["r"] == pytest.approx(128.0 if red is None else red) and r["g"] == 128.0
+
+
+def test_colours_make_no_row_for_a_pair(spark):
+    """Sightings were rows that met depth and pixels by shuffles of their own."""
+    d = catalog.QUERIES["p3_a15_colourised"](spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution()
+    assert "FlatMapCoGroupsInArrow" in plan.optimizedPlan().toString() and len(plan.analyzed().toString()) < 150_000
