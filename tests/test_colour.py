@@ -151,3 +151,22 @@ def test_colours_make_no_row_for_a_pair(spark):
     d = catalog.QUERIES["p3_a15_colourised"](spark, "/root/testdata/sf0.001")
     plan = d._jdf.queryExecution()
     assert "FlatMapCoGroupsInArrow" in plan.optimizedPlan().toString() and len(plan.analyzed().toString()) < 150_000
+
+
+def test_shades_by_groups_of_frames_are_those_of_rows(spark):
+    vertices, frames = scattered(spark, seed=13)
+    c = C.Colouring(every_n=1, far=3.0)
+    axes = C.with_axes(frames, level()).withColumn("shade", F.col("frame") % 7)
+    w = 1 / (F.col("pz") ** 2 + 1e-3)
+    seen = C.sightings(vertices, axes, LENS, c, facing=False).select("v_id", (F.col("frame") % 7).alias("shade"), w.alias("w"))
+    want = {r[0]: tuple(r)[1:] for r in seen.groupBy("v_id").agg(F.count("*"), F.sum(F.col("w") * F.col("shade")) / F.sum("w"), F.avg("shade")).collect()}
+    got = {r["v_id"]: (r["hits"], r["weighted"], r["plain"]) for r in C.shaded(vertices, axes, LENS, c).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    for v, x in got.items():
+        assert x == pytest.approx(want[v])
+
+
+def test_shades_make_no_row_for_a_pair(spark):
+    """Every pair of a vertex and a frame that sees it was a row, in as many tasks as there are cells."""
+    plan = catalog.QUERIES["p2_p3_coloured_vertices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
