@@ -126,6 +126,10 @@ def clean(vertices: DataFrame, faces: DataFrame, least_faces: int = 2000, least_
     return v, f
 
 
+#: Steps of a point's score in the search for planes.
+STEPS = 1 << 20
+
+
 def plane_distance(eq: tuple[float, float, float, float]) -> Column:
     """Distance of a point from a plane with unit normal."""
     return F.abs(F.col("x") * eq[0] + F.col("y") * eq[1] + F.col("z") * eq[2] + eq[3])
@@ -136,6 +140,8 @@ def planes(points: DataFrame, most: int = 15, near: float = 0.03, trials: int =
 
     The samples are a bounded feature of the method, drawn by a hash of the key, so a run can be repeated. Every
     trial counts over all points that are left: each batch counts for all trials, sums meet in one aggregate.
+    The best trial has the highest sum of 1 - (distance / near)^2 over its points, in whole steps, so sums don't depend on
+    an order: by their mere number, a plane that is tilted so as to cut others gains their points and still holds its own.
     The search ends when the best trial has fewer than least points or than that share of all.
     """
     left = points.where("x is not null and y is not null and z is not null").select(key, *[F.col(c).cast("double").alias(c) for c in XYZ])
@@ -155,14 +161,16 @@ def planes(points: DataFrame, most: int = 15, near: float = 0.03, trials: int =
         offset = -(normal * p[:, 0]).sum(1)
 
         def count(batches: Iterator[pa.RecordBatch], normal=normal, offset=offset) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(normal), np.int64)
+            total, score = np.zeros(len(normal), np.int64), np.zeros(len(normal), np.int64)
             for batch in batches:
                 xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ], 1)
                 for i in range(0, len(xyz), 1024):
-                    total += (np.abs(xyz[i : i + 1024] @ normal.T + offset) < near).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["trial", "n"])
+                    apart = np.abs(xyz[i : i + 1024] @ normal.T + offset)
+                    total += (apart < near).sum(0)
+                    score += np.where(apart < near, np.rint((1 - (apart / near) ** 2) * STEPS), 0).sum(0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(score)], names=["trial", "n", "score"])
 
-        best = left.select(*XYZ).mapInArrow(count, "trial bigint, n bigint").groupBy("trial").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "trial").first()
+        best = left.select(*XYZ).mapInArrow(count, "trial bigint, n bigint, score bigint").groupBy("trial").agg(F.sum("n").alias("n"), F.sum("score").alias("score")).orderBy(F.desc("score"), "trial").first()
         if best is None or best["n"] < bound:
             break
         eq = (*map(float, normal[best["trial"]]), float(offset[best["trial"]]))

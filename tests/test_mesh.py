@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -137,3 +138,13 @@ def test_suppression_in_rounds_equals_the_fold(spark):
         got = {tuple(r) for r in suppress_crowded(df.where("f is not null"), ["f"], "id", most, above, cell).collect()}
         assert got == {tuple(r) for r in suppress(df.where("f is not null"), ["f"], "id", most, above).collect()}
     assert suppress_crowded(df.where("false"), ["f"], "id").collect() == []
+
+
+def test_a_tilted_plane_with_more_points_is_no_plane_of_the_room(spark):
+    """At sf0.1 a plane through the wall that also cuts floor and ceiling is near to 517 points, the wall to 500."""
+    sf = "/root/testdata/sf0.1"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    want = db.execute(catalog.ORACLE_SQL["p6_room_planes"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["p6_room_planes"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 4
