@@ -9,22 +9,46 @@ from pyspark.sql import functions as F
 def nearest_within(left: DataFrame, right: DataFrame, tolerance: int, by: str = "recording_id", time: str = "t_us", key: str = "seq", values: tuple[str, ...] = ("seq", "t_us"), prefix: str = "r_") -> DataFrame:
     """left with the columns values of the nearest right row, |dt| <= tolerance, else null.
 
-    Time is cut into buckets as wide as the tolerance; a right row goes to its own and both neighbouring
-    buckets, so that a plain equi-join on (by, bucket) sees each possible pair once. Ties take the earlier
-    row; of right rows at one time the first by seq, or the last where that time is before the left row's.
-    Rows of left that are equal in by and time have one answer, so it is found once for each such pair and joined
-    back: no row of left is lost or merged, and its other columns stay out of the aggregate.
+    Ties take the earlier row; of right rows at one time the first by seq, or the last where that time is before the left
+    row's. No row of left is lost or merged.
     """
-    width = max(1, tolerance)
-    bucket = F.floor(F.col(time) / width)
-    l = left.select(by, time).distinct().withColumn("_b", bucket)
-    r = right.select(F.col(by).alias("_by"), F.col(time).alias("_t"), F.col(key).alias("_k"), F.struct(*values).alias("_v"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_rb"))
-    both = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_b") == F.col("_rb")))
-    dt = F.abs(F.col(time) - F.col("_t"))
-    order = F.struct(dt, F.col("_t"), F.when(F.col("_t") < F.col(time), -F.col("_k")).otherwise(F.col("_k")))
-    best = both.where(dt <= tolerance).groupBy(F.col(by).alias("_lby"), F.col(time).alias("_lt")).agg(F.min_by("_v", order).alias("_v"))
-    out = left.join(best, (left[by] == best["_lby"]) & (left[time] == best["_lt"]), "left")
-    return out.select(*[left[c] for c in left.columns], *[F.col(f"_v.{v}").alias(prefix + v) for v in values])
+    return nearest_within_each(left, [(right, tolerance, prefix)], by, time, key, values)
+
+
+def nearest_within_each(left: DataFrame, rights: list[tuple[DataFrame, int, str]], by: str = "recording_id", time: str = "t_us", key: str = "seq", values: tuple[str, ...] = ("seq", "t_us"), blocks: int = 16) -> DataFrame:
+    """left with values of the nearest row of each of rights (right, tolerance, prefix), as by nearest_within, over one shuffle.
+
+    Time is cut into blocks of `blocks` times the largest tolerance. All streams are dealt by (by, block), narrow and as they are; right
+    rows within their tolerance of a block's border go to the neighbour, too. Running windows over a block know the last
+    right row before a left row and the first one at or behind it.
+    """
+    width = blocks * max(1, *[tolerance for _, tolerance, _ in rights])
+    block = F.floor(F.col(time) / width)
+    more = [v for v in values if v not in (key, time)]
+    rest = [c for c in left.columns if c not in (by, time)]
+    both = left.select(F.col(by).alias("_by"), block.alias("_b"), F.col(time).alias("_t"), F.lit(0).cast("byte").alias("_side"), F.struct(*rest).alias("_l") if rest else F.lit(0).alias("_l"))
+    for i, (right, tolerance, _) in enumerate(rights, 1):
+        at = F.col(time) - block * width
+        seen = F.array_compact(F.array(block, F.when(at < tolerance, block - 1), F.when(width - at <= tolerance, block + 1)))
+        r = right.where(F.col(by).isNotNull() & F.col(time).isNotNull())
+        r = r.select(F.col(by).alias("_by"), F.explode(seen).alias("_b"), F.col(time).alias("_t"), F.lit(i).cast("byte").alias("_side"), F.col(key).alias("_k"), *([F.struct(*more).alias(f"_x{i}")] if more else []))
+        both = both.unionByName(r, allowMissingColumns=True)
+    up = Window.partitionBy("_by", "_b").orderBy("_t", "_side", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_by", "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    mark = lambda i: F.when(F.col("_side") == i, F.struct("_t", "_k", *([f"_x{i}"] if more else [])))
+    for name, window in (("p", up), ("n", down)):
+        both = both.withColumns({f"_{name}{i}": F.last(mark(i), True).over(window) for i in range(1, len(rights) + 1)})
+    out = [F.col("_by").cast(left.schema[by].dataType).alias(by), F.col("_t").cast(left.schema[time].dataType).alias(time), *[F.col(f"_l.{c}").alias(c) for c in rest]]
+    near = {}
+    for i, (_, tolerance, _) in enumerate(rights, 1):
+        before, behind = F.col("_t") - F.col(f"_p{i}._t"), F.col(f"_n{i}._t") - F.col("_t")
+        earlier = (before <= tolerance) & (behind.isNull() | (before <= behind))
+        near[f"_v{i}"] = F.when(earlier, F.col(f"_p{i}")).when(behind <= tolerance, F.col(f"_n{i}"))
+    for i, (right, _, prefix) in enumerate(rights, 1):
+        of = {key: f"_v{i}._k", time: f"_v{i}._t"} | {v: f"_v{i}._x{i}.{v}" for v in more}
+        out += [F.col(of[v]).cast(right.schema[v].dataType).alias(prefix + v) for v in values]
+    d = both.where("_side = 0").withColumns(near).select(*out)
+    return d.select(*left.columns, *[prefix + v for _, _, prefix in rights for v in values])
 
 
 def nearest(left: DataFrame, right: DataFrame, width: int, by: str = "recording_id", time: str = "t_us", key: str = "seq", prefix: str = "r_") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.asof import nearest, nearest_within
+from strandline.operators.asof import nearest, nearest_within, nearest_within_each
 from strandline.operators.quality import stream_gaps, sync_quality, transform_pairs
 from strandline.operators.quantiles import quantiles
 from strandline.operators.series import numbered, with_previous
@@ -36,10 +36,8 @@ def topics_sql(*names: str) -> str:
 
 
 def sync_frames(t: Tables) -> DataFrame:
-    out = t.topic("view").select("recording_id", "seq", "t_us")
-    for topic, name, tolerance in SIDES:
-        out = nearest_within(out, t.topic(topic), tolerance, prefix=f"{name}_")
-    return out
+    """One shuffle for all four streams."""
+    return nearest_within_each(t.topic("view").select("recording_id", "seq", "t_us"), [(t.topic(topic), tolerance, f"{name}_") for topic, name, tolerance in SIDES])
 
 
 SYNC_CTES = ", ".join([topics_sql("view", "click", "purchase", "signup"), *[near_sql(f"{name}_m", "view", topic, tol) for topic, name, tol in SIDES]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
 from strandline.operators import spatial as S
-from strandline.operators.asof import nearest, nearest_within
+from strandline.operators.asof import nearest, nearest_within, nearest_within_each
 from strandline.operators.quality import Health, health_score
 from strandline.operators.series import rolling_median, with_previous
 
@@ -123,3 +124,22 @@ def test_face_components_and_compaction(spark):
     numbered, moved = S.compact(vertices, faces.where("f_id > 0"), block=4)
     assert {x["v_id"]: x["new_id"] for x in numbered.collect()} == {2: 0, 3: 1, 4: 2, 7: 3, 8: 4, 9: 5}
     assert sorted(tuple(x) for x in moved.collect()) == [(1, 0, 1, 2), (2, 3, 4, 5)]
+
+
+def test_nearest_of_several_streams_takes_one_shuffle_and_misses_no_border(spark):
+    """Pairs of left and right rows in a bucket of time were rows, and each stream took shuffles of its own."""
+    rng = random.Random(11)
+    rows = lambda n, top: [(i, rng.choice([0, 1, None]), rng.choice([None, *range(-top, top)])) for i in range(n)]
+    left, rights = rows(300, 200), [(rows(400, 200), 7), (rows(90, 260), 0), (rows(60, 200), 25)]
+    schema = "seq long, recording_id long, t_us long"
+    frame = lambda x: spark.createDataFrame(x, schema)
+    d = nearest_within_each(frame(left), [(frame(x), tolerance, f"r{i}_") for i, (x, tolerance) in enumerate(rights)], blocks=2)
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+    def best(rec, t, right, tolerance):
+        some = [(abs(t - rt), rt, -k if rt < t else k, k) for k, r, rt in right if t is not None and rt is not None and r == rec and rec is not None and abs(t - rt) <= tolerance]
+        return (min(some)[3], min(some)[1]) if some else (None, None)
+
+    want = {s: sum((best(rec, t, x, tolerance) for x, tolerance in rights), ()) for s, rec, t in left}
+    got = {r["seq"]: tuple(r)[3:] for r in d.collect()}
+    assert got == want and sum(x[0] is not None for x in want.values()) > 50
